@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import age_years, clean_label
 from ..schemas import AGE_BUCKETS, UNSPECIFIED
+from .joins import one_row_join
 
 
 def _c(c) -> Column:
@@ -162,12 +163,12 @@ def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_B
 def region_share(visits: DataFrame, dim: str = "region_name") -> DataFrame:
     """Visits per region and its percentage of all visits.
 
-    The total is a one-row aggregate cross-joined to the grouped result, so
-    no window over the whole table is needed.
+    The total is a one-row aggregate attached to the grouped result, so no
+    window over the whole table is needed.
     """
     counts = count_by(visits, dim)
     total = visits.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return one_row_join(counts, total).select(
         "label", "value", F.round(F.col("value") * 100.0 / F.col("_total"), 2).alias("pct"))
 
 
