@@ -75,7 +75,8 @@ def resolve_chains(mapping: DataFrame, max_rounds: int = 64) -> DataFrame:
         left = now
     cycle = cur.join(srcs, cur.dst == srcs._s, "left_semi").select("src")
     status = (cur.join(cycle.withColumn("_cyc", F.lit(True)), "src", "left")
-              .select("src", "dst", F.when(F.col("_cyc"), F.lit("rejected: cycle")).otherwise(F.lit("ok")).alias("status")))
+              .select("src", F.when(F.col("_cyc").isNull(), F.col("dst")).alias("dst"),
+                      F.when(F.col("_cyc"), F.lit("rejected: cycle")).otherwise(F.lit("ok")).alias("status")))
     rejected_dup = (mapping.select("src").join(dup, "src", "left_semi").distinct()
                     .select("src", F.lit(None).cast(mapping.schema["dst"].dataType).alias("dst"),
                             F.lit("rejected: several destinations").alias("status")))
@@ -206,7 +207,8 @@ def open_sessions(resolved_signins: DataFrame, salt: str = "session") -> DataFra
     """
     ts = F.col("ts")
     return resolved_signins.select(
-        F.sha2(F.concat_ws("|", F.lit(salt), F.col("user_id").cast("string"), ts.cast("string"),
+        F.sha2(F.concat_ws("|", F.lit(salt), F.col("user_id").cast("string"),
+                           F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
                            F.col("seq").cast("string")), 256).alias("session_key"),
         "user_id",
         F.timestamp_add("DAY", F.lit(SESSION_DAYS), ts).alias("expires_at"),

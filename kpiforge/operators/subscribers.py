@@ -132,9 +132,10 @@ def subscriber_list(subs: DataFrame, query: str | None = None, status: str | Non
 def save_campaigns(campaigns: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     """H6: apply (edit_id, id?, subject, body_html, created_by) edits.
 
-    An edit with the id of a *draft* updates subject and body; any other edit
-    inserts a new draft (id = max id + edit_id).  The source's update branch
-    could never run (S27); this implements its evident intent.
+    An edit with an id updates subject and body when that campaign is a
+    draft (the last edit wins) and changes nothing otherwise; an edit without
+    an id inserts a new draft (id = max id + edit_id).  The source's update
+    branch could never run (S27); this implements its evident intent.
     """
     from .joins import one_row_join
     from ..functions import lit_ts
@@ -147,7 +148,7 @@ def save_campaigns(campaigns: DataFrame, edits: DataFrame, as_of) -> DataFrame:
                .withColumn("subject", F.coalesce(F.col("_u.subject"), F.col("subject")))
                .withColumn("body_html", F.when(F.col("_u").isNotNull(), F.col("_u.body_html")).otherwise(F.col("body_html")))
                .select(*campaigns.columns))
-    ins = e.filter(F.col("_did").isNull())
+    ins = e.filter(F.col("id").isNull())
     max_id = campaigns.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
     inserted = one_row_join(ins, max_id).select(
         (F.col("_max") + F.col("edit_id")).cast("bigint").alias("id"), "subject", "body_html",

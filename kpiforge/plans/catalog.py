@@ -207,4 +207,5 @@ register("registered_guest_split", with_views(
     "UNION ALL SELECT 'guests', count(*) FILTER (WHERE is_registered = 0) FROM visits)", "visits"))(
     lambda s, d: kpis.split_kpi(kpis.visit_kpis(A.visits(s, d), AS_OF, HOME, approx=True),
                                 "registered", "guests"))
+from . import catalog_more  # noqa: E402,F401  (registers part 2)
 FLAGSHIP = "daily_counts"

@@ -302,11 +302,47 @@ def search_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def edits(spark: SparkSession, d: str) -> DataFrame:
+    """Campaign edits (save requests) derived from nations."""
+    n = load(spark, d, "nation")
+    return n.select(
+        F.col("n_nationkey").cast("bigint").alias("edit_id"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("bigint")).alias("id"),
+        F.col("n_name").alias("subject"),
+        F.concat(F.lit("<p>"), F.col("n_name"), F.lit("</p>")).alias("body_html"),
+        F.lit(None).cast("string").alias("created_by"),
+    )
+
+
+def logins(spark: SparkSession, d: str) -> DataFrame:
+    """Login attempts by e-mail, username or phone, derived from click events."""
+    ev = _events(spark, d).filter(F.col("event_type") == "click")
+    k, uid = F.col("k"), F.col("user_id").cast("string")
+    mail = F.concat(F.lit("user"), uid, F.lit("@example.com"))
+    ident = (F.when(k % 3 == 0, F.when(k % 2 == 0, F.upper(mail)).otherwise(mail))
+             .when(k % 3 == 1, F.concat(F.lit("U"), uid))
+             .otherwise(F.concat(F.lit("+9665"), F.lpad(uid, 8, "0"))))
+    return ev.select(F.col("event_id").alias("login_id"), ident.alias("identifier"))
+
+
+def merge_map(spark: SparkSession, d: str) -> DataFrame:
+    """Account merge requests (src -> dst) with chains, a cycle and a conflict."""
+    u = users(spark, d).select("id")
+    i = F.col("id")
+    return (u.filter(i % 5 == 4).select(i.alias("src"), (i - 1).alias("dst"))
+            .unionByName(u.filter(i % 10 == 3).select(i.alias("src"), (i - 3).alias("dst")))
+            .unionByName(u.filter(i % 100 == 98).select(i.alias("src"), (i + 1).alias("dst")))
+            .unionByName(u.filter(i % 100 == 49).select(i.alias("src"), (i - 9).alias("dst"))))
+
+
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """Identity claims of sign-ins, as JSON text plus sequence and time."""
     ev = _events(spark, d).filter(F.col("event_type") == "signup")
     k, uid = F.col("k"), F.col("user_id")
-    mail = F.concat(F.lit("user"), (uid * 11 + k).cast("string"), F.lit("@example.com"))
+    n = (uid * 11 + k).cast("string")
+    mail = (F.when(k % 3 == 0, F.concat(F.lit("u"), n, F.lit("@mail.example")))
+            .when(k % 4 == 1, F.concat(F.lit("u"), n, F.lit("@post.example")))
+            .otherwise(F.concat(F.lit("user"), n, F.lit("@example.com"))))
     body = F.struct(
         F.when(k % 10 == 0, F.lit("other-client")).when(k % 2 == 0, F.lit("client-main")).otherwise(F.lit("client-mini")).alias("aud"),
         F.when(k % 9 == 0, F.lit("issuer.example")).when(k % 2 == 0, F.lit("accounts.google.com")).otherwise(F.lit("https://accounts.google.com")).alias("iss"),
@@ -460,13 +496,32 @@ WHERE event_type IN ('view', 'click')""",
 SELECT event_id AS seq, ts,
   CASE WHEN k % 10 = 0 THEN 'other-client' WHEN k % 2 = 0 THEN 'client-main' ELSE 'client-mini' END AS aud,
   CASE WHEN k % 9 = 0 THEN 'issuer.example' WHEN k % 2 = 0 THEN 'accounts.google.com' ELSE 'https://accounts.google.com' END AS iss,
-  CASE WHEN k % 5 = 0 THEN upper('user' || CAST(user_id * 11 + k AS VARCHAR) || '@example.com')
-       ELSE 'user' || CAST(user_id * 11 + k AS VARCHAR) || '@example.com' END AS email,
+  CASE WHEN k % 5 = 0 THEN upper(mail) ELSE mail END AS email,
   CASE WHEN k % 13 = 0 THEN NULL WHEN k % 7 = 0 THEN 'false' ELSE 'true' END AS email_verified,
   'Member ' || CAST(user_id AS VARCHAR) AS name,
   CASE WHEN k % 4 = 0 THEN NULL ELSE 'https://img.example/' || CAST(k AS VARCHAR) || '.png' END AS picture,
   'sub-' || CAST(user_id AS VARCHAR) AS sub
-FROM {_EV} e WHERE event_type = 'signup'""",
+FROM (SELECT *, CASE WHEN k % 3 = 0 THEN 'u' || CAST(user_id * 11 + k AS VARCHAR) || '@mail.example'
+                     WHEN k % 4 = 1 THEN 'u' || CAST(user_id * 11 + k AS VARCHAR) || '@post.example'
+                     ELSE 'user' || CAST(user_id * 11 + k AS VARCHAR) || '@example.com' END AS mail
+      FROM {_EV} x) e WHERE event_type = 'signup'""",
+    "edits": """
+SELECT CAST(n_nationkey AS BIGINT) AS edit_id,
+  CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_regionkey AS BIGINT) END AS id,
+  n_name AS subject, '<p>' || n_name || '</p>' AS body_html, CAST(NULL AS VARCHAR) AS created_by
+FROM nation""",
+    "logins": f"""
+SELECT event_id AS login_id,
+  CASE k % 3 WHEN 0 THEN (CASE WHEN k % 2 = 0 THEN upper('user' || CAST(user_id AS VARCHAR) || '@example.com')
+                               ELSE 'user' || CAST(user_id AS VARCHAR) || '@example.com' END)
+             WHEN 1 THEN 'U' || CAST(user_id AS VARCHAR)
+             ELSE '+9665' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS identifier
+FROM {_EV} e WHERE event_type = 'click'""",
+    "merge_map": """
+SELECT id AS src, id - 1 AS dst FROM users WHERE id % 5 = 4
+UNION ALL SELECT id AS src, id - 3 AS dst FROM users WHERE id % 10 = 3
+UNION ALL SELECT id AS src, id + 1 AS dst FROM users WHERE id % 100 = 98
+UNION ALL SELECT id AS src, id - 9 AS dst FROM users WHERE id % 100 = 49""",
     "regions_seed": None,  # filled below from the fixed values
     "categories_seed": None,
 }
@@ -498,10 +553,14 @@ VIEWS = {
     "visits": visits, "search_log": search_log, "users": users, "sessions": sessions, "actions": actions,
     "campaigns": campaigns, "send_log": send_log, "responses": responses, "categories": categories,
     "achievements": achievements, "visit_events": visit_events, "search_events": search_events, "claims": claims,
+    "edits": edits, "logins": logins, "merge_map": merge_map,
 }
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with a WITH clause defining the named views."""
-    ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)
-    return f"WITH {ctes}\n{sql}"
+def with_views(sql: str, *names: str, ctes: str = "", recursive: bool = False) -> str:
+    """Prefix ``sql`` with a WITH clause defining the named views, then extra CTE text."""
+    parts = [f"{n} AS ({VIEW_SQL[n]})" for n in names]
+    if ctes.strip():
+        parts.append(ctes.strip().rstrip(","))
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + sql
