@@ -3,8 +3,10 @@
 ``Window.partitionBy(key)`` sends every row of a key to one task; with a key
 holding a third of all rows that task holds a third of the data.  Here the
 window is partitioned by (key, chunk), where the chunk is a range of the
-ordering column, and the one value that crosses a chunk border (the previous
-row of each chunk's first row) is carried in from a small per-chunk summary.
+ordering (a sequence-number block or a calendar day), and the one value that
+crosses a chunk border (the previous row of each chunk's first row, or the
+next row of its last row) is carried in from a per-chunk summary that has one
+row per (key, chunk).
 """
 
 from __future__ import annotations
@@ -16,31 +18,32 @@ DEFAULT_CHUNK = 1 << 20
 
 
 def chunk_of(order: Column, size: int) -> Column:
-    """Chunk number of an integer ordering column (sequence number or epoch seconds)."""
+    """Chunk number of an integer ordering column (sequence number)."""
     return F.floor(order / F.lit(size)).cast("bigint")
 
 
-def keyed_lag(df: DataFrame, key: str, order: str, value: str, out: str, chunk_size: int = DEFAULT_CHUNK,
-              chunk: Column | None = None, lead: bool = False) -> DataFrame:
-    """Add ``out`` = lag (or lead) of ``value`` over rows of ``key`` ordered by ``order``.
+def keyed_lag(df: DataFrame, key: str, order: str | list[str], value: str | Column, out: str,
+              chunk_size: int = DEFAULT_CHUNK, chunk: Column | None = None, lead: bool = False) -> DataFrame:
+    """Add ``out`` = lag (or lead) of ``value`` over rows of ``key`` sorted by ``order``.
 
-    ``order`` must be unique within a key.  Rows are windowed per
-    (key, chunk); the first row of a chunk gets the last ``value`` of the
-    previous non-empty chunk of its key (for ``lead``: the last row gets the
-    first value of the next chunk).  The carry table has one row per
-    (key, chunk), i.e. data size / chunk size rows for the largest key.
+    ``order`` (one column or several) must be unique within a key, and the
+    chunk must be monotone in it.  Default chunk: blocks of ``chunk_size`` of
+    the first order column (an integer).  Only the edge row of each chunk
+    takes its value from the neighbouring chunk's summary.
     """
-    ch = chunk if chunk is not None else chunk_of(F.col(order), chunk_size)
-    d = df.withColumn("_chunk", ch)
-    w = Window.partitionBy(key, "_chunk").orderBy(order)
-    fn = F.lead if lead else F.lag
-    d = d.withColumn(out, fn(value).over(w)).withColumn(
-        "_edge", (F.row_number().over(w) == 1) if not lead else (F.lead(F.lit(1)).over(w).isNull()))
+    cols = [order] if isinstance(order, str) else list(order)
+    ch = chunk if chunk is not None else chunk_of(F.col(cols[0]), chunk_size)
+    val = F.col(value) if isinstance(value, str) else value
+    d = df.withColumn("_chunk", ch).withColumn("_v", val)
+    w = Window.partitionBy(key, "_chunk").orderBy(*cols)
+    d = d.withColumn(out, (F.lead if lead else F.lag)("_v").over(w))
+    d = d.withColumn("_edge", ((F.lead if lead else F.lag)(F.lit(1)).over(w)).isNull())
+    ordering = F.struct(*cols)
     ends = d.groupBy(key, "_chunk").agg(
-        (F.min_by(value, order) if lead else F.max_by(value, order)).alias("_end"))
+        (F.min_by("_v", ordering) if lead else F.max_by("_v", ordering)).alias("_end"))
     wc = Window.partitionBy(key).orderBy("_chunk")
     carry = ends.select(key, "_chunk", (F.lead("_end") if lead else F.lag("_end")).over(wc).alias("_carry"))
     edges = (d.filter("_edge").drop(out).join(carry, [key, "_chunk"], "left")
              .withColumnRenamed("_carry", out))
     inner = d.filter(~F.col("_edge"))
-    return inner.unionByName(edges).drop("_chunk", "_edge")
+    return inner.unionByName(edges).drop("_chunk", "_edge", "_v")

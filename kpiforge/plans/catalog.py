@@ -59,7 +59,7 @@ register("search_days_dense", with_views(
     lambda s, d: timeseries.densify_days(
         timeseries.daily_counts(A.search_log(s, d), "searched_at", AS_OF), dt.date(2023, 12, 25), dt.date(2024, 2, 5)))
 
-register("visit_kpis", with_views(f"""
+VISIT_KPIS_BODY = f"""
 SELECT count(*) AS total_visits,
   count(*) FILTER (WHERE {C.on_day('visited_at')}) AS today,
   count(*) FILTER (WHERE {C.on_day('visited_at', 1)}) AS yesterday,
@@ -72,13 +72,15 @@ SELECT count(*) AS total_visits,
   count(*) FILTER (WHERE is_registered = 0) AS guests,
   count(DISTINCT country_code) AS countries,
   count(DISTINCT CASE WHEN country_code = '{HOME}' THEN region_name END) AS home_regions
-FROM visits""", "visits"))(lambda s, d: kpis.visit_kpis(A.visits(s, d), AS_OF, HOME))
+FROM visits"""
+register("visit_kpis", with_views(VISIT_KPIS_BODY, "visits"))(lambda s, d: kpis.visit_kpis(A.visits(s, d), AS_OF, HOME))
 
-register("search_kpis", with_views(f"""
+SEARCH_KPIS_BODY = f"""
 SELECT count(*) AS searches, count(DISTINCT term_norm) AS unique_terms,
   count(*) FILTER (WHERE results_cnt = 0) AS zero_results,
   count(*) FILTER (WHERE {C.on_day('searched_at')}) AS searches_today
-FROM search_log""", "search_log"))(lambda s, d: kpis.search_kpis(A.search_log(s, d), AS_OF))
+FROM search_log"""
+register("search_kpis", with_views(SEARCH_KPIS_BODY, "search_log"))(lambda s, d: kpis.search_kpis(A.search_log(s, d), AS_OF))
 
 register("top_pages", O.count_by_sql("visits", "page_path", 12))(lambda s, d: series.top_pages(A.visits(s, d)))
 register("top_sections", O.count_by_sql("visits", "page_pattern", 10))(lambda s, d: series.top_sections(A.visits(s, d)))
@@ -129,7 +131,7 @@ register("interest_by_region", with_views(
     lambda s, d: series.interest_by_region(A.visits(s, d), A.search_log(s, d)))
 
 # ------------------------------------------------------------------ users --
-register("user_kpis", with_views(f"""
+USER_KPIS_BODY = f"""
 SELECT count(*) AS total_users,
   count(*) FILTER (WHERE {C.on_day('registered_at')}) AS today,
   count(*) FILTER (WHERE {C.on_day('registered_at', 1)}) AS yesterday,
@@ -144,9 +146,10 @@ SELECT count(*) AS total_users,
   count(*) FILTER (WHERE gender IN ('أنثى', 'Female', 'female', 'F')) AS females,
   count(DISTINCT country) AS countries_count, count(DISTINCT city) AS cities_count,
   count(DISTINCT university) AS universities_count
-FROM users""", "users"))(lambda s, d: kpis.user_kpis(A.users(s, d), AS_OF))
+FROM users"""
+register("user_kpis", with_views(USER_KPIS_BODY, "users"))(lambda s, d: kpis.user_kpis(A.users(s, d), AS_OF))
 
-register("session_kpis", with_views(f"""
+SESSION_KPIS_BODY = f"""
 SELECT count(*) AS total_sessions,
   count(*) FILTER (WHERE is_active = 1 AND {C.after_now('expires_at')}) AS active_sessions,
   count(*) FILTER (WHERE {C.on_day('created_at')}) AS logins_today,
@@ -156,7 +159,8 @@ SELECT count(*) AS total_sessions,
   count(DISTINCT CASE WHEN {C.since_days('created_at', 7)} THEN user_id END) AS unique_logins_7d,
   count(DISTINCT CASE WHEN {C.since_days('created_at', 30)} THEN user_id END) AS unique_logins_30d,
   count(DISTINCT ip_address) AS distinct_ips
-FROM sessions""", "sessions"))(lambda s, d: kpis.session_kpis(A.sessions(s, d), AS_OF))
+FROM sessions"""
+register("session_kpis", with_views(SESSION_KPIS_BODY, "sessions"))(lambda s, d: kpis.session_kpis(A.sessions(s, d), AS_OF))
 
 for _name, (_col, _keep, _n) in series.USER_SERIES.items():
     register(f"users_{_name}", O.count_by_sql("users", _col, _n, keep_null=_keep))(
@@ -208,4 +212,6 @@ register("registered_guest_split", with_views(
     lambda s, d: kpis.split_kpi(kpis.visit_kpis(A.visits(s, d), AS_OF, HOME, approx=True),
                                 "registered", "guests"))
 from . import catalog_more  # noqa: E402,F401  (registers part 2)
-FLAGSHIP = "daily_counts"
+from . import catalog_dash  # noqa: E402,F401  (registers part 3)
+
+FLAGSHIP = "traffic_dashboard"

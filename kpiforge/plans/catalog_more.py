@@ -159,7 +159,7 @@ _VALID_CLAIM = ("coalesce(aud IN ('client-main', 'client-mini') AND iss IN ('acc
 _SIGNIN_CTES = f"""
 c AS (SELECT seq, ts, lower(trim(email)) AS email, name, picture FROM claims WHERE {_VALID_CLAIM}),
 pm AS (SELECT email, min(seq) AS first_seq, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts,
-  arg_min(name, seq) AS first_name, arg_min(picture, seq) FILTER (WHERE picture IS NOT NULL) AS first_picture
+  arg_min_null(name, seq) AS first_name, arg_min(picture, seq) FILTER (WHERE picture IS NOT NULL) AS first_picture
   FROM c GROUP BY email),
 ex AS (SELECT lower(trim(email)) AS email, min(id) AS uid FROM users WHERE email IS NOT NULL GROUP BY 1),
 m AS (SELECT pm.*, ex.uid FROM pm LEFT JOIN ex USING (email)),
