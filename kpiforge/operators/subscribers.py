@@ -57,11 +57,34 @@ def resolve_actions(actions: DataFrame, snapshot: DataFrame) -> DataFrame:
             .withColumn("email", F.coalesce("email", "_tok_mail", "_id_mail")).drop("_tok_mail", "_id_mail"))
 
 
+_CARRY = [("_sid", "bigint"), ("_stoken", "string"), ("_ssource", "string"), ("_suser", "bigint"),
+          ("_sunsub", "timestamp_ntz")]
+
+
+def snapshot_as_actions(snapshot: DataFrame) -> DataFrame:
+    """A subscriber table as 'state' actions (seq -1, before any new action) that
+    recreate each row with its id, token, source, user and times."""
+    return snapshot.select(
+        F.lit(-1).cast("bigint").alias("seq"), F.col("subscribed_at").alias("ts"), F.lit("state").alias("action"),
+        F.col("email"), F.col("full_name").alias("name"), F.col("status"),
+        F.col("id").alias("_sid"), F.col("confirm_token").alias("_stoken"), F.col("source").alias("_ssource"),
+        F.col("user_id").alias("_suser"), F.col("unsubscribed_at").alias("_sunsub"))
+
+
 def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: str = "newsletter",
-                     chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
-    """Subscriber table after applying validated actions in ``seq`` order."""
-    a = actions.select("seq", "ts", "action", "email", "name", "status")
+                     chunk_size: int = DEFAULT_CHUNK, snapshot: DataFrame | None = None) -> DataFrame:
+    """Subscriber table after applying validated actions in ``seq`` order.
+
+    With ``snapshot`` (the table before these actions, new seq values all
+    >= 0), the result equals folding the whole history: each snapshot row
+    enters as a 'state' action that creates the row as it was.
+    """
+    a = actions.select("seq", "ts", "action", "email", "name", "status",
+                       *[F.lit(None).cast(t).alias(c) for c, t in _CARRY])
+    if snapshot is not None:
+        a = a.unionByName(snapshot_as_actions(snapshot))
     after = (F.when(F.col("action").isin("subscribe", "add"), F.lit("active"))
+             .when(F.col("action") == "state", F.col("status"))
              .when(F.col("action") == "unsubscribe", F.lit("unsubscribed"))
              .when(F.col("action") == "set_status", F.col("status"))
              .otherwise(F.lit("deleted")))
@@ -83,10 +106,12 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
         last_where(resub, F.col("ts").alias("v")).alias("_resub"),
         last_where(touch, unsub_value.alias("v")).alias("_touch"),
     )
-    creates = a.filter(act.isin("subscribe", "add")).select("email", "seq", "ts", "action", "name")
+    creates = a.filter(act.isin("subscribe", "add", "state")).select(
+        "email", "seq", "ts", "action", "name", *[c for c, _ in _CARRY])
     first = (creates.join(per_mail.select("email", "last_del"), "email", "inner")
              .filter(F.col("last_del").isNull() | (F.col("seq") > F.col("last_del")))
-             .groupBy("email").agg(F.min_by(F.struct("seq", "ts", "action", "name"), "seq").alias("_c")))
+             .groupBy("email").agg(F.min_by(F.struct("seq", "ts", "action", "name", *[c for c, _ in _CARRY]),
+                                            "seq").alias("_c")))
     s = per_mail.join(first, "email", "inner")
 
     c = F.col("_c")
@@ -94,16 +119,19 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
     def since_creation(field):
         return F.col(field)["seq"] > c["seq"]
 
+    state = c["action"] == "state"
     out = s.select(
-        c["seq"].alias("id"),
+        F.coalesce(c["_sid"], c["seq"]).alias("id"),
         F.col("email"),
         F.when(since_creation("_name"), F.col("_name")["v"]).otherwise(c["name"]).alias("full_name"),
         c["action"].alias("_created_by"),
+        c["_suser"].alias("_state_user"),
         F.col("status"),
-        F.sha2(F.concat_ws("|", F.lit(salt), F.col("email"), c["seq"].cast("string")), 256).alias("confirm_token"),
-        F.when(c["action"] == "subscribe", F.lit("website")).otherwise(F.lit("admin")).alias("source"),
+        F.coalesce(c["_stoken"],
+                   F.sha2(F.concat_ws("|", F.lit(salt), F.col("email"), c["seq"].cast("string")), 256)).alias("confirm_token"),
+        F.when(state, c["_ssource"]).when(c["action"] == "subscribe", F.lit("website")).otherwise(F.lit("admin")).alias("source"),
         F.when(since_creation("_resub"), F.col("_resub")["v"]).otherwise(c["ts"]).alias("subscribed_at"),
-        F.when(since_creation("_touch"), F.col("_touch")["v"]).alias("unsubscribed_at"),
+        F.when(since_creation("_touch"), F.col("_touch")["v"]).otherwise(c["_sunsub"]).alias("unsubscribed_at"),
     )
     if users is None:
         linked = out.withColumn("linked_user_id", F.lit(None).cast("bigint"))
@@ -111,7 +139,8 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
         linked = link_user_by_email(out, users)
     return linked.select(
         "id", "email", "full_name",
-        F.when(F.col("_created_by") == "subscribe", F.col("linked_user_id")).alias("user_id"),
+        F.when(F.col("_created_by") == "subscribe", F.col("linked_user_id"))
+        .when(F.col("_created_by") == "state", F.col("_state_user")).alias("user_id"),
         "status", "confirm_token", "source", "subscribed_at", "unsubscribed_at")
 
 

@@ -213,5 +213,6 @@ register("registered_guest_split", with_views(
                                 "registered", "guests"))
 from . import catalog_more  # noqa: E402,F401  (registers part 2)
 from . import catalog_dash  # noqa: E402,F401  (registers part 3)
+from . import catalog_stream  # noqa: E402,F401  (registers part 4)
 
 FLAGSHIP = "traffic_dashboard"

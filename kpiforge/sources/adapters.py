@@ -156,9 +156,9 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def actions(spark: SparkSession, d: str) -> DataFrame:
-    """Subscriber action log: one action per event, views mostly dropped."""
-    ev = _events(spark, d)
+def actions(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Subscriber action log: one action per event, views mostly dropped (batch or stream)."""
+    ev = _events(spark, d) if events is None else events.withColumn("k", _k())
     k, et = F.col("k"), F.col("event_type")
     action = (
         F.when(et == "signup", F.lit("subscribe"))
@@ -259,9 +259,10 @@ def achievements(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def visit_events(spark: SparkSession, d: str) -> DataFrame:
-    """Raw visit POST bodies (intake input) derived from events."""
-    ev = _with_geo(spark, d, _events(spark, d))
+def visit_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Raw visit POST bodies (intake input) derived from events (a batch or a stream)."""
+    src = _events(spark, d) if events is None else events.withColumn("k", _k())
+    ev = _with_geo(spark, d, src)
     k, uid = F.col("k"), F.col("user_id")
     long_tail = F.when(k % 50 == 49, F.repeat(F.lit("x"), 600)).otherwise(F.lit(""))
     return ev.select(
@@ -283,9 +284,10 @@ def visit_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def search_events(spark: SparkSession, d: str) -> DataFrame:
-    """Raw search POST bodies derived from view/click events."""
-    ev = _with_geo(spark, d, _events(spark, d).filter(F.col("event_type").isin("view", "click")))
+def search_events(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Raw search POST bodies derived from view/click events (a batch or a stream)."""
+    src = _events(spark, d) if events is None else events.withColumn("k", _k())
+    ev = _with_geo(spark, d, src.filter(F.col("event_type").isin("view", "click")))
     k, uid = F.col("k"), F.col("user_id")
     term = F.when(k % 17 == 0, F.lit("   ")).otherwise(
         F.concat(F.when(k % 2 == 0, F.lit("  ")).otherwise(F.lit("")), F.lit("Term "), k.cast("string"), F.lit(" ")))
