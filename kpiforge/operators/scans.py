@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_CHUNK = 1 << 20
 
 
@@ -23,13 +25,16 @@ def chunk_of(order: Column, size: int) -> Column:
 
 
 def keyed_lag(df: DataFrame, key: str, order: str | list[str], value: str | Column, out: str,
-              chunk_size: int = DEFAULT_CHUNK, chunk: Column | None = None, lead: bool = False) -> DataFrame:
+              chunk_size: int = DEFAULT_CHUNK, chunk: Column | None = None, lead: bool = False,
+              materialize_result: bool = True) -> DataFrame:
     """Add ``out`` = lag (or lead) of ``value`` over rows of ``key`` sorted by ``order``.
 
     ``order`` (one column or several) must be unique within a key, and the
     chunk must be monotone in it.  Default chunk: blocks of ``chunk_size`` of
     the first order column (an integer).  Only the edge row of each chunk
-    takes its value from the neighbouring chunk's summary.
+    takes its value from the neighbouring chunk's summary.  The windowed
+    rows are written once (``session.materialize``) because three branches
+    read them.
     """
     cols = [order] if isinstance(order, str) else list(order)
     ch = chunk if chunk is not None else chunk_of(F.col(cols[0]), chunk_size)
@@ -38,6 +43,9 @@ def keyed_lag(df: DataFrame, key: str, order: str | list[str], value: str | Colu
     w = Window.partitionBy(key, "_chunk").orderBy(*cols)
     d = d.withColumn(out, (F.lead if lead else F.lag)("_v").over(w))
     d = d.withColumn("_edge", ((F.lead if lead else F.lag)(F.lit(1)).over(w)).isNull())
+    if materialize_result:
+        # the windowed rows feed three branches below; compute them once
+        d = materialize(d, "keyed-lag")
     ordering = F.struct(*cols)
     ends = d.groupBy(key, "_chunk").agg(
         (F.min_by("_v", ordering) if lead else F.max_by("_v", ordering)).alias("_end"))

@@ -179,17 +179,26 @@ def local_vs_foreign(visits: DataFrame, home: str) -> DataFrame:
     return order_series(visits.select(label.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("value")))
 
 
-def top_per_group(df: DataFrame, group: Column | str, dim: Column | str, k: int, group_name: str = "grp") -> DataFrame:
-    """Top-k labels per group: grouped counts, then ``row_number`` within group.
-
-    The window runs on the aggregated (group, label) counts, so each window
-    partition holds one group's distinct labels, not its raw rows.
+def top_per_group(df: DataFrame, group: Column | str, dim: Column | str, k: int, group_name: str = "grp",
+                  buckets: int = 16) -> DataFrame:
+    """Top-k labels per group, exact, without one sorted partition per group.
+
+    Counts are aggregated per (group, label) first.  Then a two-level top-k:
+    labels are split into ``buckets`` hash buckets, the top k of every
+    (group, bucket) survive, and the final ranking runs over at most
+    ``buckets * k`` survivors per group.  Any label in a group's top k is in
+    its bucket's top k, so the result equals a plain ranking.
     """
     rows = df.select(_c(group).alias(group_name), clean_label(dim).alias("label")).filter(
         F.col("label").isNotNull())
     counts = rows.groupBy(group_name, "label").agg(F.count(F.lit(1)).alias("value"))
-    w = Window.partitionBy(group_name).orderBy(F.col("value").desc(), F.col("label").asc_nulls_last())
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    order = [F.col("value").desc(), F.col("label").asc_nulls_last()]
+    bucket = F.pmod(F.xxhash64("label"), F.lit(buckets))
+    w1 = Window.partitionBy(group_name, "_b").orderBy(*order)
+    survivors = (counts.withColumn("_b", bucket).withColumn("_r", F.row_number().over(w1))
+                 .filter(F.col("_r") <= k).drop("_b", "_r"))
+    w = Window.partitionBy(group_name).orderBy(*order)
+    return survivors.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def cities_in_out(visits: DataFrame, home: str, k: int = 10) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _registered: set[str] = set()
@@ -56,14 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
+    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
-
-_counter = _count()
+    Used where a plan would otherwise recompute an expensive shuffle (a
+    window over the whole log) for every later reference.  Unlike
+    ``persist`` the copy survives lost executors; unlike ``checkpoint()`` it
+    is columnar, so later reads prune columns and push filters.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

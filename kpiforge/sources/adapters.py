@@ -45,8 +45,15 @@ def customer_geo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_geo(spark: SparkSession, d: str, ev: DataFrame) -> DataFrame:
+    """Events left-joined to their customer's geography.
+
+    Events without a user get a per-row negative key (customer keys are
+    non-negative), so they never match and do not all hash into one shuffle
+    partition.
+    """
     geo = customer_geo(spark, d).select("c_custkey", "c_mktsegment", "n_name", "r_regionkey", "r_name")
-    return ev.join(geo, ev.user_id == geo.c_custkey, "left")
+    key = F.coalesce(F.col("user_id"), -1 - F.col("event_id"))
+    return ev.withColumn("_ck", key).join(geo, F.col("_ck") == geo.c_custkey, "left").drop("_ck")
 
 
 def _case(expr, mapping: dict, default=None):
