@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SUBSCRIBER_STATUSES
+from .filters import optional_equals, text_search
 from .joins import link_user_by_email
 from .scans import DEFAULT_CHUNK, keyed_lag
 
@@ -146,12 +147,7 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
 
 def subscriber_list(subs: DataFrame, query: str | None = None, status: str | None = None, n: int = 300) -> DataFrame:
     """Newest first, at most ``n``; literal case-insensitive search on e-mail or name."""
-    df = subs
-    if query:
-        q = query.lower()
-        df = df.filter(F.lower("email").contains(q) | F.coalesce(F.lower("full_name").contains(q), F.lit(False)))
-    if status is not None and status != "all":
-        df = df.filter(F.col("status") == status)
+    df = optional_equals(text_search(subs, ["email", "full_name"], query), "status", status)
     return df.orderBy(F.col("id").desc()).limit(n).select(
         "id", "email", F.col("full_name").alias("name"), "status", "source",
         F.date_format("subscribed_at", "yyyy-MM-dd HH:mm").alias("at"),

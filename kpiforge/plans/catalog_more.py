@@ -402,3 +402,40 @@ register("search_intake", SEARCH_INTAKE_SQL)(lambda s, d: _search_intake(s, d)[0
 register("search_quarantine", with_views(
     f"SELECT event_id, received_at, reason FROM (SELECT *, {_search_reason(INTAKE_COUNTRY_WIDTH)} AS reason "
     "FROM search_events) e WHERE reason IS NOT NULL", "search_events"))(lambda s, d: _search_intake(s, d)[1])
+
+# ---------------------------------------------------------------- filters --
+from ..operators import filters as FL  # noqa: E402
+from ..operators import series as SER  # noqa: E402
+
+
+def _registrations(s, d):
+    u = A.users(s, d)
+    i = F.col("id")
+    form = u.select("id", "email", "username",
+                    F.when(F.col("password_hash").isNotNull(), (i % 12).cast("int")).alias("password_len"),
+                    (i % 9 != 0).alias("confirmation_matches"))
+    return FL.registration_checks(form).select("id", "failed_rules", "valid")
+
+
+register("registration_checks", with_views(
+    "SELECT id, failed_rules, len(failed_rules) = 0 AS valid FROM (SELECT id, list_filter([CASE WHEN NOT "
+    "coalesce(contains(email, '@'), false) THEN 'email_invalid' END, CASE WHEN coalesce(pl < 6, true) THEN "
+    "'password_short' END, CASE WHEN NOT coalesce(cm, false) THEN 'confirmation_mismatch' END, CASE WHEN "
+    "coalesce(length(username) < 3, true) THEN 'username_short' END], lambda x: x IS NOT NULL) AS failed_rules FROM ("
+    "SELECT id, email, username, CASE WHEN password_hash IS NOT NULL THEN CAST(id % 12 AS INTEGER) END AS pl, "
+    "id % 9 <> 0 AS cm FROM users) f) q", "users"))(_registrations)
+register("long_terms", with_views(
+    "SELECT label, count(*) AS value FROM (SELECT nullif(trim(term_norm), '') AS label FROM search_log "
+    "WHERE length(term_norm) >= 7) q WHERE label IS NOT NULL GROUP BY 1 ORDER BY value DESC, label ASC NULLS LAST "
+    "LIMIT 10", "search_log"))(
+    lambda s, d: SER.count_by(FL.min_term_length(A.search_log(s, d), 7), "term_norm", 10))
+register("human_browsers", with_views(
+    "SELECT coalesce(nullif(trim(browser), ''), 'unspecified') AS label, count(*) AS value FROM visits "
+    "WHERE NOT coalesce(regexp_matches(browser, '(?i)edge'), false) GROUP BY 1", "visits"))(
+    lambda s, d: SER.by_browser(FL.drop_bots(A.visits(s, d), "browser", "(?i)edge")))
+register("achievement_defaults", with_views(
+    "SELECT id, coalesce(display_order, 100) AS display_order, coalesce(is_featured, 0) AS is_featured, "
+    "coalesce(is_published, 1) AS is_published, coalesce(year_no, 2025) AS year_no FROM achievements",
+    "achievements"))(
+    lambda s, d: FL.default_values(A.achievements(s, d)).select("id", "display_order", "is_featured",
+                                                                 "is_published", "year_no"))
