@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import GOOGLE_ISSUERS, REFRESH_DAYS, SESSION_DAYS, CLAIMS
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from .joins import oldest_user_by_email, one_row_join
 
 
@@ -160,7 +160,8 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
         F.min_by("picture", F.when(F.col("picture").isNotNull(), F.col("seq"))).alias("first_picture"),
     )
     existing = oldest_user_by_email(users).withColumnRenamed("_mail", "email")
-    matched = per_mail.join(existing, "email", "left")
+    # one row per signing-in e-mail, read by the insert, update and id branches
+    matched = materialize(per_mail.join(existing, "email", "left"), "signin-per-mail")
     known = matched.filter(F.col("linked_user_id").isNotNull())
     new = matched.filter(F.col("linked_user_id").isNull())
 
