@@ -73,7 +73,7 @@ def _kpis_two(a_body, a_names, b_body, b_names) -> str:
     return _kpis(f"SELECT * FROM ({a}) p, ({b}) q", names)
 
 
-TRAFFIC_SQL = with_views(" UNION ALL ".join([
+TRAFFIC_BODY = " UNION ALL ".join([
     _kpis_two(VISIT_KPIS_BODY, VISIT_KPI_NAMES, SEARCH_KPIS_BODY, SEARCH_KPI_NAMES),
     _by_key("visits_timeline", _daily("visits", "visited_at")),
     _by_value("top_pages", _count_body("visits", "page_path", 12)),
@@ -89,7 +89,8 @@ TRAFFIC_SQL = with_views(" UNION ALL ".join([
     _by_value("top_terms", _count_body("search_log", "term_norm", 15)),
     _by_value("zero_terms", _count_body("search_log", "term_norm", 10, where="results_cnt = 0")),
     _by_key("search_timeline", _daily("search_log", "searched_at")),
-]), "visits", "search_log")
+]) 
+TRAFFIC_SQL = with_views(TRAFFIC_BODY, "visits", "search_log")
 
 _AGE = "CAST(floor(datesub('month', birth_date, DATE '2024-01-30') / 12) AS INTEGER)"
 _AGES = (f"SELECT rank AS k, label, count(*) AS value FROM (SELECT CASE WHEN a <= 17 THEN 1 WHEN a <= 24 THEN 2 "
@@ -100,7 +101,7 @@ _TOP_USERS = ("SELECT label, value FROM (SELECT s.user_id, coalesce(u.full_name,
               "count(s.session_id) AS value FROM sessions s JOIN users u ON s.user_id = u.id GROUP BY 1, 2) q "
               "ORDER BY value DESC, label ASC NULLS LAST, user_id LIMIT 8")
 
-USERS_SQL = with_views(" UNION ALL ".join([
+USERS_BODY = " UNION ALL ".join([
     _kpis_two(USER_KPIS_BODY, USER_KPI_NAMES, SESSION_KPIS_BODY, SESSION_KPI_NAMES),
     _by_value("by_type", _count_body("users", "user_type", keep_null=True)),
     _by_value("by_gender", _count_body("users", "gender", keep_null=True)),
@@ -118,7 +119,8 @@ USERS_SQL = with_views(" UNION ALL ".join([
     _by_key("login_by_hour", _hours("sessions", "created_at")),
     _by_key("login_by_weekday", _weekdays("sessions", "created_at")),
     _by_value("top_users", _TOP_USERS),
-]), "users", "sessions")
+]) 
+USERS_SQL = with_views(USERS_BODY, "users", "sessions")
 
 _SUB_KPIS = (f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, "
              "count(*) FILTER (WHERE status = 'unsubscribed') AS unsubscribed, "
@@ -134,10 +136,15 @@ NEWSLETTER_SQL = with_views(
 
 register("traffic_dashboard", TRAFFIC_SQL)(
     lambda s, d: DB.traffic_dashboard(A.visits(s, d), A.search_log(s, d), AS_OF, HOME))
-register("traffic_document")(
+_DOC = ("SELECT '{' || string_agg(piece, ',' ORDER BY series <> 'kpis', series) || '}' AS document FROM ("
+        "SELECT series, to_json(series)::VARCHAR || ':' || CASE WHEN series = 'kpis' THEN '{' || string_agg("
+        "to_json(label)::VARCHAR || ':' || CAST(value AS VARCHAR), ',' ORDER BY rank) || '}' ELSE "
+        "to_json(list({'label': label, 'value': value} ORDER BY rank))::VARCHAR END AS piece "
+        "FROM long GROUP BY series) p")
+register("traffic_document", with_views(_DOC, "visits", "search_log", ctes=f"long AS ({TRAFFIC_BODY})"))(
     lambda s, d: DB.to_document(DB.traffic_dashboard(A.visits(s, d), A.search_log(s, d), AS_OF, HOME)))
 register("users_dashboard", USERS_SQL)(lambda s, d: DB.users_dashboard(A.users(s, d), A.sessions(s, d), AS_OF))
-register("users_document")(lambda s, d: DB.to_document(DB.users_dashboard(A.users(s, d), A.sessions(s, d), AS_OF)))
+register("users_document", with_views(_DOC, "users", "sessions", ctes=f"long AS ({USERS_BODY})"))(lambda s, d: DB.to_document(DB.users_dashboard(A.users(s, d), A.sessions(s, d), AS_OF)))
 register("newsletter_dashboard", NEWSLETTER_SQL)(
     lambda s, d: DB.newsletter_dashboard(_subs(s, d), A.campaigns(s, d), AS_OF))
 
