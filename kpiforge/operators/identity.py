@@ -159,7 +159,8 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
         F.min_by("name", "seq").alias("first_name"),
         F.min_by("picture", F.when(F.col("picture").isNotNull(), F.col("seq"))).alias("first_picture"),
     )
-    existing = oldest_user_by_email(users).withColumnRenamed("_mail", "email")
+    wanted = per_mail.select(F.col("email").alias("_mail"))
+    existing = oldest_user_by_email(users, wanted).withColumnRenamed("_mail", "email")
     # one row per signing-in e-mail, read by the insert, update and id branches
     matched = materialize(per_mail.join(existing, "email", "left"), "signin-per-mail")
     known = matched.filter(F.col("linked_user_id").isNotNull())
@@ -168,7 +169,9 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     # usernames: taken set from existing users, first-come within the batch
     prefix = F.substring_index(F.col("email"), "@", 1)
     new = new.withColumn("_prefix", prefix).withColumn("_pk", F.lower(prefix))
-    taken = users.filter(F.col("username").isNotNull()).select(F.lower("username").alias("_pk")).distinct()
+    # only usernames equal to a new prefix matter: semi join before the distinct
+    taken = (users.filter(F.col("username").isNotNull()).select(F.lower("username").alias("_pk"))
+             .join(new.select("_pk"), "_pk", "left_semi").distinct())
     first_in_batch = new.groupBy("_pk").agg(F.min_by("email", "first_seq").alias("_winner"))
     new = (new.join(first_in_batch, "_pk", "left")
            .join(taken.withColumn("_taken", F.lit(True)), "_pk", "left"))

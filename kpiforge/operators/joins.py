@@ -77,16 +77,23 @@ def has_email(sessions: DataFrame, users: DataFrame) -> DataFrame:
     return sessions.join(with_mail, "user_id", "left_semi")
 
 
-def oldest_user_by_email(users: DataFrame) -> DataFrame:
-    """lower(email) -> oldest (minimum) user id; one row per key."""
-    return (users.filter(F.col("email").isNotNull())
-            .groupBy(F.lower(F.trim(F.col("email"))).alias("_mail")).agg(F.min("id").alias("linked_user_id")))
+def oldest_user_by_email(users: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """lower(email) -> oldest (minimum) user id; one row per key.
+
+    With ``wanted`` (a column ``_mail`` of keys to look up), users are first
+    reduced by a semi join to the wanted keys, so a lookup for one batch does
+    not shuffle the whole users table.
+    """
+    u = users.filter(F.col("email").isNotNull()).select(F.lower(F.trim(F.col("email"))).alias("_mail"), "id")
+    if wanted is not None:
+        u = u.join(wanted.select("_mail").filter(F.col("_mail").isNotNull()).distinct(), "_mail", "left_semi")
+    return u.groupBy("_mail").agg(F.min("id").alias("linked_user_id"))
 
 
 def link_user_by_email(rows: DataFrame, users: DataFrame, email: str = "email") -> DataFrame:
     """Add ``linked_user_id`` by case-insensitive e-mail; oldest account wins."""
     keyed = rows.withColumn("_mail", F.lower(F.trim(F.col(email))))
-    return keyed.join(oldest_user_by_email(users), "_mail", "left").drop("_mail")
+    return keyed.join(oldest_user_by_email(users, keyed), "_mail", "left").drop("_mail")
 
 
 def _user_keys(users: DataFrame) -> DataFrame:
@@ -103,16 +110,15 @@ def _user_keys(users: DataFrame) -> DataFrame:
 
 def availability(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """Is each (kind, value) candidate still free?  Keys are normalised like the users'."""
-    taken = _user_keys(users).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_holders"))
     norm = F.when(F.col("kind") == "phone", F.trim("value")).otherwise(F.lower(F.trim("value")))
     keyed = candidates.withColumn("key", norm)
+    # only user keys equal to some candidate matter: semi join before grouping
+    taken = (_user_keys(users).join(keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+             .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_holders")))
     return (keyed.join(taken, ["kind", "key"], "left")
             .select(*candidates.columns, F.col("_holders").isNull().alias("available")))
 
 
-_PRIORITY = {"email": 0, "username": 1, "phone": 2}
-
-
 def resolve_identity(logins: DataFrame, users: DataFrame, identifier: str = "identifier",
                      login_id: str = "login_id") -> DataFrame:
     """C11: login identifier -> user by e-mail, username or phone.
@@ -121,13 +127,13 @@ def resolve_identity(logins: DataFrame, users: DataFrame, identifier: str = "ide
     key table (no nested-loop join).  Several matches: e-mail beats username
     beats phone, then the oldest id.  Unmatched logins keep a NULL user.
     """
-    keys = _user_keys(users).groupBy("kind", "key").agg(F.min("user_id").alias("user_id"))
-    prio = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "username", 1).otherwise(2)
-    keys = keys.withColumn("_prio", prio)
     raw = F.trim(F.col(identifier))
     probe = logins.select(
         login_id, identifier,
         F.explode(F.array(F.lower(raw), raw)).alias("key")).distinct()
+    prio = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "username", 1).otherwise(2)
+    keys = (_user_keys(users).join(probe.select("key").distinct(), "key", "left_semi")
+            .groupBy("kind", "key").agg(F.min("user_id").alias("user_id")).withColumn("_prio", prio))
     matched = probe.join(keys, "key", "inner")
     best = matched.groupBy(login_id).agg(
         F.min_by(F.struct("user_id", "kind"), F.struct("_prio", "user_id")).alias("_m"))
