@@ -1,11 +1,11 @@
 """One-row KPI aggregates and small scalar lookups.
 
-Each KPI row is a single ``agg`` over one scan: conditional counts are
-``count_if`` and conditional distincts ``count(DISTINCT CASE ...)``.  Several
-exact distincts in one aggregate make Catalyst plan an ``Expand`` (one copy
-of each row per distinct column) before the partial aggregate.  At large
-scale pass ``approx=True``: ``approx_count_distinct`` (HyperLogLog++) is an
-ordinary partial/final aggregate with fixed-size buffers and no Expand.
+Plain conditional counts (``count_if``) of a KPI row share one pass.  Exact
+distinct counts are, by default, one aggregate each (``kpi_row`` with
+``split=True``): several exact distincts in one aggregate would make Catalyst
+plan an ``Expand`` (one copy of every row per distinct column) before the
+partial aggregate.  ``approx=True`` uses ``approx_count_distinct``
+(HyperLogLog++, fixed-size buffers) in the single pass.
 """
 
 from __future__ import annotations
@@ -21,75 +21,101 @@ def _distinct(c: Column, approx: bool) -> Column:
     return F.approx_count_distinct(c) if approx else F.count_distinct(c)
 
 
-def visit_kpis(visits: DataFrame, as_of, home: str, approx: bool = False) -> DataFrame:
+def kpi_row(df: DataFrame, columns: list[tuple], approx: bool = False, split: bool = True) -> DataFrame:
+    """One-row KPI aggregate from ``(name, aggregate)`` and ``(name, distinct_col, condition)`` specs.
+
+    Plain aggregates always share one pass.  Distinct counts:
+    ``approx`` -> ``approx_count_distinct`` in the same pass (HLL++, no Expand);
+    ``split`` (default) -> one two-stage aggregate per distinct column, its
+    condition applied as a filter (pushed to the scan), joined as one-row
+    results: no Expand, each hash table holds one column's values;
+    otherwise -> ``count(DISTINCT CASE ...)`` in the same pass (Catalyst
+    plans an Expand with one copy of every row per distinct column).
+    """
+    from .joins import one_row_join
+
+    plain = [agg.alias(name) for name, agg in (c for c in columns if len(c) == 2)]
+    distinct = [c for c in columns if len(c) == 3]
+    order = [c[0] for c in columns]
+    if approx or not split or not distinct:
+        aggs = plain + [_distinct(F.when(cond, col) if cond is not None else col, approx).alias(name)
+                        for name, col, cond in distinct]
+        return df.agg(*aggs).select(*order)
+    parts = [(df.filter(cond) if cond is not None else df).agg(F.count_distinct(col).alias(name))
+             for name, col, cond in distinct]
+    base = df.agg(*plain) if plain else parts.pop(0)
+    return one_row_join(base, *parts).select(*order)
+
+
+def visit_kpis(visits: DataFrame, as_of, home: str, approx: bool = False, split: bool = True) -> DataFrame:
     """Twelve visit indicators."""
     cal, ts = Calendar.of(as_of), F.col("visited_at")
     today = cal.on_day(ts)
-    return visits.agg(
-        F.count(F.lit(1)).alias("total_visits"),
-        F.count_if(today).alias("today"),
-        F.count_if(cal.on_day(ts, 1)).alias("yesterday"),
-        F.count_if(cal.since_days(ts, 7)).alias("week"),
-        F.count_if(cal.since_month(ts)).alias("month"),
-        _distinct(F.col("visitor_id"), approx).alias("unique_visitors"),
-        _distinct(F.when(today, F.col("visitor_id")), approx).alias("unique_today"),
-        _distinct(F.col("session_key"), approx).alias("sessions"),
-        F.count_if(F.col("is_registered") == 1).alias("registered"),
-        F.count_if(F.col("is_registered") == 0).alias("guests"),
-        _distinct(F.col("country_code"), approx).alias("countries"),
-        _distinct(F.when(F.col("country_code") == home, F.col("region_name")), approx).alias("home_regions"),
-    )
-
-
-def search_kpis(search: DataFrame, as_of, approx: bool = False) -> DataFrame:
+    return kpi_row(visits, [
+        ("total_visits", F.count(F.lit(1))),
+        ("today", F.count_if(today)),
+        ("yesterday", F.count_if(cal.on_day(ts, 1))),
+        ("week", F.count_if(cal.since_days(ts, 7))),
+        ("month", F.count_if(cal.since_month(ts))),
+        ("unique_visitors", F.col("visitor_id"), None),
+        ("unique_today", F.col("visitor_id"), today),
+        ("sessions", F.col("session_key"), None),
+        ("registered", F.count_if(F.col("is_registered") == 1)),
+        ("guests", F.count_if(F.col("is_registered") == 0)),
+        ("countries", F.col("country_code"), None),
+        ("home_regions", F.col("region_name"), F.col("country_code") == home),
+    ], approx, split)
+
+
+def search_kpis(search: DataFrame, as_of, approx: bool = False, split: bool = True) -> DataFrame:
     """Four search indicators."""
     cal = Calendar.of(as_of)
-    return search.agg(
-        F.count(F.lit(1)).alias("searches"),
-        _distinct(F.col("term_norm"), approx).alias("unique_terms"),
-        F.count_if(F.col("results_cnt") == 0).alias("zero_results"),
-        F.count_if(cal.on_day(F.col("searched_at"))).alias("searches_today"),
-    )
+    return kpi_row(search, [
+        ("searches", F.count(F.lit(1))),
+        ("unique_terms", F.col("term_norm"), None),
+        ("zero_results", F.count_if(F.col("results_cnt") == 0)),
+        ("searches_today", F.count_if(cal.on_day(F.col("searched_at")))),
+    ], approx, split)
 
 
 def user_kpis(users: DataFrame, as_of, active_status: str = "active",
               male: list[str] = MALE_SPELLINGS, female: list[str] = FEMALE_SPELLINGS,
-              approx: bool = False) -> DataFrame:
+              approx: bool = False, split: bool = True) -> DataFrame:
     """D3: fifteen user indicators (gender KPIs fold the listed spellings)."""
     cal, ts = Calendar.of(as_of), F.col("registered_at")
-    return users.agg(
-        F.count(F.lit(1)).alias("total_users"),
-        F.count_if(cal.on_day(ts)).alias("today"),
-        F.count_if(cal.on_day(ts, 1)).alias("yesterday"),
-        F.count_if(cal.since_days(ts, 7)).alias("week"),
-        F.count_if(cal.since_month(ts)).alias("month"),
-        F.count_if(F.col("account_status") == active_status).alias("active_accounts"),
-        F.count_if(F.col("password_hash").isNull()).alias("google_users"),
-        F.count_if(F.col("password_hash").isNotNull()).alias("local_users"),
-        F.count_if(F.col("avatar").isNotNull()).alias("with_avatar"),
-        F.count_if(F.col("phone").isNotNull()).alias("with_phone"),
-        F.count_if(F.col("gender").isin(*male)).alias("males"),
-        F.count_if(F.col("gender").isin(*female)).alias("females"),
-        _distinct(F.col("country"), approx).alias("countries_count"),
-        _distinct(F.col("city"), approx).alias("cities_count"),
-        _distinct(F.col("university"), approx).alias("universities_count"),
-    )
-
-
-def session_kpis(sessions: DataFrame, as_of, approx: bool = False) -> DataFrame:
+    return kpi_row(users, [
+        ("total_users", F.count(F.lit(1))),
+        ("today", F.count_if(cal.on_day(ts))),
+        ("yesterday", F.count_if(cal.on_day(ts, 1))),
+        ("week", F.count_if(cal.since_days(ts, 7))),
+        ("month", F.count_if(cal.since_month(ts))),
+        ("active_accounts", F.count_if(F.col("account_status") == active_status)),
+        ("google_users", F.count_if(F.col("password_hash").isNull())),
+        ("local_users", F.count_if(F.col("password_hash").isNotNull())),
+        ("with_avatar", F.count_if(F.col("avatar").isNotNull())),
+        ("with_phone", F.count_if(F.col("phone").isNotNull())),
+        ("males", F.count_if(F.col("gender").isin(*male))),
+        ("females", F.count_if(F.col("gender").isin(*female))),
+        ("countries_count", F.col("country"), None),
+        ("cities_count", F.col("city"), None),
+        ("universities_count", F.col("university"), None),
+    ], approx, split)
+
+
+def session_kpis(sessions: DataFrame, as_of, approx: bool = False, split: bool = True) -> DataFrame:
     """Nine login indicators.  Addresses are only ever counted, never output."""
     cal, ts = Calendar.of(as_of), F.col("created_at")
-    return sessions.agg(
-        F.count(F.lit(1)).alias("total_sessions"),
-        F.count_if((F.col("is_active") == 1) & cal.after_now(F.col("expires_at"))).alias("active_sessions"),
-        F.count_if(cal.on_day(ts)).alias("logins_today"),
-        F.count_if(cal.since_days(ts, 7)).alias("logins_week"),
-        F.count_if(cal.since_month(ts)).alias("logins_month"),
-        F.count_if(cal.since_hours(ts, 24)).alias("last_24h_logins"),
-        _distinct(F.when(cal.since_days(ts, 7), F.col("user_id")), approx).alias("unique_logins_7d"),
-        _distinct(F.when(cal.since_days(ts, 30), F.col("user_id")), approx).alias("unique_logins_30d"),
-        _distinct(F.col("ip_address"), approx).alias("distinct_ips"),
-    )
+    return kpi_row(sessions, [
+        ("total_sessions", F.count(F.lit(1))),
+        ("active_sessions", F.count_if((F.col("is_active") == 1) & cal.after_now(F.col("expires_at")))),
+        ("logins_today", F.count_if(cal.on_day(ts))),
+        ("logins_week", F.count_if(cal.since_days(ts, 7))),
+        ("logins_month", F.count_if(cal.since_month(ts))),
+        ("last_24h_logins", F.count_if(cal.since_hours(ts, 24))),
+        ("unique_logins_7d", F.col("user_id"), cal.since_days(ts, 7)),
+        ("unique_logins_30d", F.col("user_id"), cal.since_days(ts, 30)),
+        ("distinct_ips", F.col("ip_address"), None),
+    ], approx, split)
 
 
 def subscriber_kpis(subs: DataFrame, as_of) -> DataFrame:
