@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_YEAR
+from .filters import featured_with_figure, optional_equals, published
 from .joins import one_row_join
 from .kpis import latest_year
 
@@ -25,8 +26,7 @@ def resolve_year(achievements: DataFrame, requested: str | int | None) -> DataFr
 
 
 def _published_in(achievements: DataFrame, year: DataFrame) -> DataFrame:
-    return (achievements.filter(F.col("is_published") == 1)
-            .join(F.broadcast(year), F.col("year_no") == F.col("year"), "inner").drop("year"))
+    return published(achievements).join(F.broadcast(year), F.col("year_no") == F.col("year"), "inner").drop("year")
 
 
 def _with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -39,9 +39,7 @@ def _with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
 def achievement_items(achievements: DataFrame, categories: DataFrame, year: DataFrame,
                       category: str | None = None) -> DataFrame:
     """Published items of the year, optional category ('all'/None = every one)."""
-    items = _published_in(achievements, year)
-    if category is not None and category != "all":
-        items = items.filter(F.col("category") == category)
+    items = optional_equals(_published_in(achievements, year), "category", category)
     out = _with_category(items, categories)
     return out.orderBy(F.col("category_order").asc_nulls_last(), F.col("category"),
                        F.col("display_order").asc_nulls_last(), F.col("id")).select(
@@ -51,8 +49,7 @@ def achievement_items(achievements: DataFrame, categories: DataFrame, year: Data
 
 def achievement_stats(achievements: DataFrame, categories: DataFrame, year: DataFrame) -> DataFrame:
     """Featured items with a figure, in category then item order."""
-    items = _published_in(achievements, year).filter(
-        (F.col("is_featured") == 1) & F.col("figure_value").isNotNull())
+    items = featured_with_figure(_published_in(achievements, year))
     out = _with_category(items, categories)
     return out.orderBy(F.col("category_order").asc_nulls_last(), F.col("category"),
                        F.col("display_order").asc_nulls_last(), F.col("id")).select(
