@@ -9,7 +9,8 @@
 * Checkpoints and outputs live under the shared checkpoint folder
   (``spark.checkpoint.dir``), never on a machine-local path.
 * Event time: the driver tables carry ``TIMESTAMP_NTZ``; watermarks need
-  ``TIMESTAMP``, so the stream casts (session time zone UTC).
+  ``TIMESTAMP``, so the stream converts the wall clock as if UTC (independent
+  of the session time zone).
 """
 
 from __future__ import annotations
@@ -96,9 +97,13 @@ def live_daily_counts(spark: SparkSession, events: DataFrame, ts: str = "ts", wa
     open day and is dropped once the watermark passes the day.
     """
     base = out or _base(spark, "daily-counts")
-    counts = (events.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+    # NTZ wall clock -> instant as if UTC (unix_timestamp reads NTZ as UTC), so
+    # 1-day windows are wall-clock days whatever the session time zone
+    event_time = F.timestamp_seconds(F.unix_timestamp(F.col(ts)))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    counts = (events.withColumn("_et", event_time).withWatermark("_et", watermark)
               .groupBy(F.window("_et", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("value"))
-              .select(F.date_format(F.col("w.start").cast("timestamp_ntz"), "yyyy-MM-dd").alias("label"), "value"))
+              .select(F.date_format(day, "yyyy-MM-dd").alias("label"), "value"))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         _write_epoch(batch, os.path.join(base, "table"), epoch)
