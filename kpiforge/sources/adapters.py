@@ -189,7 +189,8 @@ def actions(spark: SparkSession, d: str, events: DataFrame | None = None) -> Dat
         F.lit(None).cast("string").alias("token"),
         F.lit(None).cast("bigint").alias("id"),
         F.when(k % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Name "), k.cast("string"))).alias("name"),
-        F.when(et == "click", F.when(k % 3 == 0, F.lit("unsubscribed")).otherwise(F.lit("active"))).alias("status"),
+        F.when(et == "click", F.when(k % 17 == 0, F.lit("paused")).when(k % 3 == 0, F.lit("unsubscribed"))
+               .otherwise(F.lit("active"))).alias("status"),
     ).filter(F.col("action").isNotNull())
 
 
@@ -445,7 +446,8 @@ SELECT event_id AS seq, ts,
   'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
   CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS id,
   CASE WHEN k % 3 = 0 THEN NULL ELSE 'Name ' || CAST(k AS VARCHAR) END AS name,
-  CASE WHEN event_type = 'click' THEN (CASE WHEN k % 3 = 0 THEN 'unsubscribed' ELSE 'active' END) END AS status
+  CASE WHEN event_type = 'click' THEN (CASE WHEN k % 17 = 0 THEN 'paused' WHEN k % 3 = 0 THEN 'unsubscribed'
+       ELSE 'active' END) END AS status
 FROM {_EV} e) WHERE action IS NOT NULL""",
     "campaigns": """
 SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS subject, '<p>News for ' || r_name || '</p>' AS body_html,
