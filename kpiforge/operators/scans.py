@@ -55,3 +55,28 @@ def keyed_lag(df: DataFrame, key: str, order: str | list[str], value: str | Colu
              .withColumnRenamed("_carry", out))
     inner = d.filter(~F.col("_edge"))
     return inner.unionByName(edges).drop("_chunk", "_edge", "_v")
+
+
+def keyed_last_before(df: DataFrame, key: str, order: str | list[str], value: str | Column, out: str,
+                      chunk_size: int = DEFAULT_CHUNK, chunk: Column | None = None) -> DataFrame:
+    """Add ``out`` = the last non-NULL ``value`` strictly before each row of ``key``.
+
+    Inside a (key, chunk) window: ``last(value, ignorenulls)`` over the rows
+    before.  Rows with nothing earlier in their chunk take the last non-NULL
+    value of the earlier chunks, from a per-(key, chunk) summary scanned in
+    chunk order (one row per chunk, not per event).
+    """
+    cols = [order] if isinstance(order, str) else list(order)
+    ch = chunk if chunk is not None else chunk_of(F.col(cols[0]), chunk_size)
+    val = F.col(value) if isinstance(value, str) else value
+    d = df.withColumn("_chunk", ch).withColumn("_v", val)
+    before = Window.partitionBy(key, "_chunk").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    d = materialize(d.withColumn("_in", F.last("_v", ignorenulls=True).over(before)), "keyed-last")
+    # last non-NULL value of each chunk (NULL orderings are skipped by max_by)
+    ends = d.groupBy(key, "_chunk").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*cols))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(key, "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    return (d.join(carry, [key, "_chunk"], "left")
+            .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry")))
+            .drop("_chunk", "_v", "_in", "_carry"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..schemas import SUBSCRIBER_STATUSES
 from .filters import optional_equals, text_search
 from .joins import link_user_by_email
-from .scans import DEFAULT_CHUNK, keyed_lag
+from .scans import DEFAULT_CHUNK, keyed_lag, keyed_last_before
 
 ACTIONS = ["subscribe", "unsubscribe", "add", "set_status", "delete"]
 
@@ -145,6 +145,36 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
         "status", "confirm_token", "source", "subscribed_at", "unsubscribed_at")
 
 
+def action_outcomes(actions: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+    """The handler's answer to every validated action, in the action log's terms.
+
+    A row exists right before an action when the last subscribe/add/delete
+    before it is a subscribe or add; its status then is the result of the
+    previous action.  Outcomes: subscribe -> subscribed / reactivated /
+    already_subscribed; add -> added / updated; unsubscribe -> unsubscribed /
+    not_active (invalid or used link); set_status -> status_set / no_row;
+    delete -> deleted / no_row.
+    """
+    a = actions.select("seq", "ts", "action", "email", "status")
+    after = (F.when(F.col("action").isin("subscribe", "add"), F.lit("active"))
+             .when(F.col("action") == "unsubscribe", F.lit("unsubscribed"))
+             .when(F.col("action") == "set_status", F.col("status"))
+             .otherwise(F.lit("deleted")))
+    a = keyed_lag(a.withColumn("_after", after), "email", "seq", "_after", "_prev", chunk_size)
+    life = F.when(F.col("action").isin("subscribe", "add", "delete"), F.col("action"))
+    a = keyed_last_before(a, "email", "seq", life, "_life", chunk_size)
+    act, prev = F.col("action"), F.col("_prev")
+    exists = F.coalesce(F.col("_life").isin("subscribe", "add"), F.lit(False))
+    outcome = (F.when(act == "subscribe", F.when(~exists, F.lit("subscribed"))
+                      .when(prev == "unsubscribed", F.lit("reactivated")).otherwise(F.lit("already_subscribed")))
+               .when(act == "add", F.when(exists, F.lit("updated")).otherwise(F.lit("added")))
+               .when(act == "unsubscribe", F.when(exists & (prev == "active"), F.lit("unsubscribed"))
+                     .otherwise(F.lit("not_active")))
+               .when(act == "set_status", F.when(exists, F.lit("status_set")).otherwise(F.lit("no_row")))
+               .otherwise(F.when(exists, F.lit("deleted")).otherwise(F.lit("no_row"))))
+    return a.select("seq", "email", "action", outcome.alias("outcome"))
+
+
 def subscriber_list(subs: DataFrame, query: str | None = None, status: str | None = None, n: int = 300) -> DataFrame:
     """Newest first, at most ``n``; literal case-insensitive search on e-mail or name."""
     df = optional_equals(text_search(subs, ["email", "full_name"], query), "status", status)

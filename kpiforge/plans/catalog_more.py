@@ -439,3 +439,20 @@ register("achievement_defaults", with_views(
     "achievements"))(
     lambda s, d: FL.default_values(A.achievements(s, d)).select("id", "display_order", "is_featured",
                                                                  "is_published", "year_no"))
+
+_OUTCOME_SQL = """
+SELECT seq, email, action, CASE
+  WHEN action = 'subscribe' THEN CASE WHEN NOT ex THEN 'subscribed' WHEN prev = 'unsubscribed' THEN 'reactivated'
+                                      ELSE 'already_subscribed' END
+  WHEN action = 'add' THEN CASE WHEN ex THEN 'updated' ELSE 'added' END
+  WHEN action = 'unsubscribe' THEN CASE WHEN ex AND prev = 'active' THEN 'unsubscribed' ELSE 'not_active' END
+  WHEN action = 'set_status' THEN CASE WHEN ex THEN 'status_set' ELSE 'no_row' END
+  ELSE CASE WHEN ex THEN 'deleted' ELSE 'no_row' END END AS outcome
+FROM (SELECT *, coalesce(last_value(CASE WHEN action IN ('subscribe', 'add', 'delete') THEN action END IGNORE NULLS)
+        OVER (PARTITION BY email ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IN ('subscribe', 'add'),
+        false) AS ex,
+      lag(CASE WHEN action IN ('subscribe', 'add') THEN 'active' WHEN action = 'unsubscribe' THEN 'unsubscribed'
+               WHEN action = 'set_status' THEN status ELSE 'deleted' END) OVER (PARTITION BY email ORDER BY seq) AS prev
+      FROM acts) q"""
+register("action_outcomes", _fold_with(_OUTCOME_SQL))(
+    lambda s, d: SUB.action_outcomes(SUB.validate_actions(A.actions(s, d))[0]))

@@ -92,3 +92,45 @@ def test_keyed_lag_matches_plain_window(spark, lead):
     fn = F.lead if lead else F.lag
     want = {r["o"]: r["x"] for r in df.withColumn("x", fn("v").over(w)).collect()}
     assert got == want
+
+
+def machine_outcomes(actions):
+    rows, out = {}, {}
+    for seq, ts, action, email, name, status in sorted(actions):
+        r = rows.get(email)
+        if action == "subscribe":
+            out[seq] = "subscribed" if r is None else ("reactivated" if r == "unsubscribed" else "already_subscribed")
+            rows[email] = "active"
+        elif action == "add":
+            out[seq] = "added" if r is None else "updated"
+            rows[email] = "active"
+        elif action == "unsubscribe":
+            out[seq] = "unsubscribed" if r == "active" else "not_active"
+            if r == "active":
+                rows[email] = "unsubscribed"
+        elif action == "set_status":
+            out[seq] = "no_row" if r is None else "status_set"
+            if r is not None:
+                rows[email] = status
+        else:
+            out[seq] = "no_row" if r is None else "deleted"
+            rows.pop(email, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_outcomes_equal_state_machine(spark, seed):
+    log = random_log(random.Random(seed), 40)
+    good, _ = subscribers.validate_actions(to_df(spark, log))
+    got = {r["seq"]: r["outcome"] for r in subscribers.action_outcomes(good, chunk_size=4).collect()}
+    assert got == machine_outcomes(log)
+
+
+def test_keyed_last_before_matches_plain_window(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice("ab"), i, rng.choice([None, None, rng.randrange(100)])) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {r["o"]: r["x"] for r in scans.keyed_last_before(df, "k", "o", "v", "x", chunk_size=4).collect()}
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r["o"]: r["x"] for r in df.withColumn("x", F.last("v", ignorenulls=True).over(w)).collect()}
+    assert got == want
