@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import GOOGLE_ISSUERS, REFRESH_DAYS, SESSION_DAYS, CLAIMS
 from ..session import checkpoint_dir, materialize
-from .joins import oldest_user_by_email, one_row_join
+from .joins import never_null_id, never_null_key, oldest_user_by_email, one_row_join
 
 
 # ---------------------------------------------------------------- H9, H10 --
@@ -35,9 +35,10 @@ def dedupe_accounts(users: DataFrame) -> DataFrame:
 
 def repoint_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Sessions of duplicate accounts follow the canonical account."""
-    m = account_mapping(users).withColumnRenamed("id", "user_id")
-    return (sessions.join(m, "user_id", "left")
-            .withColumn("user_id", F.coalesce("canonical_id", "user_id")).drop("canonical_id")
+    m = account_mapping(users).select(F.col("id").alias("_uk"), "canonical_id")
+    keyed = sessions.withColumn("_uk", never_null_id(F.col("user_id"), F.col("session_id")))
+    return (keyed.join(m, "_uk", "left")
+            .withColumn("user_id", F.coalesce("canonical_id", "user_id"))
             .select(*sessions.columns))
 
 
@@ -91,7 +92,8 @@ def merge_accounts(users: DataFrame, sessions: DataFrame, mapping: DataFrame) ->
     """
     resolved = resolve_chains(mapping)
     ok = resolved.filter(F.col("status") == "ok").select("src", "dst")
-    moved = (sessions.join(ok.withColumnRenamed("src", "user_id"), "user_id", "left")
+    keyed = sessions.withColumn("_uk", never_null_id(F.col("user_id"), F.col("session_id")))
+    moved = (keyed.join(ok.withColumnRenamed("src", "_uk"), "_uk", "left")
              .withColumn("user_id", F.coalesce("dst", "user_id")).select(*sessions.columns))
     src_mail = (ok.join(users.select(F.col("id").alias("src"), F.col("email").alias("_m")), "src", "inner")
                 .filter(F.col("_m").isNotNull())
@@ -107,7 +109,8 @@ def stitch_visitors(visits: DataFrame) -> DataFrame:
     """Tie every visit of a visitor to the user that visitor last signed in as."""
     known = (visits.filter(F.col("user_id").isNotNull() & F.col("visitor_id").isNotNull())
              .groupBy("visitor_id").agg(F.max_by("user_id", F.struct("visited_at", "id")).alias("_known")))
-    return (visits.join(known, "visitor_id", "left")
+    keyed = visits.withColumn("_vk", never_null_key(F.col("visitor_id"), F.col("id")))
+    return (keyed.join(known.withColumnRenamed("visitor_id", "_vk"), "_vk", "left")
             .select("id", "visitor_id", "user_id", F.coalesce("user_id", "_known").alias("stitched_user_id")))
 
 

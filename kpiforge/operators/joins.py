@@ -39,6 +39,11 @@ def never_null_key(key: Column, row_id: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000"), row_id.cast("string")))
 
 
+def never_null_id(key: Column, row_id: Column) -> Column:
+    """Numeric form of ``never_null_key`` for non-negative id keys: NULL -> -1 - row id."""
+    return F.coalesce(key, -1 - F.abs(row_id.cast("bigint")))
+
+
 def valid_session_users(sessions: DataFrame, as_of) -> DataFrame:
     """token -> user_id for tokens with exactly one valid session.
 
