@@ -18,7 +18,7 @@ from ..sources.adapters import with_views
 from .catalog import AS_OF, HOME, C, register
 
 AUDIENCES = ["client-main", "client-mini"]
-FROM_NAME = "Youth Data"
+FROM_NAME = "The Newsletter Team"
 UNSUB_BASE = "https://example.org/newsletter/unsubscribe/"
 INTAKE_COUNTRY_WIDTH = 10
 SALT = "newsletter"
