@@ -107,8 +107,8 @@ register("local_vs_foreign", with_views(
     "ELSE 'foreign' END AS label, count(*) AS value FROM visits GROUP BY 1", "visits"))(
     lambda s, d: series.local_vs_foreign(A.visits(s, d), HOME))
 register("cities_in_out", with_views(
-    "SELECT side, label, value, rank FROM (SELECT side, label, value, row_number() OVER (PARTITION BY side "
-    "ORDER BY value DESC, label ASC NULLS LAST) AS rank FROM (SELECT side, label, count(*) AS value FROM ("
+    "SELECT side, label, value, rank FROM (SELECT side, label, value, CAST(row_number() OVER (PARTITION BY side "
+    "ORDER BY value DESC, label ASC NULLS LAST) AS INTEGER) AS rank FROM (SELECT side, label, count(*) AS value FROM ("
     f"SELECT CASE WHEN country_code = '{HOME}' THEN 'inside' ELSE 'outside' END AS side, "
     "nullif(trim(city), '') AS label FROM visits WHERE country_code IS NOT NULL) a WHERE label IS NOT NULL "
     "GROUP BY 1, 2) b) c WHERE rank <= 10", "visits"))(lambda s, d: series.cities_in_out(A.visits(s, d), HOME))
@@ -120,7 +120,8 @@ register("unique_visitors_by_region", with_views(
 
 def _top_per_region_sql(view: str, dim: str, kind: str, k: int) -> str:
     return (f"SELECT '{kind}' AS kind, region, rank, label, value FROM (SELECT region, label, value, "
-            "row_number() OVER (PARTITION BY region ORDER BY value DESC, label ASC NULLS LAST) AS rank FROM ("
+            "CAST(row_number() OVER (PARTITION BY region ORDER BY value DESC, label ASC NULLS LAST) AS INTEGER) "
+            "AS rank FROM ("
             f"SELECT region_name AS region, nullif(trim({dim}), '') AS label, count(*) AS value FROM {view} "
             f"GROUP BY 1, 2) a WHERE label IS NOT NULL) b WHERE rank <= {k} AND region IS NOT NULL")
 

@@ -104,7 +104,8 @@ register("user_not_null_violations", with_views(
 _WIDTH_COLS = {"visitor_id": 64, "path": 500, "pattern": 200, "title": 300, "referrer": 500, "city": 100,
                "device": 20, "browser": 50, "os": 50, "session_key": 64, "region": 10}
 register("intake_length_violations", with_views(" UNION ALL ".join(
-    f"SELECT event_id, '{c}' AS \"column\", length({c}) AS length, {w} AS \"limit\" FROM visit_events "
+    f"SELECT event_id, '{c}' AS \"column\", CAST(length({c}) AS INTEGER) AS length, {w} AS \"limit\" "
+    "FROM visit_events "
     f"WHERE length({c}) > {w}" for c, w in _WIDTH_COLS.items()), "visit_events"))(
     lambda s, d: quality.length_violations(A.visit_events(s, d), _WIDTH_COLS, "event_id"))
 
