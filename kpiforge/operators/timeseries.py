@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 from ..functions import Calendar, lit_date
 
 
-def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30) -> DataFrame:
-    """rows per day for the last ``days`` days (no upper bound), sparse, ascending."""
+def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: str | None = None) -> DataFrame:
+    """rows per day for the last ``days`` days (no upper bound), sparse, ascending.
+
+    With ``day_partition`` (the date column a table is partitioned by, as
+    written by ``sources.sinks.append_events``) the same bound is also put on
+    the partition column, so older day folders are never listed or opened.
+    """
     cal = Calendar.of(as_of)
+    if day_partition is not None:
+        df = df.filter(F.col(day_partition) >= lit_date(cal.days_back(days - 1).date()))
     rows = df.filter(cal.since_days(F.col(ts), days)).select(F.to_date(ts).alias("_day"))
     out = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("value"))
     return out.orderBy("_day").select(F.date_format("_day", "yyyy-MM-dd").alias("label"), "value")

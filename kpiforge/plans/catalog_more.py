@@ -377,7 +377,7 @@ def _search_intake(s, d):
     return INT.search_intake(A.search_events(s, d), A.sessions(s, d), seed_regions(s), AS_OF, HOME, INTAKE_COUNTRY_WIDTH)
 
 
-VISIT_INTAKE_SQL = with_views(f"""
+VISIT_INTAKE_BODY = f"""
 SELECT e.event_id AS id, e.visitor_id, t.uid AS user_id, CASE WHEN t.uid IS NULL THEN 0 ELSE 1 END AS is_registered,
   substr(e.path, 1, 500) AS page_path, substr(e.pattern, 1, 200) AS page_pattern, substr(e.title, 1, 300) AS page_title,
   substr(e.referrer, 1, 500) AS referrer, upper(e.country) AS country_code, e.region AS region_code, r.name AS region_name,
@@ -385,7 +385,8 @@ SELECT e.event_id AS id, e.visitor_id, t.uid AS user_id, CASE WHEN t.uid IS NULL
 FROM (SELECT *, {_visit_reason(INTAKE_COUNTRY_WIDTH)} AS reason FROM visit_events) e
 LEFT JOIN {_TOKEN_USERS} t ON e.token = t.token
 LEFT JOIN regions_seed r ON upper(e.country) = '{HOME}' AND e.region = r.code
-WHERE e.reason IS NULL""", "visit_events", "sessions", "regions_seed")
+WHERE e.reason IS NULL"""
+VISIT_INTAKE_SQL = with_views(VISIT_INTAKE_BODY, "visit_events", "sessions", "regions_seed")
 register("visit_intake", VISIT_INTAKE_SQL)(lambda s, d: _visit_intake(s, d)[0])
 register("visit_quarantine", with_views(
     f"SELECT event_id, received_at, reason FROM (SELECT *, {_visit_reason(INTAKE_COUNTRY_WIDTH)} AS reason "
@@ -457,3 +458,22 @@ FROM (SELECT *, coalesce(last_value(CASE WHEN action IN ('subscribe', 'add', 'de
       FROM acts) q"""
 register("action_outcomes", _fold_with(_OUTCOME_SQL))(
     lambda s, d: SUB.action_outcomes(SUB.validate_actions(A.actions(s, d))[0]))
+
+
+# ------------------------------------------------- stored, day-partitioned --
+def _stored_daily(s, d):
+    """Intake writes the visits table partitioned by day; the 30-day series prunes folders."""
+    from ..operators import timeseries
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    visits, _ = _visit_intake(s, d)
+    path = scratch_path(s, "visits-by-day")
+    sinks.append_events(visits, path, "visited_at")
+    return timeseries.daily_counts(s.read.parquet(path), "visited_at", AS_OF, 30, day_partition="day")
+
+
+register("stored_daily_counts", with_views(
+    "SELECT strftime(CAST(visited_at AS DATE), '%Y-%m-%d') AS label, count(*) AS value FROM intake "
+    f"WHERE {C.since_days('visited_at', 30)} GROUP BY 1", "visit_events", "sessions", "regions_seed",
+    ctes="intake AS (" + VISIT_INTAKE_BODY + ")"))(_stored_daily)
