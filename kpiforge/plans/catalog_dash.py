@@ -161,3 +161,8 @@ register("collapse_typing", with_views(
     "ORDER BY searched_at, id) AS nt FROM search_log) q WHERE visitor_id IS NULL OR nt IS NULL "
     "OR nt > searched_at + INTERVAL 7200 SECOND", "search_log"))(
     lambda s, d: sessionize.collapse_typing(A.search_log(s, d), 7200).select("id", "visitor_id", "term_norm", "searched_at"))
+
+register("traffic_chart_arrays", with_views(
+    "SELECT series, list(label ORDER BY rank) AS labels, list(value ORDER BY rank) AS \"values\" FROM long "
+    "GROUP BY series", "visits", "search_log", ctes=f"long AS ({TRAFFIC_BODY})"))(
+    lambda s, d: DB.series_arrays(DB.traffic_dashboard(A.visits(s, d), A.search_log(s, d), AS_OF, HOME)))

@@ -477,3 +477,16 @@ register("stored_daily_counts", with_views(
     "SELECT strftime(CAST(visited_at AS DATE), '%Y-%m-%d') AS label, count(*) AS value FROM intake "
     f"WHERE {C.since_days('visited_at', 30)} GROUP BY 1", "visit_events", "sessions", "regions_seed",
     ctes="intake AS (" + VISIT_INTAKE_BODY + ")"))(_stored_daily)
+
+
+def _escaped_list(s, d):
+    from ..functions import html_escape
+
+    rows = SUB.subscriber_list(_subs(s, d), None, "all")
+    return rows.select("id", html_escape("email").alias("email_html"), html_escape("name").alias("name_html"))
+
+
+_ESC = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+register("subscriber_rows_html", _fold_with(
+    f"SELECT id, {_ESC.format(c='email')} AS email_html, {_ESC.format(c='full_name')} AS name_html "
+    "FROM subs ORDER BY id DESC LIMIT 300"))(_escaped_list)

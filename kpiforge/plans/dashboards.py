@@ -139,3 +139,14 @@ def to_document(long: DataFrame) -> DataFrame:
                                  F.concat(key, F.lit(":"), frag).alias("_p")).alias("_e"))
     body = pieces.agg(F.array_join(F.transform(F.array_sort(F.collect_list("_e")), lambda x: x["_p"]), ",").alias("_b"))
     return body.select(F.concat(F.lit("{"), F.col("_b"), F.lit("}")).alias("document"))
+
+
+def series_arrays(long: DataFrame) -> DataFrame:
+    """Each series as two parallel arrays (labels, values) in rank order, the chart input."""
+    from ..functions import pairs_to_arrays
+
+    per = long.groupBy("series").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "value"))),
+                    lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("_lv"))
+    labels, values = pairs_to_arrays("_lv")
+    return per.select("series", labels.alias("labels"), values.alias("values"))

@@ -220,3 +220,11 @@ def test_document_is_json(spark):
     s = spark.createDataFrame([tuple({"id": 1, "term_norm": "x"}.get(n) for n in names)], schemas.SEARCH_LOG)
     doc = json.loads(DB.to_document(DB.traffic_dashboard(v, s, ts("2024-01-30 12:00:00"), "SA")).first()[0])
     assert list(doc)[0] == "kpis" and doc["kpis"]["total_visits"] == 1 and doc["top_pages"] == [{"label": "/a", "value": 1}]
+
+
+# HTML escape, '&' first so entities are not doubled
+def test_html_escape(spark):
+    from kpiforge.functions import html_escape
+
+    df = spark.createDataFrame([('<a href="x">&amp;</a>',)], "s string")
+    assert df.select(html_escape("s")).first()[0] == "&lt;a href=&quot;x&quot;&gt;&amp;amp;&lt;/a&gt;"
