@@ -11,7 +11,6 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import kpis, series, timeseries
 from ..sources import adapters as A

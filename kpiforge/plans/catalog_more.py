@@ -11,7 +11,6 @@ from ..operators import intake as INT
 from ..operators import joins as J
 from ..operators import kpis, quality
 from ..operators import subscribers as SUB
-from ..schemas import VISIT_WIDTHS
 from ..sources import adapters as A
 from ..sources.tables import seed_regions
 from ..sources.adapters import with_views

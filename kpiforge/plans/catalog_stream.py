@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from .. import streaming as ST
 from ..sources import adapters as A

@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, ts
-from kpiforge import schemas, streaming
+from kpiforge import streaming
 from kpiforge.operators import intake, subscribers
 from kpiforge.plans.catalog import AS_OF, HOME
 from kpiforge.session import checkpoint_dir
