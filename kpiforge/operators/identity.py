@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import GOOGLE_ISSUERS, REFRESH_DAYS, SESSION_DAYS, CLAIMS
+from ..schemas import GOOGLE_ISSUERS, REFRESH_DAYS, SESSION_DAYS
 from ..session import checkpoint_dir, materialize
 from .joins import never_null_id, never_null_key, oldest_user_by_email, one_row_join
 
@@ -117,9 +117,9 @@ def stitch_visitors(visits: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ A6, B10, H7, H8 --
 def read_claims(df: DataFrame, json_col: str = "claim_json") -> DataFrame:
     """Parse identity claims from JSON text (fields absent in the text are NULL)."""
-    parsed = F.from_json(F.col(json_col), CLAIMS)
-    return df.select(*[c for c in df.columns if c != json_col], parsed.alias("_c")).select(
-        *[c for c in df.columns if c != json_col], "_c.*")
+    from ..sources.events import read_claims as parse
+
+    return parse(df, json_col)
 
 
 def claim_checks(audiences: list[str], issuers: list[str] = GOOGLE_ISSUERS) -> F.Column:
