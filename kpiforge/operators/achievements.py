@@ -1,10 +1,10 @@
 """Achievements report: year resolution, items, headline stats, category counts.
 
-The year is resolved inside the plan (``try_cast`` of the request text, else
-the newest published year, else 2025) as a one-row DataFrame that is
-cross-joined (broadcast, exactly one row) to the facts, so nothing is pulled
-to the driver between steps.  Categories are a bounded dimension and are
-broadcast.
+A requested year that parses is a literal filter (pushed to the scan).
+Otherwise the newest published year (else 2025) stays in the plan as a
+one-row aggregate joined to the facts on ``year_no`` (broadcast, exactly one
+row), so nothing is pulled to the driver.  Categories are a bounded
+dimension and are broadcast.
 """
 
 from __future__ import annotations
@@ -18,15 +18,38 @@ from .joins import one_row_join
 from .kpis import latest_year
 
 
-def resolve_year(achievements: DataFrame, requested: str | int | None) -> DataFrame:
-    """One row, column ``year``: the requested year if it parses, else D7."""
-    text = None if requested is None else str(requested)
-    req = F.lit(text).cast("string").try_cast("int")
-    return latest_year(achievements, DEFAULT_YEAR).select(F.coalesce(req, F.col("year")).cast("int").alias("year"))
+def _parse_year(requested) -> int | None:
+    try:
+        return int(str(requested).strip())
+    except (TypeError, ValueError):
+        return None
 
 
-def _published_in(achievements: DataFrame, year: DataFrame) -> DataFrame:
-    return published(achievements).join(F.broadcast(year), F.col("year_no") == F.col("year"), "inner").drop("year")
+def resolve_year(achievements: DataFrame, requested: str | int | None) -> int | DataFrame:
+    """The report year (S33): the requested year if it parses, else D7.
+
+    The request parameter is parsed on the driver (it is an argument, not
+    data) and returned as an int; only the fallback is data-derived, a
+    one-row DataFrame with column ``year``.
+    """
+    try:
+        return int(str(requested).strip())
+    except (TypeError, ValueError):
+        return latest_year(achievements, DEFAULT_YEAR)
+
+
+def year_frame(achievements: DataFrame, year: int | DataFrame) -> DataFrame:
+    """The resolved year as a one-row DataFrame."""
+    if isinstance(year, DataFrame):
+        return year
+    return achievements.sparkSession.range(1).select(F.lit(year).cast("int").alias("year"))
+
+
+def _published_in(achievements: DataFrame, year: int | DataFrame) -> DataFrame:
+    pub = published(achievements)
+    if not isinstance(year, DataFrame):
+        return pub.filter(F.col("year_no") == year)  # pushed to the scan
+    return pub.join(F.broadcast(year), F.col("year_no") == F.col("year"), "inner").drop("year")
 
 
 def _with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -36,7 +59,7 @@ def _with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
     return items.join(cats, "category", "inner")
 
 
-def achievement_items(achievements: DataFrame, categories: DataFrame, year: DataFrame,
+def achievement_items(achievements: DataFrame, categories: DataFrame, year: int | DataFrame,
                       category: str | None = None) -> DataFrame:
     """Published items of the year, optional category ('all'/None = every one)."""
     items = optional_equals(_published_in(achievements, year), "category", category)
@@ -47,7 +70,7 @@ def achievement_items(achievements: DataFrame, categories: DataFrame, year: Data
         "figure_label", "source_url", (F.col("is_featured") == 1).alias("featured"))
 
 
-def achievement_stats(achievements: DataFrame, categories: DataFrame, year: DataFrame) -> DataFrame:
+def achievement_stats(achievements: DataFrame, categories: DataFrame, year: int | DataFrame) -> DataFrame:
     """Featured items with a figure, in category then item order."""
     items = featured_with_figure(_published_in(achievements, year))
     out = _with_category(items, categories)
@@ -56,7 +79,7 @@ def achievement_stats(achievements: DataFrame, categories: DataFrame, year: Data
         "id", F.col("figure_value").alias("value"), F.col("figure_label").alias("label"), "category", "color")
 
 
-def category_counts(achievements: DataFrame, categories: DataFrame, year: DataFrame) -> DataFrame:
+def category_counts(achievements: DataFrame, categories: DataFrame, year: int | DataFrame) -> DataFrame:
     """Categories with their item count for the year; empty ones hidden."""
     counts = _published_in(achievements, year).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
     out = _with_category(counts, categories)
@@ -105,7 +128,7 @@ def achievements_document(achievements: DataFrame, categories: DataFrame, reques
     cat_doc = _sorted_array(counted, "categories", [F.col("_co"), F.col("category")], [
         F.col("category").alias("code"), F.col("category_name").alias("name"), F.col("icon"), F.col("color"),
         F.col("count")])
-    doc = one_row_join(year, years, stats, cat_doc, items)
+    doc = one_row_join(year_frame(achievements, year), years, stats, cat_doc, items)
     body = F.struct(
         F.col("year"), F.coalesce(F.col("years"), F.array()).alias("years"),
         F.coalesce(F.col("stats"), F.array()).alias("stats"),

@@ -27,13 +27,13 @@ def kpi_row(df: DataFrame, columns: list[tuple], approx: bool = False, split: bo
     Plain aggregates always share one pass.  Distinct counts:
     ``approx`` -> ``approx_count_distinct`` in the same pass (HLL++, no Expand);
     ``split`` (default) -> one two-stage aggregate per distinct column, its
-    condition applied as a filter (pushed to the scan), joined as one-row
-    results: no Expand, each hash table holds one column's values;
+    condition applied as a filter (pushed to the scan): no Expand, each hash
+    table holds one column's values.  The one-row results are stacked as
+    (name, value) rows and folded back into one row by a final aggregate
+    over those few rows (no join);
     otherwise -> ``count(DISTINCT CASE ...)`` in the same pass (Catalyst
     plans an Expand with one copy of every row per distinct column).
     """
-    from .joins import one_row_join
-
     plain = [agg.alias(name) for name, agg in (c for c in columns if len(c) == 2)]
     distinct = [c for c in columns if len(c) == 3]
     order = [c[0] for c in columns]
@@ -41,10 +41,17 @@ def kpi_row(df: DataFrame, columns: list[tuple], approx: bool = False, split: bo
         aggs = plain + [_distinct(F.when(cond, col) if cond is not None else col, approx).alias(name)
                         for name, col, cond in distinct]
         return df.agg(*aggs).select(*order)
-    parts = [(df.filter(cond) if cond is not None else df).agg(F.count_distinct(col).alias(name))
-             for name, col, cond in distinct]
-    base = df.agg(*plain) if plain else parts.pop(0)
-    return one_row_join(base, *parts).select(*order)
+    parts = [(df.filter(cond) if cond is not None else df).agg(F.count_distinct(col).cast("bigint").alias("_v"))
+             .select(F.lit(name).alias("_k"), "_v") for name, col, cond in distinct]
+    if plain:
+        base = df.agg(*plain)
+        parts.append(base.select(F.explode(F.map_from_arrays(
+            F.array(*[F.lit(n) for n in base.columns]),
+            F.array(*[F.col(n).cast("bigint") for n in base.columns]))).alias("_k", "_v")))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    return stacked.agg(*[F.max(F.when(F.col("_k") == n, F.col("_v"))).cast("bigint").alias(n) for n in order])
 
 
 def visit_kpis(visits: DataFrame, as_of, home: str, approx: bool = False, split: bool = True) -> DataFrame:
