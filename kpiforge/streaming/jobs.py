@@ -123,7 +123,10 @@ def read_versions(spark: SparkSession, base: str, key: str = "label") -> DataFra
 def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, epochs: list[int] | None = None):
     """The K4 micro-batch function: fold (previous snapshot + this batch) -> next version.
 
-    Version ``v=<epoch>`` is written with mode overwrite, so a retried epoch
+    Only subscribers whose e-mail appears in the batch are re-folded (their
+    previous rows enter as 'state' actions); all others are copied by an anti
+    join, so the fold costs O(batch + touched rows), not O(table).  Version
+    ``v=<epoch>`` is written with mode overwrite, so a retried epoch
     recomputes the same version from the same previous one.  The function
     runs on the driver; written epochs are appended to ``epochs``.
     """
@@ -136,7 +139,14 @@ def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, epoch
                 prev = spark.read.parquet(os.path.join(base, "snapshots", f"v={epoch - 1}"))
             except AnalysisException:
                 prev = None
-        snap = subscribers.fold_subscribers(good, users, salt, snapshot=prev)
+        if prev is None:
+            snap = subscribers.fold_subscribers(good, users, salt)
+        else:
+            # only e-mails this batch touches are re-folded; the rest carry over
+            touched = good.select("email").distinct()
+            changed = subscribers.fold_subscribers(
+                good, users, salt, snapshot=prev.join(touched, "email", "left_semi"))
+            snap = prev.join(touched, "email", "left_anti").unionByName(changed.select(prev.columns))
         snap.write.mode("overwrite").parquet(os.path.join(base, "snapshots", f"v={epoch}"))
         bad.write.mode("overwrite").parquet(os.path.join(base, "quarantine", f"batch={epoch}"))
         if epochs is not None:
