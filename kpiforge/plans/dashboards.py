@@ -50,25 +50,32 @@ def _finish(parts: list[DataFrame]) -> DataFrame:
 def profile_bundle(df: DataFrame, dims: dict[str, str], ts: str | None, prefix: str = "") -> list[DataFrame]:
     """Keep-NULL label counts for several columns plus hour/weekday of ``ts`` from one scan.
 
-    ``dims`` maps series name -> column.  One ``groupingSets`` aggregate; each
-    set's rows are told apart with ``grouping()``.
+    ``dims`` maps series name -> column.  One ``groupingSets`` aggregate; the
+    set a row belongs to is read from ``grouping()`` flags in the same
+    projection, so the aggregate is referenced once (one scan, one Expand)
+    and yields rows of every series.
     """
     cols = {name: clean_label(c, UNSPECIFIED).alias(name) for name, c in dims.items()}
+    keyed = []
     if ts is not None:
-        cols[f"{prefix}by_hour"] = F.hour(ts).alias(f"{prefix}by_hour")
-        cols[f"{prefix}by_weekday"] = F.weekday(ts).alias(f"{prefix}by_weekday")
+        for n, fn in ((f"{prefix}by_hour", F.hour), (f"{prefix}by_weekday", F.weekday)):
+            cols[n] = fn(ts).alias(n)
+            keyed.append(n)
     names = list(cols)
     g = (df.select(*cols.values()).groupingSets([[n] for n in names], *names)
          .agg(F.count(F.lit(1)).alias("value"), *[F.grouping(n).alias(f"_g_{n}") for n in names]))
-    out = []
+    series = label = k1 = None
     for n in names:
-        one = g.filter(F.col(f"_g_{n}") == 0).withColumnRenamed(n, "_lab")
-        if n.endswith("by_hour") or n.endswith("by_weekday"):
-            one = one.filter(F.col("_lab").isNotNull())
-            out.append(_rank_by_key(n, one, F.col("_lab"), F.col("_lab")))
-        else:
-            out.append(_rank_by_value(n, one.withColumnRenamed("_lab", "label")))
-    return out
+        in_set = F.col(f"_g_{n}") == 0
+        lab = F.col(n).cast("string")
+        key = F.col(n).cast("bigint") if n in keyed else -F.col("value")
+        series = F.when(in_set, F.lit(n)) if series is None else series.when(in_set, F.lit(n))
+        label = F.when(in_set, lab) if label is None else label.when(in_set, lab)
+        k1 = F.when(in_set, key) if k1 is None else k1.when(in_set, key)
+    out = g.select(series.alias("series"), k1.cast("bigint").alias("_k1"), label.alias("label"),
+                   F.col("value").cast("bigint").alias("value"))
+    # hour/weekday of a NULL timestamp is NULL: not a label of those series
+    return [out.filter(F.col("label").isNotNull())]
 
 
 def traffic_dashboard(visits: DataFrame, search: DataFrame, as_of, home: str, approx: bool = False) -> DataFrame:
