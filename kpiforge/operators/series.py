@@ -29,8 +29,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def order_series(df: DataFrame, n: int | None = None) -> DataFrame:
-    """ORDER BY value DESC, label ASC NULLS LAST [LIMIT n] (G1 top_k)."""
+def order_series(df: DataFrame, n: int | None = None, ordered: bool = True) -> DataFrame:
+    """ORDER BY value DESC, label ASC NULLS LAST [LIMIT n] (G1 top_k).
+
+    ``ordered=False`` skips a sort nobody reads (a caller that ranks the
+    rows itself); a limit always keeps its order (it picks the rows).
+    """
+    if not ordered and not n:
+        return df
     out = df.orderBy(F.col("value").desc(), F.col("label").asc_nulls_last())
     return out.limit(n) if n else out
 
@@ -42,6 +48,7 @@ def count_by(
     keep_null: bool = False,
     where: Column | None = None,
     unspecified: str = UNSPECIFIED,
+    ordered: bool = True,
 ) -> DataFrame:
     """Rows per cleaned label: (label string, value bigint), largest first."""
     if where is not None:
@@ -50,7 +57,7 @@ def count_by(
     rows = df.select(label.alias("label"))
     if not keep_null:
         rows = rows.filter(F.col("label").isNotNull())
-    return order_series(rows.groupBy("label").agg(F.count(F.lit(1)).alias("value")), n)
+    return order_series(rows.groupBy("label").agg(F.count(F.lit(1)).alias("value")), n, ordered)
 
 
 def count_distinct_by(df: DataFrame, dim, of, n: int | None = None, approx: bool = False) -> DataFrame:
@@ -70,8 +77,8 @@ def top_sections(visits: DataFrame, n: int = 10) -> DataFrame:
     return count_by(visits, "page_pattern", n)
 
 
-def home_regions(visits: DataFrame, home: str) -> DataFrame:
-    return count_by(visits, "region_name", where=F.col("country_code") == home)
+def home_regions(visits: DataFrame, home: str, ordered: bool = True) -> DataFrame:
+    return count_by(visits, "region_name", where=F.col("country_code") == home, ordered=ordered)
 
 
 def home_cities(visits: DataFrame, home: str, n: int = 10) -> DataFrame:
@@ -117,9 +124,9 @@ USER_SERIES = {
 }
 
 
-def user_series(users: DataFrame, name: str) -> DataFrame:
+def user_series(users: DataFrame, name: str, ordered: bool = True) -> DataFrame:
     col, keep, n = USER_SERIES[name]
-    return count_by(users, col, n, keep_null=keep)
+    return count_by(users, col, n, keep_null=keep, ordered=ordered)
 
 
 def top_users(users: DataFrame, sessions: DataFrame, n: int = 8, by_name: bool = False) -> DataFrame:
@@ -141,7 +148,8 @@ def top_users(users: DataFrame, sessions: DataFrame, n: int = 8, by_name: bool =
     return out.limit(n).select("user_id", "label", "value")
 
 
-def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_BUCKETS) -> DataFrame:
+def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_BUCKETS,
+               ordered: bool = True) -> DataFrame:
     """Five age buckets ordered by bucket rank; NULL birth dates dropped."""
     age = age_years("birth_date", as_of)
     rank = label = None
@@ -156,7 +164,8 @@ def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_B
     rows = users.filter(F.col("birth_date").isNotNull()).select(age.alias("_age"))
     out = rows.select(rank.alias("rank"), label.alias("label")).groupBy("rank", "label").agg(
         F.count(F.lit(1)).alias("value"))
-    return out.orderBy("rank").select("rank", "label", "value")
+    out = out.select("rank", "label", "value")
+    return out.orderBy("rank") if ordered else out
 
 
 # --- documented extras (E23-E27) -------------------------------------------

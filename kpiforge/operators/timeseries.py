@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import Calendar, lit_date
 
 
-def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: str | None = None) -> DataFrame:
+def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: str | None = None,
+                 ordered: bool = True) -> DataFrame:
     """rows per day for the last ``days`` days (no upper bound), sparse, ascending.
 
     With ``day_partition`` (the date column a table is partitioned by, as
@@ -26,13 +27,15 @@ def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: s
         df = df.filter(F.col(day_partition) >= lit_date(cal.days_back(days - 1).date()))
     rows = df.filter(cal.since_days(F.col(ts), days)).select(F.to_date(ts).alias("_day"))
     out = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("value"))
-    return out.orderBy("_day").select(F.date_format("_day", "yyyy-MM-dd").alias("label"), "value")
+    if ordered:
+        out = out.orderBy("_day")
+    return out.select(F.date_format("_day", "yyyy-MM-dd").alias("label"), "value")
 
 
-def hourly_profile(df: DataFrame, ts: str) -> DataFrame:
+def hourly_profile(df: DataFrame, ts: str, ordered: bool = True) -> DataFrame:
     """rows per hour of day (0-23), all time; hours without rows are absent."""
     out = df.filter(F.col(ts).isNotNull()).groupBy(F.hour(ts).alias("hour")).agg(F.count(F.lit(1)).alias("value"))
-    return out.orderBy("hour")
+    return out.orderBy("hour") if ordered else out
 
 
 def weekday_profile(df: DataFrame, ts: str) -> DataFrame:

@@ -85,16 +85,16 @@ def traffic_dashboard(visits: DataFrame, search: DataFrame, as_of, home: str, ap
     day_key = F.datediff(F.to_date(F.col("label")), F.lit("1970-01-01").cast("date"))
     parts = [
         kpi_rows(k), kpi_rows(sk, offset=len(k.columns)),
-        _rank_by_key("visits_timeline", timeseries.daily_counts(visits, "visited_at", as_of), day_key, F.col("label")),
+        _rank_by_key("visits_timeline", timeseries.daily_counts(visits, "visited_at", as_of, ordered=False), day_key, F.col("label")),
         _rank_by_value("top_pages", series.top_pages(visits)),
         _rank_by_value("top_sections", series.top_sections(visits)),
-        _rank_by_value("home_regions", series.home_regions(visits, home)),
+        _rank_by_value("home_regions", series.home_regions(visits, home, ordered=False)),
         _rank_by_value("home_cities", series.home_cities(visits, home)),
         _rank_by_value("by_country", series.visit_countries(visits)),
         *profile_bundle(visits, {"by_device": "device_type", "by_browser": "browser", "by_os": "os"}, "visited_at"),
         _rank_by_value("top_terms", series.top_terms(search)),
         _rank_by_value("zero_terms", series.zero_terms(search)),
-        _rank_by_key("search_timeline", timeseries.daily_counts(search, "searched_at", as_of), day_key, F.col("label")),
+        _rank_by_key("search_timeline", timeseries.daily_counts(search, "searched_at", as_of, ordered=False), day_key, F.col("label")),
     ]
     return _finish(parts)
 
@@ -105,15 +105,15 @@ def users_dashboard(users: DataFrame, sessions: DataFrame, as_of, approx: bool =
     lk = kpis.session_kpis(sessions, as_of, approx)
     day_key = F.datediff(F.to_date(F.col("label")), F.lit("1970-01-01").cast("date"))
     drop_null = [n for n, (_, keep, _) in series.USER_SERIES.items() if not keep]
-    reg_hours = timeseries.hourly_profile(users, "registered_at")
-    ages = series.age_groups(users, as_of)
+    reg_hours = timeseries.hourly_profile(users, "registered_at", ordered=False)
+    ages = series.age_groups(users, as_of, ordered=False)
     parts = [
         kpi_rows(uk), kpi_rows(lk, offset=len(uk.columns)),
         *profile_bundle(users, {"by_type": "user_type", "by_gender": "gender", "by_status": "account_status"}, None),
-        *[_rank_by_value(n, series.user_series(users, n)) for n in drop_null],
+        *[_rank_by_value(n, series.user_series(users, n, ordered=False)) for n in drop_null],
         _rank_by_key("age_groups", ages, F.col("rank"), F.col("label")),
-        _rank_by_key("reg_timeline", timeseries.daily_counts(users, "registered_at", as_of), day_key, F.col("label")),
-        _rank_by_key("login_timeline", timeseries.daily_counts(sessions, "created_at", as_of), day_key, F.col("label")),
+        _rank_by_key("reg_timeline", timeseries.daily_counts(users, "registered_at", as_of, ordered=False), day_key, F.col("label")),
+        _rank_by_key("login_timeline", timeseries.daily_counts(sessions, "created_at", as_of, ordered=False), day_key, F.col("label")),
         _rank_by_key("reg_by_hour", reg_hours, F.col("hour"), F.col("hour")),
         *profile_bundle(sessions, {}, "created_at", prefix="login_"),
         _rank_by_value("top_users", series.top_users(users, sessions).select("label", "value")),
