@@ -26,9 +26,10 @@ def kpi_row(df: DataFrame, columns: list[tuple], approx: bool = False, split: bo
 
     Plain aggregates always share one pass.  Distinct counts:
     ``approx`` -> ``approx_count_distinct`` in the same pass (HLL++, no Expand);
-    ``split`` (default) -> one two-stage aggregate per distinct column, its
-    condition applied as a filter (pushed to the scan): no Expand, each hash
-    table holds one column's values.  The one-row results are stacked as
+    ``split`` (default) -> one two-stage aggregate per distinct column (no
+    Expand, each hash table holds one column's values): a single condition
+    becomes a filter pushed to the scan; several conditions on the same
+    column share one pass that keeps one flag per condition per value.  The one-row results are stacked as
     (name, value) rows and folded back into one row by a final aggregate
     over those few rows (no join);
     otherwise -> ``count(DISTINCT CASE ...)`` in the same pass (Catalyst
@@ -41,8 +42,24 @@ def kpi_row(df: DataFrame, columns: list[tuple], approx: bool = False, split: bo
         aggs = plain + [_distinct(F.when(cond, col) if cond is not None else col, approx).alias(name)
                         for name, col, cond in distinct]
         return df.agg(*aggs).select(*order)
-    parts = [(df.filter(cond) if cond is not None else df).agg(F.count_distinct(col).cast("bigint").alias("_v"))
-             .select(F.lit(name).alias("_k"), "_v") for name, col, cond in distinct]
+    by_column: dict[str, tuple[Column, list]] = {}
+    for name, col, cond in distinct:
+        by_column.setdefault(str(col), (col, []))[1].append((name, cond))
+    parts = []
+    for col, specs in by_column.values():
+        if len(specs) == 1:  # the condition becomes a filter, pushed to the scan
+            name, cond = specs[0]
+            part = (df.filter(cond) if cond is not None else df).agg(F.count_distinct(col).cast("bigint").alias("_v"))
+            parts.append(part.select(F.lit(name).alias("_k"), "_v"))
+            continue
+        # several conditions on one column: one pass per distinct value, one flag per condition
+        flags = [F.max(F.coalesce(cond, F.lit(False)) if cond is not None else F.lit(True)).alias(f"_f{i}")
+                 for i, (_, cond) in enumerate(specs)]
+        per_value = df.filter(col.isNotNull()).groupBy(col.alias("_val")).agg(*flags)
+        counts = per_value.agg(*[F.count_if(F.col(f"_f{i}")).alias(f"_c{i}") for i in range(len(specs))])
+        parts.append(counts.select(F.explode(F.map_from_arrays(
+            F.array(*[F.lit(n) for n, _ in specs]),
+            F.array(*[F.col(f"_c{i}").cast("bigint") for i in range(len(specs))]))).alias("_k", "_v")))
     if plain:
         base = df.agg(*plain)
         parts.append(base.select(F.explode(F.map_from_arrays(

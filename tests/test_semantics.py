@@ -228,3 +228,18 @@ def test_html_escape(spark):
 
     df = spark.createDataFrame([('<a href="x">&amp;</a>',)], "s string")
     assert df.select(html_escape("s")).first()[0] == "&lt;a href=&quot;x&quot;&gt;&amp;amp;&lt;/a&gt;"
+
+
+# Conditional distincts on one column share a pass; all three modes agree
+def test_distinct_modes_agree(spark):
+    rows = [{"id": 1, "visitor_id": "a", "visited_at": ts("2024-01-30 08:00:00"), "session_key": "s1"},
+            {"id": 2, "visitor_id": "a", "visited_at": ts("2024-01-29 08:00:00"), "session_key": "s1"},
+            {"id": 3, "visitor_id": "b", "visited_at": ts("2024-01-29 09:00:00"), "session_key": "s2"},
+            {"id": 4, "visitor_id": None, "visited_at": ts("2024-01-30 09:00:00")},
+            {"id": 5, "visitor_id": "c"}]
+    v = visits(spark, rows)
+    as_of = ts("2024-01-30 12:00:00")
+    got = [kpis.visit_kpis(v, as_of, "SA", split=sp, approx=ap).first().asDict()
+           for sp, ap in ((True, False), (False, False), (False, True))]
+    assert got[0] == got[1] == got[2]
+    assert (got[0]["unique_visitors"], got[0]["unique_today"], got[0]["sessions"]) == (3, 1, 2)
