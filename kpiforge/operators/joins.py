@@ -95,10 +95,17 @@ def oldest_user_by_email(users: DataFrame, wanted: DataFrame | None = None) -> D
     return u.groupBy("_mail").agg(F.min("id").alias("linked_user_id"))
 
 
-def link_user_by_email(rows: DataFrame, users: DataFrame, email: str = "email") -> DataFrame:
-    """Add ``linked_user_id`` by case-insensitive e-mail; oldest account wins."""
+def link_user_by_email(rows: DataFrame, users: DataFrame, email: str = "email",
+                       wanted: DataFrame | None = None) -> DataFrame:
+    """Add ``linked_user_id`` by case-insensitive e-mail; oldest account wins.
+
+    ``wanted`` (column ``_mail``, cheap to compute) narrows the users lookup
+    to those keys first; pass it when the key set is small next to the users
+    table (a micro-batch), and build it from the input, not from ``rows``
+    itself when ``rows`` is expensive (it would be computed twice).
+    """
     keyed = rows.withColumn("_mail", F.lower(F.trim(F.col(email))))
-    return keyed.join(oldest_user_by_email(users, keyed), "_mail", "left").drop("_mail")
+    return keyed.join(oldest_user_by_email(users, wanted), "_mail", "left").drop("_mail")
 
 
 def _user_keys(users: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
     if users is None:
         linked = out.withColumn("linked_user_id", F.lit(None).cast("bigint"))
     else:
-        linked = link_user_by_email(out, users)
+        wanted = actions.select(normalise_email(F.col("email")).alias("_mail"))
+        linked = link_user_by_email(out, users, wanted=wanted)
     return linked.select(
         "id", "email", "full_name",
         F.when(F.col("_created_by") == "subscribe", F.col("linked_user_id"))
