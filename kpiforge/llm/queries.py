@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import decontaminate, language, line_dedup, mixing, quality, sharding, substring_dedup, topk_search, warc
+from kpiforge.llm import decontaminate, language, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, topk_search, warc
 from kpiforge.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.search(topk_search.build_index(vectors), vectors.filter("vec_id % 50 = 0"), k=5)
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
