@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import bounded_batches, partitions, pick
-from kpiforge.llm.wordhash import WordHashes, run_hashes
+from kpiforge.llm.wordhash import WordHasher, run_hashes
 from kpiforge.session import materialize
 
 WINDOW, SEED, PREFIX = 20, 5, 8
@@ -79,11 +79,11 @@ def seed_rows(rows: DataFrame) -> DataFrame:
     """(seed, ord_id, ver, pos): the seeds that the windows of each document pick."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         for b in batches:
             found: list[tuple] = []
-            for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                grams, at = _seeds(hashes.of(text.split()))
+            for i, words in enumerate(hasher.texts(b.column("text"))):
+                grams, at = _seeds(words)
                 at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
                 found.append((np.full(len(at), i), grams[at].view(np.int64), at.astype(np.int32)))
             if found:
@@ -104,13 +104,11 @@ def suffixes(rows: DataFrame, whole_copies: DataFrame) -> DataFrame:
     texts = rows.select(*_KEY, "text").join(materialize(per_doc, "sub-seeded"), _KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hasher = WordHasher()
         names = ["prefix", "part", "parts", "node", *_KEY, "start"]
         for b in batches:
             ids = [b.column(c).to_pylist() for c in _KEY]
-            columns = zip(*ids, b.column("text").cast(pa.binary()).to_pylist(), b.column("at"), b.column("parts"))
-            for ord_id, ver, text, at, parts in columns:
-                words = hashes.of(text.split())
+            for ord_id, ver, words, at, parts in zip(*ids, hasher.texts(b.column("text")), b.column("at"), b.column("parts")):
                 split = np.zeros(len(words), np.int32)
                 split[at.values.to_numpy()] = parts.values.to_numpy()
                 _, seed_at = _seeds(words)
