@@ -1,17 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 4); DataFrame functions only.
 
 A window is ``window`` consecutive words of a benchmark item (a shorter item is
-one window).  A window can only occur where its rarest shingle occurs, so each
-window is looked up by that one shingle: for full containment the necessary
-prefix of the shingles, ordered from rare to common, has length one.  Rarity is
-the number of occurrences in all documents.  A document position with the
-shingle, less the shingle's offset in the window, is a candidate start; it must
-leave room before and behind (positional and length bounds), and then the words
-themselves are compared.
-
-The corpus is never shuffled: its words meet the benchmark in broadcast joins.
-The benchmark side is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows,
-one join per block, so what is broadcast is bounded for any benchmark.
+one window).  The corpus is read once: its ``SHINGLE``-word shingles meet those of
+the benchmark in broadcast joins, and every meeting is written with the words
+around it.  The number of meetings is the shingle's frequency in all documents.  A
+window can only occur where its rarest shingle occurs: for full containment the
+necessary prefix of its shingles, ordered from rare to common, has length one.  So
+each window is looked up by that one shingle; the place less the shingle's offset
+is a candidate start, which must leave room before and behind (positional and
+length bounds), and there the words themselves are compared.
+
+The corpus is never shuffled, and the benchmark side is broadcast in blocks of at
+most ``BLOCK_WINDOWS`` windows, one join per block, so what is broadcast is bounded
+for any benchmark.  Items of fewer words than a shingle are looked up whole, in a
+pass of their own.
 
 Edge cases: NULL and empty texts and items have no words and no windows; a
 document without words is not contaminated; NULL ids are kept as they are
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import pick
 from kpiforge.session import materialize
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words (after lower-casing A-Z): ASCII characters but letters and digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SHINGLE = 4
 #: Windows (each at most 13 words here) that one broadcast join holds.
 BLOCK_WINDOWS = 50_000
 
@@ -44,14 +48,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # Splitting is some ten times as fast as extracting; it may leave an empty word at either end.
+    return F.coalesce(F.array_remove(F.split(ascii_lower(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
-def shingles(w: Column, n: int) -> Column:
-    """Hashes of the n-word shingles that start at each position of ``w`` (n is 1 or 2)."""
-    if n == 1:
-        return F.transform(w, lambda x: F.xxhash64(x))
-    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))
+def shingle_at(w: str, pos: str, n: int) -> Column:
+    """Hash of the n words of array ``w`` from ``pos`` (from 0); evaluated per row inside generated code."""
+    return F.xxhash64(*[F.get(F.col(w), F.col(pos) + i) for i in range(n)])
 
 
 def windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -64,37 +67,50 @@ def windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     return each.select("window_id", "w").distinct(), each.select("window_id", "item_id").distinct()
 
 
-def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
+def meetings(docs: DataFrame, wins: DataFrame, size: int, reach: int) -> DataFrame:
+    """(doc_id, text_key, pos, shingle, before, around) wherever a shingle of ``wins`` occurs.
+
+    ``around`` holds up to ``reach`` words either side of the place, ``before`` of them ahead of it.
+    """
+    n_blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
+    parts = wins.withColumn("block", F.pmod(F.xxhash64("window_id"), F.lit(n_blocks)))
+    parts = parts.select("block", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("pos"))
+    keys = parts.select(shingle_at("w", "pos", size).alias("shingle"), "block").groupBy("shingle").agg(F.min("block").alias("block"))
+    keys = materialize(keys, "bench-keys")
+    at = docs.select("doc_id", "text_key", "dw", F.posexplode("dw").alias("pos", "_word"))
+    at = at.withColumn("shingle", shingle_at("dw", "pos", size))
+    first = F.greatest(F.col("pos") - reach, F.lit(0))
+    around = F.slice("dw", first + 1, F.lit(2 * reach + size))
+    out = None
+    for b in range(n_blocks):
+        met = at.join(F.broadcast(keys.filter(F.col("block") == b).select("shingle")), "shingle")
+        met = met.filter(F.col("pos") + size <= F.size("dw"))
+        met = met.select("doc_id", "text_key", "pos", "shingle", (F.col("pos") - first).alias("before"), around.alias("around"))
+        out = met if out is None else out.unionByName(met)
+    return materialize(out, "bench-meetings")
+
+
+def occurrences(docs: DataFrame, wins: DataFrame, window: int) -> DataFrame:
     """(doc_id, text_key, start, end, window_id): every place where a window occurs."""
     wins = materialize(wins.withColumn("n", F.size("w")), "bench-sized")
-    total, shortest = wins.agg(F.count("*"), F.min("n")).first()
-    size = 2 if (shortest or 0) >= 2 else 1
-    n_blocks = max(1, -(-total // BLOCK_WINDOWS))
-    wins = wins.withColumn("block", F.pmod(F.xxhash64("window_id"), F.lit(n_blocks)))
-    parts = wins.select("block", "window_id", "w", "n", F.posexplode(shingles(F.col("w"), size)).alias("offset", "shingle"))
-    parts = materialize(parts, "bench-shingles")
-    keys = [parts.filter(F.col("block") == b).select("shingle").distinct() for b in range(n_blocks)]
-    bag = docs.select(F.explode(shingles(F.col("dw"), size)).alias("shingle"))
-    # Rarity over the whole corpus, of the benchmark's shingles only; a shingle of several blocks counts alike in each.
-    counts = [bag.join(F.broadcast(k), "shingle").groupBy("shingle").count() for k in keys]
-    rarity = counts[0]
-    for c in counts[1:]:
-        rarity = rarity.unionByName(c)
-    rarity = materialize(rarity.distinct(), "bench-rarity")
-    first = F.min_by(F.struct("shingle", "offset"), F.struct("count", "shingle", "offset"))
-    ranked = parts.join(rarity, "shingle")  # a shingle without a count occurs nowhere ...
-    absent = parts.join(rarity, "shingle", "left_anti").select("window_id").distinct()
-    prefix = ranked.join(absent, "window_id", "left_anti")  # ... and so does its window
-    prefix = prefix.groupBy("block", "window_id", "n").agg(first.alias("p"), F.first("w").alias("w"))
-    prefix = materialize(prefix.select("block", "window_id", "n", "w", "p.shingle", "p.offset"), "bench-prefix")
-    at = docs.select("doc_id", "text_key", "dw", F.posexplode(shingles(F.col("dw"), size)).alias("pos", "shingle"))
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("n") <= F.size("dw"))
+    sizes = [r.size for r in wins.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect()]
     out = None
-    for b in range(n_blocks):
-        found = at.join(F.broadcast(prefix.filter(F.col("block") == b)), "shingle").filter(fits)
-        found = found.filter(F.slice("dw", start + 1, F.col("n")) == F.col("w"))
-        found = found.select("doc_id", "text_key", start.alias("start"), (start + F.col("n")).alias("end"), "window_id")
+    for size in sorted(sizes) or [SHINGLE]:  # at most SHINGLE passes; one unless there are shorter items
+        mine = wins.filter(F.least("n", F.lit(SHINGLE)) == size)
+        met = meetings(docs, mine, size, window)
+        rarity = materialize(met.groupBy("shingle").count(), "bench-rarity")
+        parts = mine.select("window_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("offset"))
+        parts = parts.withColumn("shingle", shingle_at("w", "offset", size)).join(rarity, "shingle", "left")
+        # A window with a shingle that occurs nowhere (its count is NULL) occurs nowhere.
+        place = F.struct("count", "shingle", "offset")
+        prefix = parts.groupBy("window_id", "n").agg(
+            F.min_by(F.struct("shingle", "offset"), place).alias("p"), F.first("w").alias("w"), F.count("count").alias("known"), F.count("*").alias("all")
+        )
+        prefix = materialize(prefix.filter("known = all").select("window_id", "n", "w", "p.shingle", "p.offset"), "bench-prefix")
+        found = met.join(prefix, "shingle").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+        there = F.slice("around", F.col("before") - F.col("offset") + 1, F.col("n"))
+        found = found.filter(there == F.col("w"))
+        found = found.select("doc_id", "text_key", "start", (F.col("start") + F.col("n")).alias("end"), "window_id")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -105,7 +121,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), words(text).alias("dw"))
     wins, of_items = windows(benchmark, window)
     # Equal (id, text) rows would only repeat each other's places: distinct() keeps one of each.
-    places = materialize(occurrences(rows, wins).distinct(), "bench-places")
+    places = materialize(occurrences(rows, wins, window).distinct(), "bench-places")
     key = ["doc_id", "text_key"]
     # Union of the intervals of a document: sorted by start, each adds what lies beyond the end so far.
     spans = places.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
