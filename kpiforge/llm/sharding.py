@@ -85,7 +85,7 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     )
     groups = materialize(groups, "shard-groups")
     total = groups.agg(F.sum("b"), F.sum("w"), F.sum("r")).first()
-    share = F.greatest(*[F.col(c) * (shards / t) for c, t in zip("bwr", total) if t] or [F.lit(0.0)])
+    share = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(c) * (shards / t) for c, t in zip("bwr", total) if t])
     # At most 3 * shards * FINE groups are large, and their pieces are at most 3 * shards * SPLIT more: a bounded table.
     large = groups.withColumn("share", share).filter(F.col("share") >= 1 / FINE)
     large = large.withColumn("parts", F.ceil(F.col("share") * SPLIT))
