@@ -43,7 +43,7 @@ def repoint_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------- H11 --
-def resolve_chains(mapping: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_chains(mapping: DataFrame) -> DataFrame:
     """Follow src -> dst -> dst2 ... to the final destination by pointer jumping.
 
     Each round replaces dst by dst's own destination, doubling the resolved
@@ -64,9 +64,7 @@ def resolve_chains(mapping: DataFrame, max_rounds: int = 64) -> DataFrame:
         return df.join(srcs, df.dst == srcs._s, "left_semi").count()
 
     left = unresolved(cur)
-    for _ in range(max_rounds):
-        if left == 0:
-            break
+    while left:
         nxt = cur.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
         cur = (cur.join(nxt, cur.dst == nxt._s, "left")
                .select("src", F.coalesce("_d", "dst").alias("dst")).checkpoint())

@@ -24,7 +24,7 @@ def _search_stream(s, d):
 
 def _daily_stream(s, d):
     base = ST.live_daily_counts(s, ST.event_stream(s, d))
-    return ST.read_versions(s, base)
+    return ST.read_daily_counts(s, base)
 
 
 def _subs_stream(s, d):

@@ -42,10 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names the folder in ``spark.checkpoint.dir``; that setting wins.
     The fallback (tests, local bench) is a fresh folder under the system temp
-    directory, never reused between runs.
+    directory, never reused between runs; off a local master executors could not
+    see it, so there the setting is required.
     """
     path = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="kpiforge-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, path)
     if path not in _registered:

@@ -4,7 +4,7 @@ from .jobs import (  # noqa: F401
     event_stream,
     live_daily_counts,
     live_subscribers,
-    read_versions,
+    read_daily_counts,
     run_available,
     search_intake_stream,
     subscriber_batch_writer,

@@ -30,11 +30,16 @@ def _base(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def event_stream(spark: SparkSession, directory: str, name: str = "events", files_per_trigger: int = 1) -> DataFrame:
-    """Stream the rows of ``<directory>/<name>.parquet`` (and any later files of that name)."""
+def event_stream(spark: SparkSession, directory: str, name: str = "events", files_per_trigger: int | None = None) -> DataFrame:
+    """Stream the rows of ``<directory>/<name>.parquet`` (and any later files of that name).
+
+    A micro-batch takes all files that are there, unless the caller sets a limit.
+    """
     schema = spark.read.parquet(os.path.join(directory, f"{name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(directory))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(directory)
 
 
 def run_available(writer, checkpoint: str) -> None:
@@ -87,37 +92,35 @@ def read_table(spark: SparkSession, base: str, part: str = "table") -> DataFrame
     return df.drop("batch", "day")
 
 
-def live_daily_counts(spark: SparkSession, events: DataFrame, ts: str = "ts", watermark: str = "1 hour",
-                      out: str | None = None) -> str:
+def live_daily_counts(spark: SparkSession, events: DataFrame, ts: str = "ts", out: str | None = None) -> str:
     """K3: rows per calendar day, kept current.
 
-    ``window(ts, '1 day')`` with a watermark, in update mode: each epoch
-    writes the days whose count changed; the current value of a day is the
-    one from its latest epoch (``read_versions``).  State holds one row per
-    open day and is dropped once the watermark passes the day.
+    Each epoch writes the counts of its own rows per day; ``read_daily_counts``
+    adds them up.  There is no watermark and no state, so rows that come late
+    count like all others, and a retried epoch replaces its own folder.
     """
     base = out or _base(spark, "daily-counts")
-    # NTZ wall clock -> instant as if UTC (unix_timestamp reads NTZ as UTC), so
-    # 1-day windows are wall-clock days whatever the session time zone
-    event_time = F.timestamp_seconds(F.unix_timestamp(F.col(ts)))
-    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
-    counts = (events.withColumn("_et", event_time).withWatermark("_et", watermark)
-              .groupBy(F.window("_et", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("value"))
-              .select(F.date_format(day, "yyyy-MM-dd").alias("label"), "value"))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        _write_epoch(batch, os.path.join(base, "table"), epoch)
+        # unix_timestamp reads NTZ as UTC, so days are wall-clock days whatever the session time zone
+        day = F.date_from_unix_date(F.floor(F.unix_timestamp(F.col(ts)) / 86400).cast("int"))
+        rows = batch.filter(F.col(ts).isNotNull()).select(F.date_format(day, "yyyy-MM-dd").alias("label"))
+        _write_epoch(rows.groupBy("label").agg(F.count("*").alias("value")), os.path.join(base, "table"), epoch)
 
-    run_available(counts.writeStream.outputMode("update").foreachBatch(per_batch), os.path.join(base, "_checkpoint"))
+    run_available(events.writeStream.foreachBatch(per_batch), os.path.join(base, "_checkpoint"))
     return base
 
 
-def read_versions(spark: SparkSession, base: str, key: str = "label") -> DataFrame:
-    """Latest value per key over all epochs of an update-mode job."""
-    df = spark.read.parquet(os.path.join(base, "table"))
-    cols = [c for c in df.columns if c not in (key, "batch")]
-    latest = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_v"))
-    return latest.select(key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+def read_daily_counts(spark: SparkSession, base: str) -> DataFrame:
+    """The day counts over all epochs of K3."""
+    return read_table(spark, base).groupBy("label").agg(F.sum("value").alias("value"))
+
+
+def _snapshot(spark: SparkSession, base: str, version: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(os.path.join(base, "snapshots", f"v={version}"))
+    except AnalysisException:
+        return None
 
 
 def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, epochs: list[int] | None = None):
@@ -127,18 +130,21 @@ def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, epoch
     previous rows enter as 'state' actions); all others are copied by an anti
     join, so the fold costs O(batch + touched rows), not O(table).  Version
     ``v=<epoch>`` is written with mode overwrite, so a retried epoch
-    recomputes the same version from the same previous one.  The function
-    runs on the driver; written epochs are appended to ``epochs``.
+    recomputes the same version from the same previous one.  A previous version
+    that cannot be read, or versions left by another run's checkpoint, stop the job:
+    folding onto nothing would publish a table without its earlier subscribers.
+    The function runs on the driver; written epochs are appended to ``epochs``.
     """
     def per_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         good, bad = subscribers.validate_actions(batch)
         prev = None
         if epoch > 0:
-            try:
-                prev = spark.read.parquet(os.path.join(base, "snapshots", f"v={epoch - 1}"))
-            except AnalysisException:
-                prev = None
+            prev = _snapshot(spark, base, epoch - 1)
+            if prev is None:
+                raise RuntimeError(f"subscriber version {epoch - 1} is missing under {base}")
+        elif _snapshot(spark, base, 1) is not None:
+            raise RuntimeError(f"{base} holds versions of another checkpoint; use a new folder")
         if prev is None:
             snap = subscribers.fold_subscribers(good, users, salt)
         else:

@@ -5,6 +5,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, ts
@@ -100,3 +101,25 @@ def test_subscriber_stream_two_batches_equals_batch_fold(spark):
     full = subscribers.fold_subscribers(good, None, "newsletter")
     assert streamed.count() == full.count()
     assert streamed.exceptAll(full.select(streamed.columns)).count() == 0
+
+
+def test_subscriber_stream_refuses_a_missing_version(spark, tmp_path):
+    """K4 must not fold onto nothing when the previous version, or its checkpoint, is gone."""
+    acts = A.actions(spark, SF_SMALL).limit(10)
+    write = streaming.subscriber_batch_writer(str(tmp_path), None, "newsletter")
+    with pytest.raises(RuntimeError, match="missing"):
+        write(acts, 2)
+    spark.range(1).write.parquet(str(tmp_path / "snapshots" / "v=1"))
+    with pytest.raises(RuntimeError, match="another checkpoint"):
+        write(acts, 0)
+
+
+def test_daily_counts_keep_late_rows(spark, tmp_path):
+    """K3 over several files, the last of which is days late."""
+    for day in (10, 12, 9):
+        rows = [(dt.datetime(2024, 1, day, 5),), (dt.datetime(2024, 1, day, 6),), (None,)]
+        spark.createDataFrame(rows, "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    base = streaming.live_daily_counts(spark, stream, out=str(tmp_path / "out"))
+    found = {r.label: r.value for r in streaming.read_daily_counts(spark, base).collect()}
+    assert found == {"2024-01-09": 2, "2024-01-10": 2, "2024-01-12": 2}
