@@ -36,6 +36,8 @@ from kpiforge.llm.common import pick, running_totals
 from kpiforge.session import materialize
 
 MIN_CHARS = 16
+#: Cells of the filter on the way to the suspects' texts.
+FILTER_CELLS = 1 << 20
 _PLACE = ["no_id", "doc_id", "text_key", "line_no"]
 
 
@@ -105,7 +107,11 @@ def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     wanted = suspects.select("line_md5", F.struct(*_PLACE).alias("place"))
     wanted = materialize(wanted, "line-suspects")
     # Each suspect's text from its earliest place; a document listed twice gives it twice.
-    texts = rows.select("line_md5", "line", F.struct(*_PLACE).alias("at")).join(wanted, "line_md5").filter(F.col("at") == F.col("place"))
+    # Lines of a hash cell without suspects stay out of the shuffle; at most FILTER_CELLS cells are broadcast.
+    cell = F.pmod(F.xxhash64("line_md5"), F.lit(FILTER_CELLS)).cast("int")
+    cells = wanted.select(cell.alias("cell")).distinct()
+    near_rows = rows.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    texts = near_rows.select("line_md5", "line", F.struct(*_PLACE).alias("at")).join(wanted, "line_md5").filter(F.col("at") == F.col("place"))
     texts = texts.select("line_md5", "line", *[F.col(f"place.{c}").alias(c) for c in _PLACE]).distinct()
     ordered = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).withColumn("one", F.lit(1))
     ranked = running_totals(ordered, [], _PLACE, "one", "rank", "line-ranks")
