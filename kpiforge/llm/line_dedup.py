@@ -82,23 +82,28 @@ def _suspects(merged: DataFrame) -> DataFrame:
 
 
 def _variants(suspects: DataFrame) -> DataFrame:
-    """(key, whole, replaced, rank): hashed variants; ``whole`` marks the line itself among deletions."""
-    line, n = F.col("line"), F.length("line")
-
-    def without(i: Column) -> Column:
-        return F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))
-
-    each = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(F.xxhash64(without(i)).alias("v"), i.alias("i")),
+    """(v, i, rank): the hash of each line without its character i, and of the whole line (i = 0)."""
+    line, i = F.col("line"), F.col("i")
+    without = F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line)))
+    placed = suspects.select("rank", "line", F.explode(F.sequence(F.lit(0), F.length(line))).alias("i"))
+    return placed.select(F.xxhash64(F.when(i == 0, line).otherwise(without)).alias("v"), "i", "rank")
+
+
+def _partners(variants: DataFrame) -> DataFrame:
+    """(rank, earlier): each line with the earliest line of every key that it shares."""
+    keys = variants.groupBy("v").agg(
+        F.min(F.when(F.col("i") == 0, F.col("rank"))).alias("whole"),
+        F.min(F.when(F.col("i") > 0, F.col("rank"))).alias("deleted"),
+        F.min("rank").alias("least"),
+        F.max("rank").alias("most"),
     )
-    gone = suspects.select("rank", F.explode(each).alias("x"))
-    replaced = gone.select(F.xxhash64("x.v", "x.i").alias("key"), F.lit(False).alias("whole"), F.lit(True).alias("replaced"), "rank")
-    deleted = gone.select(F.xxhash64("x.v", F.lit(0)).alias("key"), F.lit(False).alias("whole"), F.lit(False).alias("replaced"), "rank")
-    itself = suspects.select(
-        F.xxhash64(F.xxhash64("line"), F.lit(0)).alias("key"), F.lit(True).alias("whole"), F.lit(False).alias("replaced"), "rank"
-    )
-    return replaced.unionByName(deleted).unionByName(itself)
+    keys = materialize(keys.filter("least < most").drop("least", "most"), "line-keys")
+    sharing = materialize(variants.join(keys, "v"), "line-sharing")
+    one_off = sharing.select("rank", F.when(F.col("i") == 0, F.col("deleted")).otherwise(F.col("whole")).alias("earlier"))
+    places = sharing.filter("i > 0").groupBy("v", "i").agg(F.min("rank").alias("earlier"), F.max("rank").alias("most"))
+    places = materialize(places.filter("earlier < most").drop("most"), "line-places")
+    replaced = sharing.join(places, ["v", "i"]).select("rank", "earlier")
+    return one_off.unionByName(replaced).filter("earlier < rank").distinct()
 
 
 def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -117,14 +122,7 @@ def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     ranked = running_totals(ordered, [], _PLACE, "one", "rank", "line-ranks")
     ranked = materialize(ranked.select("rank", "line_md5", "line"), "line-ranked")
     variants = materialize(_variants(ranked), "line-variants")
-    first = variants.groupBy("key").agg(
-        F.min(F.when(F.col("whole") | F.col("replaced"), F.col("rank"))).alias("first_a"),
-        F.min(F.when(~F.col("whole"), F.col("rank"))).alias("first_b"),
-        F.count("*").alias("n"),
-    )
-    first = materialize(first.filter("n > 1").drop("n"), "line-first")
-    partner = F.when(F.col("whole"), F.col("first_b")).otherwise(F.col("first_a"))
-    links = variants.join(first, "key").select("rank", partner.alias("earlier")).filter("earlier < rank").distinct()
+    links = _partners(variants)
     left, right = ranked.select("rank", "line_md5", "line"), ranked.select(F.col("rank").alias("earlier"), F.col("line").alias("other"))
     checked = links.join(left, "rank").join(right, "earlier").filter(F.levenshtein("line", "other", 1) >= 0)
     return checked.select("line_md5").distinct()
