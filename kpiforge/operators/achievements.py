@@ -53,9 +53,9 @@ def _published_in(achievements: DataFrame, year: int | DataFrame) -> DataFrame:
 
 
 def _with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
-    cats = F.broadcast(categories.select(
+    cats = categories.select(
         F.col("code").alias("category"), F.col("name").alias("category_name"), "icon", "color",
-        F.col("display_order").alias("category_order")))
+        F.col("display_order").alias("category_order"))
     return items.join(cats, "category", "inner")
 
 
@@ -107,9 +107,9 @@ def achievements_document(achievements: DataFrame, categories: DataFrame, reques
     year = resolve_year(achievements, requested_year)
     years = (achievements.filter(F.col("is_published") == 1)
              .agg(F.sort_array(F.collect_set("year_no"), asc=False).alias("years")))
-    cats = F.broadcast(categories.select(
+    cats = categories.select(
         F.col("code").alias("category"), F.col("name").alias("category_name"), "icon", "color",
-        F.coalesce(F.col("display_order"), F.lit(_LAST)).alias("_co")))
+        F.coalesce(F.col("display_order"), F.lit(_LAST)).alias("_co"))
     pub = _published_in(achievements, year).withColumn(
         "_io", F.coalesce(F.col("display_order"), F.lit(_LAST))).join(cats, "category", "inner")
     item_order = [F.col("_co"), F.col("category"), F.col("_io"), F.col("id")]

@@ -20,7 +20,7 @@ def account_mapping(users: DataFrame) -> DataFrame:
     """id -> canonical id (oldest id sharing the lower-cased e-mail); e-mail users only."""
     canon = oldest_user_by_email(users)
     return (users.filter(F.col("email").isNotNull())
-            .withColumn("_mail", F.lower(F.trim("email")))
+            .withColumn("_mail", F.lower("email"))
             .join(canon, "_mail", "inner")
             .select("id", F.col("linked_user_id").alias("canonical_id")))
 
@@ -145,9 +145,10 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     Known e-mail (ignoring case, oldest id wins): avatar filled only when
     empty (first non-NULL picture), last_login_at = latest sign-in.  Unknown
     e-mail: one new user per e-mail, created from its earliest sign-in, type
-    user_normal, status active, username = part before '@', or that plus the
-    first five hex digits of sha256(email) when the name is taken by an
-    existing user or by an earlier new e-mail of the same batch (S30).
+    user_normal, status active, username = part before '@', or that plus
+    '-' and the new id when the name is taken by an existing user or by an
+    earlier new e-mail of the same batch (S30), so many equal prefixes give
+    distinct names.
     New ids are max(existing id) + first sign-in seq + 1: unique, repeatable
     and computed without a global row numbering.
 
@@ -177,10 +178,10 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     new = (new.join(first_in_batch, "_pk", "left")
            .join(taken.withColumn("_taken", F.lit(True)), "_pk", "left"))
     plain_ok = (F.col("_winner") == F.col("email")) & F.col("_taken").isNull()
-    username = F.when(plain_ok, F.col("_prefix")).otherwise(
-        F.concat(F.col("_prefix"), F.substring(F.sha2(F.col("email"), 256), 1, 5)))
     max_id = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
     new = one_row_join(new, max_id).withColumn("new_id", F.col("_max") + F.col("first_seq") + 1)
+    username = F.when(plain_ok, F.col("_prefix")).otherwise(
+        F.concat_ws("-", "_prefix", F.col("new_id").cast("string")))
 
     inserted = new.select(
         F.col("new_id").alias("id"), F.col("email"), F.col("first_name").alias("full_name"),

@@ -3,7 +3,8 @@
 Each function returns (accepted rows in the table's shape, quarantined rows
 with a reason).  The source lost an event on any error; here nothing is lost:
 an event either lands in the table or in quarantine with the first failing
-check.  Lookups: session token -> user (exactly one valid session, S19),
+check.  Lookups: session token -> user (exactly one session valid when the event
+arrived, S19),
 home-country region code -> name (S20).  Over-long free text is truncated
 (S22); over-long codes are rejected (S21).
 """
@@ -33,14 +34,20 @@ def _width_checks(widths: dict[str, int]) -> list[tuple[Column, str]]:
     return [(F.length(F.col(c)) > w, f"{c} longer than {w}") for c, w in widths.items()]
 
 
-def visit_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, as_of, home: str,
+def empty_as_null(df: DataFrame) -> DataFrame:
+    """S1: '' reads as NULL in every text column."""
+    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
+def visit_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, home: str,
                  country_width: int = 2) -> tuple[DataFrame, DataFrame]:
+    events = empty_as_null(events)
     country = F.upper(F.col("country"))
     checks = [(F.length(country) > country_width, f"country longer than {country_width}")] + _width_checks(VISIT_REJECT)
     tagged = events.withColumn("country", country).withColumn("reason", _first_reason(checks))
     quarantine = tagged.filter(F.col("reason").isNotNull()).select("event_id", "received_at", "reason")
     ok = tagged.filter(F.col("reason").isNull())
-    ok = attach_user(ok, sessions, as_of)
+    ok = attach_user(ok, sessions)
     ok = attach_region(ok, regions, home, country="country", code="region")
     visits = ok.select(
         F.col("event_id").alias("id"),
@@ -62,8 +69,9 @@ def visit_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, as_
     return visits, quarantine
 
 
-def search_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, as_of, home: str,
+def search_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, home: str,
                   country_width: int = 2) -> tuple[DataFrame, DataFrame]:
+    events = empty_as_null(events)
     country = F.upper(F.col("country"))
     term = truncate(clean_label("term"), 400)
     checks = ([(term.isNull(), "blank term"), (F.length(country) > country_width, f"country longer than {country_width}")]
@@ -72,7 +80,7 @@ def search_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, as
               .withColumn("reason", _first_reason(checks)))
     quarantine = tagged.filter(F.col("reason").isNotNull()).select("event_id", "received_at", "reason")
     ok = tagged.filter(F.col("reason").isNull())
-    ok = attach_user(ok, sessions, as_of)
+    ok = attach_user(ok, sessions)
     ok = attach_region(ok, regions, home, country="country", code="region")
     search = ok.select(
         F.col("event_id").alias("id"),

@@ -5,8 +5,9 @@ region seed, the category seed, one-row aggregates).  Lookups whose size
 grows with the data (sessions per token, users per e-mail) are joined
 without a hint: the planner broadcasts them only when their estimated size
 is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks with runtime
-sizes) and otherwise shuffles both sides on the key; AQE's skew-join split
-handles a hot key on the large side.
+sizes) and otherwise shuffles both sides on the key; AQE splits
+a hot key on the large side only if the lookup was written first (``attach_user``):
+an aggregate between the join and its shuffle rules that out.
 
 Lookups are pre-aggregated to one row per key before the join, so a lookup
 can never duplicate an event.  NULL join keys are replaced by a per-row value
@@ -16,10 +17,10 @@ shuffle partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import Calendar
+from ..session import materialize
 
 
 def one_row_join(base: DataFrame, *ones: DataFrame) -> DataFrame:
@@ -44,23 +45,37 @@ def never_null_id(key: Column, row_id: Column) -> Column:
     return F.coalesce(key, -1 - F.abs(row_id.cast("bigint")))
 
 
-def valid_session_users(sessions: DataFrame, as_of) -> DataFrame:
-    """token -> user_id for tokens with exactly one valid session.
+def session_spans(sessions: DataFrame) -> DataFrame:
+    """One row per token of active sessions: the user of the last to expire, and the
+    span of times (``_from`` on, before ``_until``) at which no other is valid (S19).
 
-    Two valid sessions on one token give no user, as the source's
-    single-row lookup failed on TOO_MANY_ROWS.
+    Two valid sessions on one token give no user, as the source's single-row
+    lookup failed on TOO_MANY_ROWS.  The ranking keeps two rows per token before
+    the shuffle, so a hot token stays small.
     """
-    cal = Calendar.of(as_of)
-    valid = sessions.filter((F.col("is_active") == 1) & cal.after_now(F.col("expires_at")) & F.col("token").isNotNull())
-    return (valid.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("user_id").alias("_uid"))
-            .filter(F.col("_n") == 1).select(F.col("token").alias("_tok"), F.col("_uid").alias("session_user_id")))
+    active = sessions.filter((F.col("is_active") == 1) & F.col("expires_at").isNotNull() & F.col("token").isNotNull())
+    latest = Window.partitionBy("token").orderBy(F.col("expires_at").desc())
+    top = active.select("token", "user_id", "expires_at").withColumn("_rank", F.row_number().over(latest)).filter("_rank <= 2")
 
+    def ranked(rank: int, c: str) -> Column:
+        return F.max(F.when(F.col("_rank") == rank, F.col(c)))
 
-def attach_user(events: DataFrame, sessions: DataFrame, as_of, token: str = "token", row_id: str = "event_id") -> DataFrame:
-    """Add ``session_user_id`` (NULL unless the token has one valid session)."""
-    lookup = valid_session_users(sessions, as_of)
+    return top.groupBy(F.col("token").alias("_tok")).agg(
+        ranked(1, "user_id").alias("_uid"), ranked(1, "expires_at").alias("_until"), ranked(2, "expires_at").alias("_from"))
+
+
+def attach_user(events: DataFrame, sessions: DataFrame, at: str = "received_at", token: str = "token",
+                row_id: str = "event_id") -> DataFrame:
+    """Add ``session_user_id``, NULL unless the token has one session valid at the event's own time.
+
+    The lookup is written first: AQE splits a hot token only if no aggregate
+    stands between the join and its shuffle.
+    """
+    lookup = materialize(session_spans(sessions), "session-spans")
     keyed = events.withColumn("_tok", never_null_key(F.col(token), F.col(row_id)))
-    return keyed.join(lookup, "_tok", "left").drop("_tok")
+    alone = (F.col(at) < F.col("_until")) & (F.col("_from").isNull() | (F.col(at) >= F.col("_from")))
+    return (keyed.join(lookup, "_tok", "left").withColumn("session_user_id", F.when(alone, F.col("_uid")))
+            .drop("_tok", "_uid", "_until", "_from"))
 
 
 def attach_region(events: DataFrame, regions: DataFrame, home: str, country: str = "country_code",
@@ -89,7 +104,7 @@ def oldest_user_by_email(users: DataFrame, wanted: DataFrame | None = None) -> D
     reduced by a semi join to the wanted keys, so a lookup for one batch does
     not shuffle the whole users table.
     """
-    u = users.filter(F.col("email").isNotNull()).select(F.lower(F.trim(F.col("email"))).alias("_mail"), "id")
+    u = users.filter(F.col("email").isNotNull()).select(F.lower("email").alias("_mail"), "id")
     if wanted is not None:
         u = u.join(wanted.select("_mail").filter(F.col("_mail").isNotNull()).distinct(), "_mail", "left_semi")
     return u.groupBy("_mail").agg(F.min("id").alias("linked_user_id"))

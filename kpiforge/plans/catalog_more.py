@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import achievements as ACH
 from ..operators import campaigns as CMP
 from ..operators import identity as ID
@@ -97,17 +98,17 @@ register("achievements_document", with_views(
     lambda s, d: ACH.achievements_document(A.achievements(s, d), A.categories(s, d), "2024", None))
 
 # --------------------------------------------------------------- identity --
-_CANON = ("(SELECT lower(trim(email)) AS mail, min(id) AS cid FROM users WHERE email IS NOT NULL GROUP BY 1)")
+_CANON = ("(SELECT lower(email) AS mail, min(id) AS cid FROM users WHERE email IS NOT NULL GROUP BY 1)")
 register("duplicate_emails", with_views(
-    "SELECT lower(trim(email)) AS key, count(*) AS rows FROM users WHERE email IS NOT NULL GROUP BY 1 "
+    "SELECT lower(email) AS key, count(*) AS rows FROM users WHERE email IS NOT NULL GROUP BY 1 "
     "HAVING count(*) > 1", "users"))(
-    lambda s, d: kpis.duplicate_keys(A.users(s, d), F.lower(F.trim("email"))))
+    lambda s, d: kpis.duplicate_keys(A.users(s, d), F.lower("email")))
 register("dedupe_accounts", with_views(
-    f"SELECT u.* FROM users u LEFT JOIN {_CANON} c ON lower(trim(u.email)) = c.mail "
+    f"SELECT u.* FROM users u LEFT JOIN {_CANON} c ON lower(u.email) = c.mail "
     "WHERE u.email IS NULL OR u.id = c.cid", "users"))(lambda s, d: ID.dedupe_accounts(A.users(s, d)))
 register("repoint_sessions", with_views(
     f"SELECT s.session_id, coalesce(m.cid, s.user_id) AS user_id FROM sessions s LEFT JOIN ("
-    f"SELECT u.id, c.cid FROM users u JOIN {_CANON} c ON lower(trim(u.email)) = c.mail) m ON s.user_id = m.id",
+    f"SELECT u.id, c.cid FROM users u JOIN {_CANON} c ON lower(u.email) = c.mail) m ON s.user_id = m.id",
     "sessions", "users"))(
     lambda s, d: ID.repoint_sessions(A.sessions(s, d), A.users(s, d)).select("session_id", "user_id"))
 register("sessions_with_email", with_views(
@@ -119,7 +120,7 @@ register("unique_email_violations", with_views(
     "users"))(lambda s, d: quality.unique_violations(A.users(s, d), F.lower("email")))
 register("orphan_sessions_after_dedupe", with_views(
     f"SELECT s.session_id, s.user_id FROM sessions s WHERE s.user_id IS NOT NULL AND s.user_id NOT IN ("
-    f"SELECT u.id FROM users u LEFT JOIN {_CANON} c ON lower(trim(u.email)) = c.mail "
+    f"SELECT u.id FROM users u LEFT JOIN {_CANON} c ON lower(u.email) = c.mail "
     "WHERE u.email IS NULL OR u.id = c.cid)", "sessions", "users"))(
     lambda s, d: quality.orphans(A.sessions(s, d), ID.dedupe_accounts(A.users(s, d)), "user_id", "id")
     .select("session_id", "user_id"))
@@ -189,14 +190,14 @@ c AS (SELECT seq, ts, lower(trim(email)) AS email, name, picture FROM claims WHE
 pm AS (SELECT email, min(seq) AS first_seq, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts,
   arg_min_null(name, seq) AS first_name, arg_min(picture, seq) FILTER (WHERE picture IS NOT NULL) AS first_picture
   FROM c GROUP BY email),
-ex AS (SELECT lower(trim(email)) AS email, min(id) AS uid FROM users WHERE email IS NOT NULL GROUP BY 1),
+ex AS (SELECT lower(email) AS email, min(id) AS uid FROM users WHERE email IS NOT NULL GROUP BY 1),
 m AS (SELECT pm.*, ex.uid FROM pm LEFT JOIN ex USING (email)),
 nw AS (SELECT *, split_part(email, '@', 1) AS prefix FROM m WHERE uid IS NULL),
 win AS (SELECT lower(prefix) AS pk, arg_min(email, first_seq) AS winner FROM nw GROUP BY 1),
 tk AS (SELECT DISTINCT lower(username) AS pk FROM users WHERE username IS NOT NULL),
 mx AS (SELECT coalesce(max(id), 0) AS mx FROM users),
 ins AS (SELECT mx.mx + nw.first_seq + 1 AS id, nw.email, nw.first_name AS full_name,
-  CASE WHEN win.winner = nw.email AND tk.pk IS NULL THEN nw.prefix ELSE nw.prefix || substr(sha256(nw.email), 1, 5) END
+  CASE WHEN win.winner = nw.email AND tk.pk IS NULL THEN nw.prefix ELSE nw.prefix || '-' || CAST(mx.mx + nw.first_seq + 1 AS VARCHAR) END
     AS username, nw.first_picture AS avatar, 'user_normal' AS user_type, 'active' AS account_status,
   nw.first_ts AS registered_at, nw.last_ts AS last_login_at
   FROM nw JOIN win ON lower(nw.prefix) = win.pk LEFT JOIN tk ON lower(nw.prefix) = tk.pk, mx),
@@ -283,7 +284,7 @@ lives AS (SELECT email, life, min(seq) AS cseq, arg_min(action, seq) AS cact, ar
     FILTER (WHERE touch) AS ltouch
   FROM z GROUP BY email, life),
 subs AS (SELECT cseq AS id, email, coalesce(lname, cname) AS full_name,
-  CASE WHEN cact = 'subscribe' THEN (SELECT min(u.id) FROM users u WHERE lower(trim(u.email)) = lives.email) END AS user_id,
+  CASE WHEN cact = 'subscribe' THEN (SELECT min(u.id) FROM users u WHERE lower(u.email) = lives.email) END AS user_id,
   status, sha256('newsletter|' || email || '|' || CAST(cseq AS VARCHAR)) AS confirm_token,
   CASE WHEN cact = 'subscribe' THEN 'website' ELSE 'admin' END AS source,
   coalesce(lresub, cts) AS subscribed_at, ltouch AS unsubscribed_at
@@ -374,13 +375,19 @@ register("campaign_messages", _fold_with(
     "AS payload FROM msg", "campaigns", ctes=(
         "cm AS (SELECT * FROM campaigns WHERE id = 1 AND status = 'draft'), "
         "msg AS (SELECT cm.id AS campaign_id, s.email, cm.subject, coalesce(cm.body_html, '') || "
-        "'<hr style=\"margin-top:24px\"><p style=\"font-size:12px;color:#888;font-family:sans-serif\">' || "
-        f"'You received this message from ' || '{FROM_NAME}' || '. ' || '<a href=\"' || '{UNSUB_BASE}' || "
-        "coalesce(s.confirm_token, '') || '\">Unsubscribe</a></p>' AS html FROM subs s, cm WHERE s.status = 'active')")))(_messages)
+        f"'<footer>{FROM_NAME}: <a href=\"{UNSUB_BASE}' || coalesce(s.confirm_token, '') || '\">unsubscribe</a></footer>' "
+        "AS html FROM subs s, cm WHERE s.status = 'active')")))(_messages)
 
 # ----------------------------------------------------------------- intake --
-_TOKEN_USERS = (f"(SELECT token, min(user_id) AS uid FROM sessions WHERE is_active = 1 AND {C.after_now('expires_at')} "
-                "AND token IS NOT NULL GROUP BY token HAVING count(*) = 1)")
+def _token_users(events: str) -> str:
+    return (f"(SELECT v.event_id, min(s.user_id) AS uid FROM {events} v JOIN sessions s ON s.token = v.token AND s.is_active = 1 "
+            "AND s.expires_at > v.received_at GROUP BY v.event_id HAVING count(*) = 1)")
+
+
+def _no_empty(events: str) -> str:
+    texts = {"visit_events": schemas.VISIT_EVENT, "search_events": schemas.SEARCH_EVENT}[events].fields
+    cleaned = ", ".join(f"nullif({f.name}, '') AS {f.name}" for f in texts if f.dataType.simpleString() == "string")
+    return f"(SELECT * REPLACE ({cleaned}) FROM {events})"
 
 
 def _visit_reason(width: int) -> str:
@@ -397,11 +404,11 @@ def _search_reason(width: int) -> str:
 
 
 def _visit_intake(s, d):
-    return INT.visit_intake(A.visit_events(s, d), A.sessions(s, d), seed_regions(s), AS_OF, HOME, INTAKE_COUNTRY_WIDTH)
+    return INT.visit_intake(A.visit_events(s, d), A.sessions(s, d), seed_regions(s), HOME, INTAKE_COUNTRY_WIDTH)
 
 
 def _search_intake(s, d):
-    return INT.search_intake(A.search_events(s, d), A.sessions(s, d), seed_regions(s), AS_OF, HOME, INTAKE_COUNTRY_WIDTH)
+    return INT.search_intake(A.search_events(s, d), A.sessions(s, d), seed_regions(s), HOME, INTAKE_COUNTRY_WIDTH)
 
 
 VISIT_INTAKE_BODY = f"""
@@ -409,8 +416,8 @@ SELECT e.event_id AS id, e.visitor_id, t.uid AS user_id, CASE WHEN t.uid IS NULL
   substr(e.path, 1, 500) AS page_path, substr(e.pattern, 1, 200) AS page_pattern, substr(e.title, 1, 300) AS page_title,
   substr(e.referrer, 1, 500) AS referrer, upper(e.country) AS country_code, e.region AS region_code, r.name AS region_name,
   substr(e.city, 1, 100) AS city, e.device AS device_type, e.browser, e.os, e.session_key, e.received_at AS visited_at
-FROM (SELECT *, {_visit_reason(INTAKE_COUNTRY_WIDTH)} AS reason FROM visit_events) e
-LEFT JOIN {_TOKEN_USERS} t ON e.token = t.token
+FROM (SELECT *, {_visit_reason(INTAKE_COUNTRY_WIDTH)} AS reason FROM {_no_empty('visit_events')} v) e
+LEFT JOIN {_token_users('visit_events')} t ON e.event_id = t.event_id
 LEFT JOIN regions_seed r ON upper(e.country) = '{HOME}' AND e.region = r.code
 WHERE e.reason IS NULL"""
 VISIT_INTAKE_SQL = with_views(VISIT_INTAKE_BODY, "visit_events", "sessions", "regions_seed")
@@ -423,8 +430,8 @@ SELECT e.event_id AS id, e.visitor_id, t.uid AS user_id, substr(nullif(trim(e.te
   lower(substr(nullif(trim(e.term), ''), 1, 400)) AS term_norm, e.results AS results_cnt,
   substr(e.path, 1, 500) AS page_path, upper(e.country) AS country_code, r.name AS region_name,
   e.received_at AS searched_at
-FROM (SELECT *, {_search_reason(INTAKE_COUNTRY_WIDTH)} AS reason FROM search_events) e
-LEFT JOIN {_TOKEN_USERS} t ON e.token = t.token
+FROM (SELECT *, {_search_reason(INTAKE_COUNTRY_WIDTH)} AS reason FROM {_no_empty('search_events')} v) e
+LEFT JOIN {_token_users('search_events')} t ON e.event_id = t.event_id
 LEFT JOIN regions_seed r ON upper(e.country) = '{HOME}' AND e.region = r.code
 WHERE e.reason IS NULL""", "search_events", "sessions", "regions_seed")
 register("search_intake", SEARCH_INTAKE_SQL)(lambda s, d: _search_intake(s, d)[0])

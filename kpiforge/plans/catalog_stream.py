@@ -12,13 +12,13 @@ from .catalog_more import INTAKE_COUNTRY_WIDTH, SALT, SEARCH_INTAKE_SQL, VISIT_I
 
 def _visit_stream(s, d):
     ev = A.visit_events(s, d, events=ST.event_stream(s, d))
-    base = ST.visit_intake_stream(s, ev, A.sessions(s, d), seed_regions(s), AS_OF, HOME, INTAKE_COUNTRY_WIDTH)
+    base = ST.visit_intake_stream(s, ev, A.sessions(s, d), seed_regions(s), HOME, INTAKE_COUNTRY_WIDTH)
     return ST.jobs.read_table(s, base)
 
 
 def _search_stream(s, d):
     ev = A.search_events(s, d, events=ST.event_stream(s, d))
-    base = ST.search_intake_stream(s, ev, A.sessions(s, d), seed_regions(s), AS_OF, HOME, INTAKE_COUNTRY_WIDTH)
+    base = ST.search_intake_stream(s, ev, A.sessions(s, d), seed_regions(s), HOME, INTAKE_COUNTRY_WIDTH)
     return ST.jobs.read_table(s, base)
 
 

@@ -58,7 +58,7 @@ def _write_epoch(df: DataFrame, path: str, epoch: int, partition: str | None = N
 
 
 def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions: DataFrame, regions: DataFrame,
-                   as_of, home: str, country_width: int, out: str | None) -> str:
+                   home: str, country_width: int, out: str | None) -> str:
     base = out or _base(spark, f"{kind}-intake")
     fn = intake.visit_intake if kind == "visit" else intake.search_intake
     ts_col = "visited_at" if kind == "visit" else "searched_at"
@@ -66,7 +66,7 @@ def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions:
     def per_batch(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            good, bad = fn(batch, sessions, regions, as_of, home, country_width)
+            good, bad = fn(batch, sessions, regions, home, country_width)
             _write_epoch(good.withColumn("day", F.to_date(ts_col)), os.path.join(base, "table"), epoch, "day")
             _write_epoch(bad, os.path.join(base, "quarantine"), epoch)
         finally:
@@ -76,14 +76,14 @@ def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions:
     return base
 
 
-def visit_intake_stream(spark, events, sessions, regions, as_of, home, country_width=2, out=None) -> str:
+def visit_intake_stream(spark, events, sessions, regions, home, country_width=2, out=None) -> str:
     """K1: raw visit events -> visits table + quarantine, per micro-batch."""
-    return _intake_stream("visit", spark, events, sessions, regions, as_of, home, country_width, out)
+    return _intake_stream("visit", spark, events, sessions, regions, home, country_width, out)
 
 
-def search_intake_stream(spark, events, sessions, regions, as_of, home, country_width=2, out=None) -> str:
+def search_intake_stream(spark, events, sessions, regions, home, country_width=2, out=None) -> str:
     """K2: raw search events -> search log + quarantine, per micro-batch."""
-    return _intake_stream("search", spark, events, sessions, regions, as_of, home, country_width, out)
+    return _intake_stream("search", spark, events, sessions, regions, home, country_width, out)
 
 
 def read_table(spark: SparkSession, base: str, part: str = "table") -> DataFrame:

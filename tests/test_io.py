@@ -79,9 +79,9 @@ def test_visit_stream_equals_batch(spark):
     d = SF_SMALL
     sess, regions = A.sessions(spark, d), seed_regions(spark)
     base = streaming.visit_intake_stream(spark, A.visit_events(spark, d, events=streaming.event_stream(spark, d)),
-                                         sess, regions, AS_OF, HOME, 10)
+                                         sess, regions, HOME, 10)
     streamed = streaming.jobs.read_table(spark, base)
-    batch, bad = intake.visit_intake(A.visit_events(spark, d), sess, regions, AS_OF, HOME, 10)
+    batch, bad = intake.visit_intake(A.visit_events(spark, d), sess, regions, HOME, 10)
     assert streamed.count() == batch.count()
     assert streamed.select(batch.columns).exceptAll(batch).count() == 0
     q = streaming.jobs.read_table(spark, base, "quarantine")

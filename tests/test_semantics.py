@@ -106,10 +106,12 @@ def test_session_and_region_lookup(spark):
         {"session_id": 4, "user_id": 5, "token": "old", "is_active": 1, "expires_at": past},
         {"session_id": 5, "user_id": 6, "token": "off", "is_active": 0, "expires_at": future},
     ])
-    ev = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two", "old", "off", "none", None])],
-                               "event_id long, token string")
-    got = {r["event_id"]: r["session_user_id"] for r in J.attach_user(ev, s, as_of).collect()}
-    assert got == {0: 7, 1: None, 2: None, 3: None, 4: None, 5: None}
+    tokens = ["one", "two", "old", "off", "none", None, "old", "one"]
+    times = [as_of] * 6 + [ts("2023-12-31 00:00:00"), future]  # judged at each event's own time
+    ev = spark.createDataFrame([(i, t, at) for i, (t, at) in enumerate(zip(tokens, times))],
+                               "event_id long, token string, received_at timestamp")
+    got = {r["event_id"]: r["session_user_id"] for r in J.attach_user(ev, s).collect()}
+    assert got == {0: 7, 1: None, 2: None, 3: None, 4: None, 5: None, 6: 5, 7: None}
     geo = spark.createDataFrame([(1, "SA", "01"), (2, "SA", "13"), (3, "AE", "01")], "id long, c string, r string")
     names = {r["id"]: r["region_name_lookup"] for r in J.attach_region(geo, seed_regions(spark), "SA", "c", "r").collect()}
     assert names == {1: "Riyadh", 2: None, 3: None}
@@ -121,7 +123,7 @@ def test_intake_quarantine_and_truncation(spark):
     rows = [{"event_id": 1, "country": "SAU", "path": "/a"}, {"event_id": 2, "country": "sa", "path": "/" + "p" * 599}]
     ev = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schemas.VISIT_EVENT)
     s = sessions(spark, [])
-    good, bad = INT.visit_intake(ev, s, seed_regions(spark), ts("2024-01-01 00:00:00"), "SA")
+    good, bad = INT.visit_intake(ev, s, seed_regions(spark), "SA")
     assert [r["event_id"] for r in bad.collect()] == [1]
     g = good.collect()
     assert len(g) == 1 and len(g[0]["page_path"]) == 500 and g[0]["country_code"] == "SA"
