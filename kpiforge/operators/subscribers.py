@@ -14,10 +14,10 @@ Why it is a set computation (two statuses only, guarded at intake):
 * every other field is "the last action of some kind" (a ``max_by``),
   valid only when that action comes after the creating one.
 
-Plan: one keyed lag (``scans.keyed_lag``, chunked so a hot e-mail is spread
-over tasks), one aggregate per e-mail with conditional ``max_by`` columns,
-one aggregate for the creating action, and joins of one-row-per-e-mail
-tables.  No window is partitioned by e-mail alone.
+Plan: two keyed scans (``scans.keyed_lag`` and ``keyed_last_before``, chunked so
+a hot e-mail is spread over tasks) and one aggregate per e-mail with conditional
+``max_by`` columns, the creating action among them: the last subscribe or add
+that found no row.  No window or join is partitioned by the log's raw e-mail.
 """
 
 from __future__ import annotations
@@ -90,8 +90,11 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
              .when(F.col("action") == "set_status", F.col("status"))
              .otherwise(F.lit("deleted")))
     a = keyed_lag(a.withColumn("_after", after), "email", "seq", "_after", "_prev", chunk_size)
+    life = F.when(F.col("action").isin("subscribe", "add", "state", "delete"), F.col("action"))
+    a = keyed_last_before(a, "email", "seq", life, "_life", chunk_size)
 
     act, prev = F.col("action"), F.col("_prev")
+    creating = act.isin("subscribe", "add", "state") & (F.col("_life").isNull() | (F.col("_life") == "delete"))
     resub = (act == "subscribe") & (prev == "unsubscribed")
     named = ((act == "add") | resub) & F.col("name").isNotNull()
     touch = (act.isin("set_status", "add")) | resub | ((act == "unsubscribe") & (prev == "active"))
@@ -106,16 +109,10 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
         last_where(named, F.col("name").alias("v")).alias("_name"),
         last_where(resub, F.col("ts").alias("v")).alias("_resub"),
         last_where(touch, unsub_value.alias("v")).alias("_touch"),
+        last_where(creating, "ts", "action", "name", *[c for c, _ in _CARRY]).alias("_c"),
     )
-    creates = a.filter(act.isin("subscribe", "add", "state")).select(
-        "email", "seq", "ts", "action", "name", *[c for c, _ in _CARRY])
-    first = (creates.join(per_mail.select("email", "last_del"), "email", "inner")
-             .filter(F.col("last_del").isNull() | (F.col("seq") > F.col("last_del")))
-             .groupBy("email").agg(F.min_by(F.struct("seq", "ts", "action", "name", *[c for c, _ in _CARRY]),
-                                            "seq").alias("_c")))
-    s = per_mail.join(first, "email", "inner")
-
     c = F.col("_c")
+    s = per_mail.filter(F.col("last_del").isNull() | (c["seq"] > F.col("last_del"))).filter(c.isNotNull())
 
     def since_creation(field):
         return F.col(field)["seq"] > c["seq"]
