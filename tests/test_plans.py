@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
+from kpiforge.operators import identity
 
 QUERIES = entry.queries()
 STREAMS = {"visit_intake_stream", "search_intake_stream", "live_daily_counts", "live_subscribers"}
@@ -46,3 +48,30 @@ def test_no_cartesian_product(spark, name):
     # a nested-loop join may only attach a one-row broadcast side (a scalar)
     for m in re.finditer(r"BroadcastNestedLoopJoin BuildRight, (\w+)", p):
         assert m.group(1) in ("Inner", "Cross")
+
+
+SPLIT_SOON = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.mark.parametrize("name", ["account_mapping", "stitch_visitors"])
+def test_hot_key_is_split(spark, name):
+    """Two thirds of the rows on one key: the final plan deals them out."""
+    base = spark.range(0, 300000, 1, 8)
+    hot = F.when(F.col("id") % 3 < 2, F.lit("hot@example.org")).otherwise(F.col("id").cast("string"))
+    rows = base.select("id", hot.alias("email"), hot.alias("visitor_id"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("user_id"),
+                       F.timestamp_seconds("id").alias("visited_at"))
+    before = {k: spark.conf.get(k) for k in SPLIT_SOON}
+    for k, v in SPLIT_SOON.items():
+        spark.conf.set(k, v)
+    try:
+        out = getattr(identity, name)(rows)
+        assert len(out.collect()) == 300000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
