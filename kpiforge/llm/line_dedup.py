@@ -1,8 +1,9 @@
 """Near-duplicate lines by deletion neighbourhoods (operator 2); DataFrame functions only.
 
 Two lines are near duplicates when they are equal, or when both have at least
-``min_chars`` characters and are one edit apart (one character inserted, deleted
-or replaced).  A line is removed when an earlier line of the corpus, by (doc_id,
+``min_chars`` characters and are within the edit bound (characters inserted, deleted
+or replaced).  The bound is one edit, or with ``per_chars`` one for every
+``per_chars`` characters of the shorter line, and at least one.  A line is removed when an earlier line of the corpus, by (doc_id,
 line number), is a near duplicate of it; lines are judged on the input, not on
 what is left.  Blank lines are kept and not counted.
 
@@ -19,7 +20,17 @@ row, never its pairs.  The joined lines are verified with ``levenshtein``.
 
 Before that, a lossless filter: of two lines one edit apart, either the first
 half of the shorter or the rest of it is untouched.  A line whose halves occur in
-no other line cannot have a near duplicate, and emits no variants.
+no other line cannot be one edit from another, and emits no variants.
+
+Bounds of k > 1 edits (``per_chars``) go by segments: k + 1 disjoint segments of the
+shorter line, dealt to its two ends, k1 + 1 and k2 + 1 with k1 + k2 + 1 = k.  So at
+most k1 edits are in those of the start or at most k2 in those of the end, and from
+that end some segment i is untouched with exactly i edits before it: it occurs in
+the longer line, moved by at most i.  Each line emits its segments and all such
+places, and whoever shares one is verified with ``levenshtein``: first with the
+earliest line of the key, which settles most lines of a key shared by very many near
+copies, then the lines still open with all others.  Nothing is capped, so the pairs
+of a segment that very many unlike lines of like length share are all verified.
 
 Edge cases: a NULL or empty text has no lines; rows equal in id and text are one
 document listed twice, each listing gets its result; NULL ids come after all
@@ -38,6 +49,8 @@ from kpiforge.session import materialize
 MIN_CHARS = 16
 #: Cells of the filter on the way to the suspects' texts.
 FILTER_CELLS = 1 << 20
+#: Characters per permitted edit of the query with the growing bound.
+PER_CHARS = 50
 _PLACE = ["no_id", "doc_id", "text_key", "line_no"]
 
 
@@ -106,11 +119,8 @@ def _partners(variants: DataFrame) -> DataFrame:
     return one_off.unionByName(replaced).filter("earlier < rank").distinct()
 
 
-def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """(line_md5): the distinct lines that have an earlier line one edit away."""
-    suspects = _suspects(merged).select("line_md5", *[F.col(f"place.{c}").alias(c) for c in _PLACE])
-    wanted = suspects.select("line_md5", F.struct(*_PLACE).alias("place"))
-    wanted = materialize(wanted, "line-suspects")
+def _ranked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rank, line_md5, line): the text of each line of ``wanted`` (line_md5, place), and its rank by place."""
     # Each suspect's text from its earliest place; a document listed twice gives it twice.
     # Lines of a hash cell without suspects stay out of the shuffle; at most FILTER_CELLS cells are broadcast.
     cell = F.pmod(F.xxhash64("line_md5"), F.lit(FILTER_CELLS)).cast("int")
@@ -120,7 +130,15 @@ def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     texts = texts.select("line_md5", "line", *[F.col(f"place.{c}").alias(c) for c in _PLACE]).distinct()
     ordered = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).withColumn("one", F.lit(1))
     ranked = running_totals(ordered, [], _PLACE, "one", "rank", "line-ranks")
-    ranked = materialize(ranked.select("rank", "line_md5", "line"), "line-ranked")
+    return materialize(ranked.select("rank", "line_md5", "line"), "line-ranked")
+
+
+def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """(line_md5): the distinct lines that have an earlier line one edit away."""
+    suspects = _suspects(merged).select("line_md5", *[F.col(f"place.{c}").alias(c) for c in _PLACE])
+    wanted = suspects.select("line_md5", F.struct(*_PLACE).alias("place"))
+    wanted = materialize(wanted, "line-suspects")
+    ranked = _ranked(rows, wanted)
     variants = materialize(_variants(ranked), "line-variants")
     links = _partners(variants)
     left, right = ranked.select("rank", "line_md5", "line"), ranked.select(F.col("rank").alias("earlier"), F.col("line").alias("other"))
@@ -128,19 +146,99 @@ def near_removed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return checked.select("line_md5").distinct()
 
 
-def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def edit_bound(n: Column, per_chars: int) -> Column:
+    """Edits between two lines that are near duplicates, the shorter of ``n`` characters."""
+    return F.greatest(F.lit(1), F.floor(n / per_chars).cast("int"))
+
+
+def _segments(rows: DataFrame, per_chars: int, who: str) -> DataFrame:
+    """(who, n, at, segment, key): the segments of each line with a bound over one, and the places where another's may be.
+
+    ``at`` counts from the line's end where side = 1.  From segment ``deep`` on the places of neighbours overlap:
+    there every place is emitted once, under one number.
+    """
+    size = 2 * per_chars // 3  # (k + 1) * size <= k * per_chars for all k > 1
+    deep = (size + 1) // 2
+    n, t, m, i, at = (F.col(c) for c in ("n", "t", "m", "i", "at"))
+    k = edit_bound(n, per_chars)
+    half = F.floor(k / 2).cast("int")
+    sides = rows.withColumn("n", F.length("line")).filter(n >= 2 * per_chars)
+    # Four bytes a character: a place in a long line is then found without counting from its start.
+    wide = F.encode("line", "UTF-32").alias("line")
+    sides = sides.select(who, wide, "n", half.alias("h"), k.alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    sides = sides.select(who, "line", "n", "side", F.when(F.col("side") == 0, F.col("h")).otherwise(F.col("k") - F.col("h") - 1).alias("m"))
+    few = F.least(m + 1, F.lit(deep))
+    more = F.when(m >= deep, F.least(n - size, (size + 1) * m) - (size - 1) * deep + 1).otherwise(0)
+    placed = sides.select("*", F.explode(F.sequence(F.lit(0), few * few + more - 1)).alias("t"))
+    placed = placed.withColumn("i", F.when(t < deep * deep, F.floor(F.sqrt(t)).cast("int")).otherwise(deep))
+    placed = placed.withColumn("at", F.when(t < deep * deep, i * size + t - i * i - i).otherwise((size - 1) * deep + t - deep * deep))
+    placed = placed.filter((at >= 0) & (at <= n - size))
+    own = F.when(t < deep * deep, t == i * i + i).otherwise((at % size == 0) & (at <= size * m))
+    start = F.when(F.col("side") == 0, at + 1).otherwise(n - at - size + 1)
+    key = F.xxhash64("side", "i", F.substring(F.col("line"), start * 4 - 3, F.lit(4 * size)))
+    return placed.select(who, "n", "at", own.alias("segment"), key.alias("key"))
+
+
+def _wide_suspects(rows: DataFrame, merged: DataFrame, per_chars: int) -> DataFrame:
+    """(line_md5, place) of the lines that share a segment with another line."""
+    keyed = _segments(rows.withColumn("line_id", F.xxhash64("line_md5")), per_chars, "line_id").select("key", "line_id", "segment")
+    met = keyed.groupBy("key").agg(F.min("line_id").alias("least"), F.max("line_id").alias("most"), F.max("segment").alias("segment"))
+    shared = materialize(met.filter("least < most and segment").select("key"), "line-wide-shared")
+    cell = F.pmod("key", F.lit(FILTER_CELLS)).cast("int")
+    cells = shared.select(cell.alias("cell")).distinct()
+    likely = keyed.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    found = materialize(likely.join(shared, "key", "left_semi").select("line_id").distinct(), "line-wide-ids")
+    suspects = merged.select("line_md5", "place", F.xxhash64("line_md5").alias("line_id")).join(found, "line_id", "left_semi")
+    return materialize(suspects.select("line_md5", "place"), "line-wide-suspects")
+
+
+def _within(pairs: DataFrame, ranked: DataFrame, per_chars: int) -> DataFrame:
+    """(rank): the later lines of the pairs (rank, earlier) that are within the edit bound."""
+    left, right = ranked.select("rank", "line"), ranked.select(F.col("rank").alias("earlier"), F.col("line").alias("other"))
+    both = pairs.join(left, "rank").join(right, "earlier")
+    both = both.withColumn("k", edit_bound(F.least(F.length("line"), F.length("other")), per_chars))
+    return both.filter(F.expr("levenshtein(line, other, k) >= 0")).select("rank").distinct()
+
+
+def wide_removed(rows: DataFrame, merged: DataFrame, per_chars: int, min_chars: int) -> DataFrame:
+    """(line_md5): the distinct lines with an earlier line within a bound of more than one edit."""
+    ranked = _ranked(rows.filter(F.length("line") >= min_chars), _wide_suspects(rows.filter(F.length("line") >= min_chars), merged, per_chars))
+    keyed = _segments(ranked, per_chars, "rank")
+    met = keyed.groupBy("key").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("segment").alias("segment"), F.min_by("n", "rank").alias("first_n"))
+    met = materialize(met.filter("first < last and segment").select("key", "first", "first_n"), "line-wide-keys")
+    shared = materialize(keyed.join(met, "key"), "line-wide-sharing")
+    k = edit_bound(F.least("n", "first_n"), per_chars)
+    stars = shared.filter((F.col("first") < F.col("rank")) & (F.abs(F.col("n") - F.col("first_n")) <= k))
+    stars = materialize(stars.select("rank", F.col("first").alias("earlier")).distinct(), "line-wide-stars")
+    gone = materialize(_within(stars, ranked, per_chars), "line-wide-gone")
+    still = shared.join(gone.withColumn("gone", F.lit(True)), "rank", "left").select("key", "rank", "n", "at", "segment", F.col("gone").isNull().alias("open"))
+    still = materialize(still, "line-wide-open")
+    short = still.filter("segment").select("key", *[F.col(c).alias(f"a_{c}") for c in ("rank", "n", "at", "open")])
+    moved = F.abs(F.col("at") - F.col("a_at")) <= F.floor(F.col("a_at") / (2 * per_chars // 3))
+    fits = (F.col("n") >= F.col("a_n")) & (F.col("n") - F.col("a_n") <= edit_bound(F.col("a_n"), per_chars)) & moved
+    later_open = F.when(F.col("rank") > F.col("a_rank"), F.col("open")).when(F.col("rank") < F.col("a_rank"), F.col("a_open")).otherwise(False)
+    pairs = still.join(short, "key").filter(fits & later_open)
+    pairs = pairs.select(F.greatest("rank", "a_rank").alias("rank"), F.least("rank", "a_rank").alias("earlier")).distinct()
+    pairs = materialize(pairs.join(stars, ["rank", "earlier"], "left_anti"), "line-wide-pairs")
+    gone = gone.unionByName(_within(pairs, ranked, per_chars))
+    return ranked.join(gone, "rank", "left_semi").select("line_md5")
+
+
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS, per_chars: int | None = None) -> DataFrame:
     """(no_id, doc_id, text_key, line_no, line_md5): the places of the lines that stay."""
     rows = lines(docs)
     merged = distinct_lines(rows, min_chars)
     near = materialize(near_removed(rows, merged), "line-near")
+    if per_chars is not None:
+        near = near.unionByName(materialize(wide_removed(rows, merged, per_chars, min_chars), "line-wide"))
     stay = merged.join(near, "line_md5", "left_anti")
     return stay.select(*[F.col(f"place.{c}").alias(c) for c in _PLACE], "line_md5")
 
 
-def summary(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def summary(docs: DataFrame, min_chars: int = MIN_CHARS, per_chars: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) per row; the digest is of the kept lines' MD5s, joined by newlines."""
     key = ["no_id", "doc_id", "text_key"]
-    stay = kept_lines(docs, min_chars).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line_no", "line_md5"))).alias("kept"))
+    stay = kept_lines(docs, min_chars, per_chars).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line_no", "line_md5"))).alias("kept"))
     stay = materialize(stay, "line-kept").toDF("_no", "_doc", "_text", "kept")
     counted = pick(docs, "doc_id", "text").select(
         "doc_id",

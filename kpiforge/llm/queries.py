@@ -20,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"), per_chars=line_dedup.PER_CHARS)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -62,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_edits": op2_line_dedup_edits,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
@@ -100,5 +105,29 @@ counts AS (SELECT doc_id, count(*) AS n FROM live GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, (coalesce(c.n, 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
   sha256(coalesce(k.hs, '')) AS kept_sha256
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    # Every pair of lines of like length, without segments.  DuckDB's levenshtein counts bytes, so the letters
+    # beyond ASCII stand as control characters in it; there is room for 30 of them.
+    "op2_line_dedup_edits": """
+WITH l AS (
+  SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
+live AS (SELECT *, md5(line) AS h FROM l WHERE trim(line, ' ') <> ''),
+firsts AS (SELECT h, any_value(line) AS line, min((doc_id, line_no)) AS place FROM live GROUP BY h),
+wide AS (SELECT coalesce(string_agg(DISTINCT c, ''), '') AS cs FROM (SELECT unnest(regexp_extract_all(line, '[^\\x00-\\x7F]')) AS c FROM firsts)),
+thin AS (SELECT cs, substr((SELECT string_agg(chr(i::INT), '' ORDER BY i) FROM range(1, 32) AS r(i) WHERE i <> 10), 1, length(cs)) AS ts FROM wide),
+sized AS (SELECT h, place, translate(line, cs, ts) AS line, length(line)::INT AS n, greatest(1, length(line) // 50)::INT AS k FROM firsts, thin WHERE length(line) >= 16),
+gaps AS (SELECT *, unnest(range(0, k + 1))::INT AS gap FROM sized),
+gone AS (
+  SELECT CASE WHEN a.place < b.place THEN b.h ELSE a.h END AS h FROM gaps a JOIN sized b ON a.n + a.gap = b.n
+  WHERE a.h <> b.h AND levenshtein(a.line, b.line) <= a.k),
+stay AS (
+  SELECT f.place[1] AS doc_id, f.place[2] AS line_no, f.h FROM firsts f
+  WHERE f.h NOT IN (SELECT h FROM gone)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(h, chr(10) ORDER BY line_no) AS hs FROM stay GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM live GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, (coalesce(c.n, 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(k.hs, '')) AS kept_sha256
+FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
 }

@@ -118,6 +118,39 @@ def test_line_dedup_of_many_alike_lines(spark):
     assert gone == {i for i in range(400) if any(near(texts[i], texts[j]) for j in range(i))}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("per_chars", [8, 50])
+def test_line_dedup_with_a_growing_edit_bound(spark, per_chars):
+    """Edits of every number about the bound, at random, at either end and evenly spread, by segments up to the deep ones."""
+    rnd = random.Random(per_chars)
+    texts = []
+    for n in (15, 16, 23, 60, 99, 100, 101, 149, 150, 320):
+        base = "".join(rnd.choices("abcdé ", k=n)).replace("  ", " é").strip().ljust(n, "z")
+        texts.append(base)
+        k = max(1, n // per_chars)
+        for count in sorted({1, 2, k - 1, k, k + 1}):
+            for places in ([rnd.randrange(n) for _ in range(count)], range(count), range(n - count, n), [(2 * j + 1) * n // (2 * count) for j in range(count)]):
+                line = list(base)
+                for at in places:
+                    line[at] = rnd.choice(["", f"{line[at]}#", "#"])
+                texts.append("".join(line))
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bound = lambda a, b: max(1, min(len(a), len(b)) // per_chars) if min(len(a), len(b)) >= 16 else 0
+    want = {i for i, a in enumerate(texts) if any(abs(len(a) - len(b)) <= bound(a, b) and edits(a, b) <= bound(a, b) for b in texts[:i])}
+    got = {r.doc_id for r in line_dedup.summary(df, per_chars=per_chars).filter("n_removed = 1").collect()}
+    one = {r.doc_id for r in line_dedup.summary(df).filter("n_removed = 1").collect()}
+    assert got == want and one < got
+
+
 def test_substring_dedup(docs, no_docs):
     listed = sorted({(d, t) for d, t, *_ in corpus()}, key=order)
     seen, want = set(), {}
