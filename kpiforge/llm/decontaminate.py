@@ -19,7 +19,8 @@ Edge cases: NULL and empty texts and items have no words and no windows; a
 document without words is not contaminated; NULL ids are kept as they are
 (rows with equal id and equal text share one result each, also if repeated);
 equal windows of several items are looked up once and count for each item;
-repeated item ids count once, NULL item ids not at all; an empty benchmark hits
+repeated item ids count once; items with a NULL id are hit like all others but stay
+out of n_items and items_sha256; an empty benchmark hits
 nothing and an empty corpus gives an empty result.  Only ``doc_id`` and ``text``,
 ``item_id`` and ``text`` are read, so extra columns do not matter.
 """
@@ -60,7 +61,7 @@ def shingle_at(w: str, pos: str, n: int) -> Column:
 def windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(window_id, w): the distinct windows; (window_id, item_id): the items that have them."""
     items = pick(benchmark, "item_id", "text").select("item_id", words(F.col("text")).alias("iw"))
-    items = items.filter(F.col("item_id").isNotNull() & (F.size("iw") > 0))
+    items = items.filter(F.size("iw") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("iw") - window + 1, F.lit(1)))
     each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("iw", i, window))).alias("w"))
     each = materialize(each.withColumn("window_id", F.md5(F.array_join("w", " "))).distinct(), "bench-windows")

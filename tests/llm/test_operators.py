@@ -216,6 +216,15 @@ def test_decontamination(spark, docs, no_docs, monkeypatch):
     assert decontaminate.judge(no_docs, table).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "some words of a passage"), (2, "a b"), (3, "clean")], "doc_id long, text string")
+    table = spark.createDataFrame([(None, "words of a passage"), (None, "A-B"), (7, "a b")], "item_id long, text string")
+    got = rows(decontaminate.judge(docs, table), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    assert got == [(1, 4, 0, none, True), (2, 2, 1, seven, True), (3, 0, 0, none, False)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, table).collect()] == [3]
+
+
 def test_mixing(docs, no_docs):
     mixed = mixing.mix(docs).cache()
     size = {s: sum(len((t or "").split()) for _, t, _, x in corpus() if x == s) for s in {r[3] for r in corpus()}}
