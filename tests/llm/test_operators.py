@@ -284,6 +284,19 @@ def test_ngram_join(docs, no_docs):
     assert ngram_join.join_components(no_docs).count() == 0
 
 
+def test_ngram_join_of_ids_with_two_texts(spark):
+    rnd = random.Random(11)
+    a, b, c, d = (sentence(rnd, 60, 10**6) for _ in range(4))
+    texts = [(3, a), (5, a), (5, b), (9, f"{b} end"), (12, c), (12, d), (13, ""), (13, f"{c} end"), (20, d), (20, d), (21, f"{a} end"), (21, "unlike text")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for k, percent in ((4, 85), (5, 80)):
+        got = rows(ngram_join.join_components(df, k, percent), "doc_id", "n_shingles", "component_id")
+        assert got == near_components(texts, k, percent)
+    assert {r[2] for r in got if r[0] == 9} == {3}
+    kept = rows(ngram_join.keep_representatives(df), "doc_id", "text")
+    assert kept == sorted([(3, a), (5, b), (12, c), (12, d), (13, ""), (21, "unlike text")], key=repr)
+
+
 def test_ngram_join_of_a_large_group(spark):
     """Chains of near copies whose ends are unlike, in blocks far smaller than the group."""
     rnd = random.Random(5)
