@@ -1,4 +1,4 @@
-"""Repeated passages by prefix-partitioned suffix trees (operator 3).
+"""Repeated passages by window fingerprints dealt by prefixes (operator 3).
 
 A window is ``WINDOW`` consecutive words of a document.  Every word that is
 covered by a window whose words also start earlier (in a document with a smaller
@@ -12,11 +12,14 @@ id, or earlier in the same document) is removed; windows are judged on the input
 2. The suffixes left are dealt by a prefix of their words.  The prefix has
    ``PREFIX`` words, and where the seed is frequent it is lengthened to the whole
    window and split further by document, so that no group outgrows a task.
-3. Each task has the suffixes of its prefixes in sorted order, which is the
-   leaves of the prefix's subtree from left to right.  Neighbours that share all
-   ``WINDOW`` words lie under one node of that depth; its first leaf is the
-   earliest occurrence and stays, the others are repeats.  The order is Spark's
-   external sort, and the pass holds one batch of leaves whatever the group's size.
+3. Each task has the suffixes of its prefixes sorted by the hash of their window, not
+   by their words: fingerprints stand in for the subtrees below a prefix.  Neighbours
+   with equal hashes are the leaves under one node of depth ``WINDOW``; the first is the
+   earliest occurrence and stays, the others are repeats.  No tree is built, no common
+   prefix measured and no maximal repeat reported: a word goes if any repeated window
+   covers it, so nodes of exactly ``WINDOW`` words decide all columns, and a repeat of
+   any greater length is the union of its windows.  The order is Spark's external
+   sort, and the pass holds one batch of leaves whatever the group's size.
 4. The first leaves of a split node meet once more, so that one of them stays.
 
 Edge cases: a NULL or empty text has no words; rows equal in id and text are one
