@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.llm import decontaminate, language, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, topk_search, warc
+from kpiforge.llm import decontaminate, language, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, topk_search, warc
 from kpiforge.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
