@@ -7,9 +7,12 @@ bench and sets a checkpoint folder only when none is configured.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,14 +66,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
+#: Shuffle files of a written table are of no further use: Spark may remove them when the write ends.
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("kpiforge_scratch", default=())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Used where a plan would otherwise recompute an expensive shuffle (a
     window over the whole log) for every later reference.  Unlike
     ``persist`` the copy survives lost executors; unlike ``checkpoint()`` it
-    is columnar, so later reads prune columns and push filters.
+    is columnar, so later reads prune columns and push filters.  The shuffle
+    files behind it are removed; the table goes when its ``scratch`` scope ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP_KEY, "false")
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP_KEY, before)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+    return spark.read.parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope that owns the tables which ``materialize`` writes in it, and deletes them at its end.
+
+    Yields ``keep``, which writes a table into the enclosing scope: what leaves the scope must be
+    written by it, since a DataFrame that reads a deleted table cannot run any more.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    outer, own = _scopes.get(), []
+    token = _scopes.set((*outer, own))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _scopes.set(outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _scopes.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
