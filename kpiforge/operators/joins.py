@@ -6,8 +6,9 @@ grows with the data (sessions per token, users per e-mail) are joined
 without a hint: the planner broadcasts them only when their estimated size
 is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks with runtime
 sizes) and otherwise shuffles both sides on the key; AQE splits
-a hot key on the large side only if the lookup was written first (``attach_user``):
-an aggregate between the join and its shuffle rules that out.
+a hot key on the large side only if the lookup was written first: an aggregate
+between the join and its shuffle rules that out.  Sessions are not looked up but
+swept in time order together with the events (``attach_user``).
 
 Lookups are pre-aggregated to one row per key before the join, so a lookup
 can never duplicate an event.  NULL join keys are replaced by a per-row value
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .scans import keyed_running
 
 
 def one_row_join(base: DataFrame, *ones: DataFrame) -> DataFrame:
@@ -45,37 +46,44 @@ def never_null_id(key: Column, row_id: Column) -> Column:
     return F.coalesce(key, -1 - F.abs(row_id.cast("bigint")))
 
 
-def session_spans(sessions: DataFrame) -> DataFrame:
-    """One row per token of active sessions: the user of the last to expire, and the
-    span of times (``_from`` on, before ``_until``) at which no other is valid (S19).
+#: Seconds of a chunk of the session sweep: what one task sees of a token at most.
+SWEEP_CHUNK_S = 3600
 
-    Two valid sessions on one token give no user, as the source's single-row
-    lookup failed on TOO_MANY_ROWS.  The ranking keeps two rows per token before
-    the shuffle, so a hot token stays small.
-    """
-    active = sessions.filter((F.col("is_active") == 1) & F.col("expires_at").isNotNull() & F.col("token").isNotNull())
-    latest = Window.partitionBy("token").orderBy(F.col("expires_at").desc())
-    top = active.select("token", "user_id", "expires_at").withColumn("_rank", F.row_number().over(latest)).filter("_rank <= 2")
 
-    def ranked(rank: int, c: str) -> Column:
-        return F.max(F.when(F.col("_rank") == rank, F.col(c)))
+def session_edges(sessions: DataFrame) -> DataFrame:
+    """(_tok, _t, _dn, _dx, _du): what changes at each start and end of an active session.
 
-    return top.groupBy(F.col("token").alias("_tok")).agg(
-        ranked(1, "user_id").alias("_uid"), ranked(1, "expires_at").alias("_until"), ranked(2, "expires_at").alias("_from"))
+    ``_dn`` counts sessions, ``_dx`` holds the user id, ``_du`` counts sessions without a user.  A session
+    counts from ``created_at`` (NULL: always) until before ``expires_at`` (S19).
+    """
+    begin = F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp_ntz"))
+    active = sessions.filter((F.col("is_active") == 1) & F.col("token").isNotNull() & (begin < F.col("expires_at")))
+    edge = [F.struct(t.alias("t"), F.lit(d).cast("bigint").alias("d")) for t, d in ((begin, 1), (F.col("expires_at"), -1))]
+    return active.select(F.col("token").alias("_tok"), "user_id", F.explode(F.array(*edge)).alias("_e")).select(
+        "_tok", F.col("_e.t").alias("_t"), F.col("_e.d").alias("_dn"), F.col("user_id").cast("bigint").alias("_dx"),
+        F.when(F.col("user_id").isNull(), F.col("_e.d")).otherwise(0).cast("bigint").alias("_du"))
 
 
 def attach_user(events: DataFrame, sessions: DataFrame, at: str = "received_at", token: str = "token",
-                row_id: str = "event_id") -> DataFrame:
-    """Add ``session_user_id``, NULL unless the token has one session valid at the event's own time.
-
-    The lookup is written first: AQE splits a hot token only if no aggregate
-    stands between the join and its shuffle.
+                row_id: str = "event_id", chunk_s: int = SWEEP_CHUNK_S) -> DataFrame:
+    """Add ``session_user_id``, NULL unless the token has exactly one session valid at the event's own time.
+
+    One sweep in time order over the starts and ends of a token's sessions and its events: the
+    running count says whether exactly one session is open, and the running exclusive-or of the
+    user ids then is its user.  So an event meets its session without a range join, sessions
+    that start later or have ended do not count, and two open ones give no user, as the
+    source's single-row lookup failed on TOO_MANY_ROWS.  The sweep is chunked by time, so a hot
+    token is spread over tasks.  Events without a time have no user.
     """
-    lookup = materialize(session_spans(sessions), "session-spans")
-    keyed = events.withColumn("_tok", never_null_key(F.col(token), F.col(row_id)))
-    alone = (F.col(at) < F.col("_until")) & (F.col("_from").isNull() | (F.col(at) >= F.col("_from")))
-    return (keyed.join(lookup, "_tok", "left").withColumn("session_user_id", F.when(alone, F.col("_uid")))
-            .drop("_tok", "_uid", "_until", "_from"))
+    keyed = events.select(F.struct(*events.columns).alias("_row"), never_null_key(F.col(token), F.col(row_id)).alias("_tok"),
+                          F.col(at).alias("_t"), F.lit(1).alias("_kind"))
+    edges = session_edges(sessions).withColumn("_kind", F.lit(0))
+    # unix_timestamp reads NTZ as UTC: chunks follow the wall clock whatever the session time zone
+    chunk = F.coalesce(F.floor(F.unix_timestamp("_t") / chunk_s), F.lit(-(1 << 62))).cast("bigint")
+    swept = keyed_running(keyed.unionByName(edges, allowMissingColumns=True), "_tok", ["_t", "_kind"],
+                          {"_n": ("sum", "_dn"), "_x": ("bit_xor", "_dx"), "_u": ("sum", "_du")}, chunk)
+    alone = (F.col("_n") == 1) & (F.col("_u") == 0)
+    return swept.filter("_kind = 1").select("_row.*", F.when(alone, F.col("_x")).alias("session_user_id"))
 
 
 def attach_region(events: DataFrame, regions: DataFrame, home: str, country: str = "country_code",

@@ -80,3 +80,33 @@ def keyed_last_before(df: DataFrame, key: str, order: str | list[str], value: st
     return (d.join(carry, [key, "_chunk"], "left")
             .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry")))
             .drop("_chunk", "_v", "_in", "_carry"))
+
+
+#: Aggregates that ``keyed_running`` can carry: how two neighbouring stretches combine, and the value of none.
+_FOLDS = {
+    "sum": (F.sum, lambda a, b: a + b),
+    "bit_xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
+}
+
+
+def keyed_running(df: DataFrame, key: str, order: str | list[str], folds: dict[str, tuple[str, str]], chunk: Column) -> DataFrame:
+    """Add running folds over the rows of ``key`` in ``order``, the current row included.
+
+    ``folds``: out -> (aggregate, bigint column), aggregates ``sum`` or ``bit_xor``; NULL values count as none.
+    ``chunk`` must be monotone in the order.  Inside a (key, chunk) the fold is a window; what
+    earlier chunks add comes from one row per (key, chunk), so no task sees a whole key.
+    """
+    cols = [order] if isinstance(order, str) else list(order)
+    d = df.withColumn("_chunk", chunk)
+    here = Window.partitionBy(key, "_chunk").orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    none, totals, carry, local, out = F.lit(0).cast("bigint"), [], [], {}, {}
+    for name, (how, value) in folds.items():
+        fold, join = _FOLDS[how]
+        totals.append(fold(value).alias(name))
+        carry.append(F.coalesce(fold(name).over(earlier), none).alias(f"_c{name}"))
+        local[name] = F.coalesce(fold(value).over(here), none)
+        out[name] = join(F.col(name), F.col(f"_c{name}"))
+    per_chunk = d.groupBy(key, "_chunk").agg(*totals).select(key, "_chunk", *carry)
+    return (d.withColumns(local).join(per_chunk, [key, "_chunk"]).withColumns(out)
+            .drop("_chunk", *[f"_c{name}" for name in folds]))

@@ -112,11 +112,31 @@ def test_session_and_region_lookup(spark):
                                "event_id long, token string, received_at timestamp")
     got = {r["event_id"]: r["session_user_id"] for r in J.attach_user(ev, s).collect()}
     assert got == {0: 7, 1: None, 2: None, 3: None, 4: None, 5: None, 6: 5, 7: None}
+    assert {r["event_id"]: r["session_user_id"] for r in J.attach_user(ev, s.limit(0)).collect()} == dict.fromkeys(range(8))
     geo = spark.createDataFrame([(1, "SA", "01"), (2, "SA", "13"), (3, "AE", "01")], "id long, c string, r string")
     names = {r["id"]: r["region_name_lookup"] for r in J.attach_region(geo, seed_regions(spark), "SA", "c", "r").collect()}
     assert names == {1: "Riyadh", 2: None, 3: None}
 
 
+# A session counts from its start until before its end; two open ones give no user
+def test_sessions_count_only_while_they_exist(spark):
+    day = [ts(f"2024-01-{d:02d} 00:00:00") for d in range(1, 32)]
+    spans = [("a", 1, 5, 10), ("a", 2, 8, 12), ("a", 3, 12, 12), ("a", None, 20, 25), ("a", 4, 22, 23), ("b", 9, None, 6), ("b", 9, 4, 8), ("b", 5, 30, 2)]
+    s = sessions(spark, [{"session_id": i, "user_id": u, "token": t, "is_active": 1, "created_at": None if b is None else day[b - 1],
+                          "expires_at": day[e - 1]} for i, (t, u, b, e) in enumerate(spans)])
+    ev = spark.createDataFrame([(100 * k + d, t, day[d - 1]) for k, t in enumerate("ab") for d in range(1, 32)] + [(999, "a", None)],
+                               "event_id long, token string, received_at timestamp")
+
+    def want(t, d):
+        open_ = [u for tok, u, b, e in spans if tok == t and (b is None or b <= d) and e > d]
+        return open_[0] if len(open_) == 1 else None
+
+    for chunk_s in (3600, 40 * 86400):
+        got = {r["event_id"]: r["session_user_id"] for r in J.attach_user(ev, s, chunk_s=chunk_s).collect()}
+        assert got == {100 * k + d: want(t, d) for k, t in enumerate("ab") for d in range(1, 32)} | {999: None}
+    assert got[5] == 1 and got[4] is None and got[8] is None and got[10] == 2 and got[12] is None and got[20] is None
+
+
 # Oversize country quarantined, long path truncated
 def test_intake_quarantine_and_truncation(spark):
     names = schemas.VISIT_EVENT.fieldNames()
