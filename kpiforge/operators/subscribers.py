@@ -3,8 +3,9 @@
 The source system mutates one row per request (subscribe, unsubscribe by
 token, admin add, set status, delete, save campaign).  Here the input is an
 action log ``(seq, ts, action, email, name, status)`` with e-mails already
-resolved (``resolve_actions`` maps unsubscribe tokens and admin ids to
-e-mails), and the output is the resulting subscriber table.
+resolved (``lives.resolve_actions`` maps unsubscribe tokens and admin ids to
+the e-mails of the rows that they name), and the output is the resulting
+subscriber table.
 
 Why it is a set computation (two statuses only, guarded at intake):
 * after any delete the e-mail has no row, so only actions after the last
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from ..schemas import SUBSCRIBER_STATUSES
 from .filters import optional_equals, text_search
 from .joins import link_user_by_email
+from .lives import issued_token, names_row
 from .scans import DEFAULT_CHUNK, keyed_lag, keyed_last_before
 
 ACTIONS = ["subscribe", "unsubscribe", "add", "set_status", "delete"]
@@ -38,10 +40,14 @@ def normalise_email(c):
 
 
 def validate_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into (accepted, quarantined with reason).  E-mail normalised to lower(trim())."""
+    """Split into (accepted, quarantined with reason).  E-mail normalised to lower(trim()).
+
+    An action without e-mail is accepted if it names a row by token or id
+    (``lives.resolve_actions`` finds the row).
+    """
     email = normalise_email(F.col("email"))
     reason = (F.when(~F.col("action").isin(*ACTIONS) | F.col("action").isNull(), F.lit("unknown action"))
-              .when(email.isNull(), F.lit("no email"))
+              .when(email.isNull() & ~names_row(), F.lit("no email"))
               .when(F.locate("@", email) == 0, F.lit("invalid email"))
               .when((F.col("action") == "set_status") & ~F.coalesce(F.col("status").isin(*SUBSCRIBER_STATUSES), F.lit(False)),
                     F.lit("unsupported status")))
@@ -49,15 +55,6 @@ def validate_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
 
-def resolve_actions(actions: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Fill the e-mail of unsubscribe-by-token and set_status/delete-by-id actions
-    from a subscriber snapshot (tokens and ids are unique keys there)."""
-    by_token = snapshot.select(F.col("confirm_token").alias("token"), F.col("email").alias("_tok_mail"))
-    by_id = snapshot.select(F.col("id").alias("id"), F.col("email").alias("_id_mail"))
-    return (actions.join(by_token, "token", "left").join(by_id, "id", "left")
-            .withColumn("email", F.coalesce("email", "_tok_mail", "_id_mail")).drop("_tok_mail", "_id_mail"))
-
-
 _CARRY = [("_sid", "bigint"), ("_stoken", "string"), ("_ssource", "string"), ("_suser", "bigint"),
           ("_sunsub", "timestamp_ntz")]
 
@@ -125,8 +122,7 @@ def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: s
         c["action"].alias("_created_by"),
         c["_suser"].alias("_state_user"),
         F.col("status"),
-        F.coalesce(c["_stoken"],
-                   F.sha2(F.concat_ws("|", F.lit(salt), F.col("email"), c["seq"].cast("string")), 256)).alias("confirm_token"),
+        F.coalesce(c["_stoken"], issued_token(salt, F.col("email"), c["seq"])).alias("confirm_token"),
         F.when(state, c["_ssource"]).when(c["action"] == "subscribe", F.lit("website")).otherwise(F.lit("admin")).alias("source"),
         F.when(since_creation("_resub"), F.col("_resub")["v"]).otherwise(c["ts"]).alias("subscribed_at"),
         F.when(since_creation("_touch"), F.col("_touch")["v"]).otherwise(c["_sunsub"]).alias("unsubscribed_at"),
@@ -173,6 +169,12 @@ def action_outcomes(actions: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> Data
     return a.select("seq", "email", "action", outcome.alias("outcome"))
 
 
+def stale_outcomes(stale: DataFrame) -> DataFrame:
+    """The answers to actions by token or id that name no current row."""
+    answer = F.when(F.col("action") == "unsubscribe", F.lit("not_active")).otherwise(F.lit("no_row"))
+    return stale.select("seq", F.lit(None).cast("string").alias("email"), "action", answer.alias("outcome"))
+
+
 def subscriber_list(subs: DataFrame, query: str | None = None, status: str | None = None, n: int = 300) -> DataFrame:
     """Newest first, at most ``n``; literal case-insensitive search on e-mail or name."""
     df = optional_equals(text_search(subs, ["email", "full_name"], query), "status", status)

@@ -194,6 +194,28 @@ def actions(spark: SparkSession, d: str, events: DataFrame | None = None) -> Dat
     ).filter(F.col("action").isNotNull())
 
 
+def keyed_actions(spark: SparkSession, d: str, events: DataFrame | None = None, salt: str = "newsletter") -> DataFrame:
+    """``actions`` as handlers receive them: unsubscribes mostly by token, status changes and deletes by id.
+
+    The key is that of the row which the e-mail's last subscribe or add before would have created; where a row was
+    there already, or has gone since, the key is stale.  Every eleventh token was never issued.
+    """
+    from ..operators.lives import issued_token
+    from ..operators.scans import keyed_last_before
+
+    acts = actions(spark, d, events)
+    made = F.when(F.col("action").isin("subscribe", "add"), F.col("seq"))
+    acts = keyed_last_before(acts.filter(F.col("email").isNotNull()), "email", "seq", made, "_made").unionByName(
+        acts.filter(F.col("email").isNull()), allowMissingColumns=True)
+    act, seq, known = F.col("action"), F.col("seq"), F.col("_made").isNotNull()
+    by_token = (act == "unsubscribe") & known & (seq % 4 != 0)
+    by_id = act.isin("set_status", "delete") & known & ~((act == "delete") & (seq % 6 == 0))
+    forged = F.concat(F.lit("forged-"), seq.cast("string"))
+    token = F.when(by_token, F.when(seq % 11 == 0, forged).otherwise(issued_token(salt, F.col("email"), F.col("_made"))))
+    return acts.select("seq", "ts", "action", F.when(~(by_token | by_id), F.col("email")).alias("email"), token.alias("token"),
+                       F.when(by_id, F.col("_made")).alias("id"), "name", "status")
+
+
 def campaigns(spark: SparkSession, d: str) -> DataFrame:
     r = load(spark, d, "region")
     i = F.col("r_regionkey").cast("bigint")
@@ -449,6 +471,17 @@ SELECT event_id AS seq, ts,
   CASE WHEN event_type = 'click' THEN (CASE WHEN k % 17 = 0 THEN 'paused' WHEN k % 3 = 0 THEN 'unsubscribed'
        ELSE 'active' END) END AS status
 FROM {_EV} e) WHERE action IS NOT NULL""",
+    # ``home`` is the e-mail that the key was made from, ``want`` the row that it names (-1: none).
+    "keyed_actions": """
+SELECT seq, ts, action, CASE WHEN by_token OR by_id THEN NULL ELSE email END AS email,
+  CASE WHEN by_token THEN CASE WHEN seq % 11 = 0 THEN 'forged-' || CAST(seq AS VARCHAR)
+    ELSE sha256('newsletter|' || email || '|' || CAST(made AS VARCHAR)) END END AS token,
+  CASE WHEN by_id THEN made END AS id, name, status, email AS home,
+  CASE WHEN by_token AND seq % 11 = 0 THEN -1 WHEN by_token OR by_id THEN made END AS want
+FROM (SELECT *, coalesce(action = 'unsubscribe' AND made IS NOT NULL AND seq % 4 <> 0, false) AS by_token,
+    coalesce(action IN ('set_status', 'delete') AND made IS NOT NULL AND NOT (action = 'delete' AND seq % 6 = 0), false) AS by_id
+  FROM (SELECT *, CASE WHEN email IS NOT NULL THEN last_value(CASE WHEN action IN ('subscribe', 'add') THEN seq END IGNORE NULLS)
+      OVER (PARTITION BY email ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS made FROM actions) m) k""",
     "campaigns": """
 SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS subject, '<p>News for ' || r_name || '</p>' AS body_html,
   CASE WHEN r_regionkey % 2 = 0 THEN 'sent' ELSE 'draft' END AS status,
@@ -569,7 +602,7 @@ _fill_seeds()
 
 VIEWS = {
     "visits": visits, "search_log": search_log, "users": users, "sessions": sessions, "actions": actions,
-    "campaigns": campaigns, "send_log": send_log, "responses": responses, "categories": categories,
+    "keyed_actions": keyed_actions, "campaigns": campaigns, "send_log": send_log, "responses": responses, "categories": categories,
     "achievements": achievements, "visit_events": visit_events, "search_events": search_events, "claims": claims,
     "edits": edits, "logins": logins, "merge_map": merge_map,
 }

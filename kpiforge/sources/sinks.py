@@ -3,48 +3,51 @@
 * ``append_events`` adds rows to a day-partitioned Parquet table (the
   source's INSERT per request becomes an append of a whole batch).
 * ``write_snapshot`` never overwrites the folder a job may be reading: each
-  version goes to its own folder and an append-only version log names the
-  versions; readers take the newest.
+  version goes to its own folder and is published in a commit log
+  (``commits``); readers take the newest, and two writers cannot both
+  publish from one parent.
 * ``export_csv`` writes a headered CSV folder for spreadsheet users.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
 
 def append_events(df: DataFrame, path: str, ts: str, partition: str = "day") -> None:
     """Append, partitioned by calendar day of ``ts`` (so day filters prune folders)."""
     df.withColumn(partition, F.to_date(F.col(ts))).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def _versions(path: str) -> str:
-    return os.path.join(path, "_versions")
-
+def write_snapshot(df: DataFrame, path: str, parent: int | None = None) -> int:
+    """A10: write a new version of the whole table and publish it; returns its number.
 
-def write_snapshot(df: DataFrame, path: str, version: str | None = None) -> str:
-    """A10: write a new version folder, then append its name to the version log.
-
-    Versions sort by name (UTC time, then a random suffix); the log is only
-    ever appended to, so a reader never sees a half-written pointer, and the
-    folder being read is never overwritten.  Returns the version.
+    With ``parent`` (the version that ``df`` was made from, -1 for none) the new version is published
+    only if that is still the newest one; else ``CommitConflict`` is raised and nothing changes.
     """
-    spark = df.sparkSession
-    v = version or f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(os.path.join(path, f"v={v}"))
-    spark.createDataFrame([(v,)], "version string").coalesce(1).write.mode("append").json(_versions(path))
-    return v
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version listed in the version log."""
-    v = spark.read.schema("version string").json(_versions(path)).agg(F.max("version")).first()[0]
-    return spark.read.parquet(os.path.join(path, f"v={v}"))
+    log = CommitLog(df.sparkSession, path)
+    if parent is None:
+        parent = log.last_version()
+    part = log.fresh_part()
+    df.write.parquet(part)
+    return log.publish(parent, [part])
+
+
+def snapshot_version(spark: SparkSession, path: str) -> int:
+    """The newest version, -1 if none was published."""
+    return CommitLog(spark, path).last_version()
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest (or the given) published version."""
+    log = CommitLog(spark, path)
+    found = log.last() if version is None else log.entry(version)
+    if found is None:
+        raise FileNotFoundError(f"no version was published under {path}")
+    return spark.read.parquet(*found["parts"])
 
 
 def export_csv(df: DataFrame, path: str) -> None:

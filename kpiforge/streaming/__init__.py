@@ -5,6 +5,8 @@ from .jobs import (  # noqa: F401
     live_daily_counts,
     live_subscribers,
     read_daily_counts,
+    read_subscribers,
+    run_identity,
     run_available,
     search_intake_stream,
     subscriber_batch_writer,

@@ -20,10 +20,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from ..operators import intake, subscribers
-from ..session import checkpoint_dir
+from ..operators import intake, lives, subscribers
+from ..session import checkpoint_dir, materialize
+from ..sources.commits import CommitLog
 
 
 def _base(spark: SparkSession, name: str) -> str:
@@ -116,61 +116,106 @@ def read_daily_counts(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base).groupBy("label").agg(F.sum("value").alias("value"))
 
 
-def _snapshot(spark: SparkSession, base: str, version: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(os.path.join(base, "snapshots", f"v={version}"))
-    except AnalysisException:
-        return None
+#: Parts of the subscriber table (a whole one and the changes since) from which the next version is written whole again.
+COMPACT_PARTS = 16
 
 
-def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, epochs: list[int] | None = None):
-    """The K4 micro-batch function: fold (previous snapshot + this batch) -> next version.
+def run_identity(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that owns ``checkpoint``, made once and kept beside the stream's own state."""
+    log = CommitLog(spark, os.path.join(checkpoint, "_run"))
+    found = log.last()
+    if found is None:
+        log.publish(-1, [], run=uuid.uuid4().hex)
+        found = log.last()
+    return found["run"]
 
-    Only subscribers whose e-mail appears in the batch are re-folded (their
-    previous rows enter as 'state' actions); all others are copied by an anti
-    join, so the fold costs O(batch + touched rows), not O(table).  Version
-    ``v=<epoch>`` is written with mode overwrite, so a retried epoch
-    recomputes the same version from the same previous one.  A previous version
-    that cannot be read, or versions left by another run's checkpoint, stop the job:
-    folding onto nothing would publish a table without its earlier subscribers.
-    The function runs on the driver; written epochs are appended to ``epochs``.
+
+def _current(rows: DataFrame) -> DataFrame:
+    """The newest row of each e-mail over all parts, without those that are gone."""
+    columns = [c for c in rows.columns if c not in ("_version", "_gone")]
+    newest = rows.groupBy("email").agg(F.max_by(F.struct(*[c for c in columns if c != "email"], "_gone"), "_version").alias("_r"))
+    return newest.filter("not _r._gone").select(*[F.col(c) if c == "email" else F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def read_subscribers(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
+    """The subscriber table of K4 at its newest (or the given) version."""
+    log = CommitLog(spark, base)
+    found = log.last() if version is None else log.entry(version)
+    if found is None:
+        raise FileNotFoundError(f"no version was published under {base}")
+    return _current(spark.read.parquet(*found["parts"]))
+
+
+def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, run: str, compact_parts: int = COMPACT_PARTS):
+    """The K4 micro-batch function: fold this batch onto the table and publish what changed as the next version.
+
+    A version is a change log: the parts of the table written so far and one with the rows of the
+    e-mails that this batch touches (a tombstone for those that have no row now), so what is written
+    follows the batch, not the table.  Reading takes the newest row of each e-mail.  Every
+    ``compact_parts`` versions the table is written whole.
+
+    Epoch e is published by run ``run`` (one per checkpoint, ``run_identity``) right after its epoch
+    e - 1; a retried epoch that was published before changes nothing.  Anything else stops the job:
+    versions of another run, a version that is missing, or an epoch out of turn would
+    lose subscribers.
     """
     def per_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        good, bad = subscribers.validate_actions(batch)
-        prev = None
-        if epoch > 0:
-            prev = _snapshot(spark, base, epoch - 1)
-            if prev is None:
-                raise RuntimeError(f"subscriber version {epoch - 1} is missing under {base}")
-        elif _snapshot(spark, base, 1) is not None:
-            raise RuntimeError(f"{base} holds versions of another checkpoint; use a new folder")
-        if prev is None:
-            snap = subscribers.fold_subscribers(good, users, salt)
-        else:
-            # only e-mails this batch touches are re-folded; the rest carry over
-            touched = good.select("email").distinct()
-            changed = subscribers.fold_subscribers(
-                good, users, salt, snapshot=prev.join(touched, "email", "left_semi"))
-            snap = prev.join(touched, "email", "left_anti").unionByName(changed.select(prev.columns))
-        snap.write.mode("overwrite").parquet(os.path.join(base, "snapshots", f"v={epoch}"))
-        bad.write.mode("overwrite").parquet(os.path.join(base, "quarantine", f"batch={epoch}"))
-        if epochs is not None:
-            epochs.append(epoch)
+        log = CommitLog(spark, base)
+        last = log.last()
+        if last is not None and last["run"] != run:
+            raise RuntimeError(f"{base} holds versions of another run; use a new folder")
+        done = -1 if last is None else last["epoch"]
+        if epoch == done:
+            return
+        if epoch != done + 1:
+            raise RuntimeError(f"the version of epoch {epoch - 1} is missing under {base}: the newest is that of epoch {done}")
+        version = 0 if last is None else last["version"] + 1
+        parts = [] if last is None else last["parts"]
+        batch = batch.persist()
+        try:
+            good, bad = subscribers.validate_actions(batch)
+            prev = None
+            if parts:
+                rows = spark.read.parquet(*parts)
+                named = good.filter(F.col("email").isNull())
+                by_token = rows.join(named.select(F.col("token").alias("confirm_token")), "confirm_token", "left_semi")
+                by_id = rows.join(named.filter("token is null").select("id"), "id", "left_semi")
+                touched = good.select("email").union(by_token.select("email")).union(by_id.select("email")).filter("email is not null")
+                prev = materialize(_current(rows.join(touched.distinct(), "email", "left_semi")), "subscribers-before")
+            counted, stale = lives.resolve_actions(good, salt, prev)
+            counted = materialize(counted, "subscribers-actions")
+            before = None if prev is None else prev.join(counted.select("email").distinct(), "email", "left_semi")
+            now = subscribers.fold_subscribers(counted, users, salt, snapshot=before).withColumn("_gone", F.lit(False))
+            if before is not None:
+                now = materialize(now, "subscribers-now")
+                gone = before.join(now.select("email"), "email", "left_anti").withColumn("_gone", F.lit(True))
+                now = now.unionByName(gone.select(now.columns))
+            now = now.withColumn("_version", F.lit(version).cast("bigint"))
+            if len(parts) + 1 > compact_parts:
+                whole = _current(rows.unionByName(now)).withColumn("_gone", F.lit(False))
+                now, parts = whole.withColumn("_version", F.lit(version).cast("bigint")), []
+            part = log.fresh_part()
+            now.write.parquet(part)
+            bad = bad.unionByName(stale.withColumn("reason", F.lit("no such row")), allowMissingColumns=True)
+            bad.write.mode("overwrite").parquet(os.path.join(base, "quarantine", f"batch={epoch}"))
+            log.publish(version - 1, [*parts, part], run=run, epoch=epoch)
+        finally:
+            batch.unpersist()
 
     return per_batch
 
 
 def live_subscribers(spark: SparkSession, actions: DataFrame, users: DataFrame | None, salt: str = "newsletter",
-                     out: str | None = None) -> tuple[str, DataFrame]:
-    """K4: keep the subscriber table current from a stream of actions.
+                     out: str | None = None, compact_parts: int = COMPACT_PARTS) -> tuple[str, DataFrame]:
+    """K4: keep the subscriber table current from a stream of actions (by e-mail, token or id).
 
-    Returns the output folder and the latest snapshot.
+    Returns the output folder and the table at its newest version.
     """
     base = out or _base(spark, "subscribers")
-    epochs: list[int] = []
-    run_available(actions.writeStream.foreachBatch(subscriber_batch_writer(base, users, salt, epochs)),
-                  os.path.join(base, "_checkpoint"))
-    if not epochs:
+    checkpoint = os.path.join(base, "_checkpoint")
+    writer = subscriber_batch_writer(base, users, salt, run_identity(spark, checkpoint), compact_parts)
+    run_available(actions.writeStream.foreachBatch(writer), checkpoint)
+    if CommitLog(spark, base).last_version() < 0:
         raise RuntimeError("the action stream delivered no batch")
-    return base, spark.read.parquet(os.path.join(base, "snapshots", f"v={max(epochs)}"))
+    return base, read_subscribers(spark, base)

@@ -1,6 +1,7 @@
 """The window-free subscriber fold against a plain Python state machine."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kpiforge import schemas
-from kpiforge.operators import scans, subscribers
+from kpiforge.operators import lives, scans, subscribers
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -134,3 +135,62 @@ def test_keyed_last_before_matches_plain_window(spark):
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = {r["o"]: r["x"] for r in df.withColumn("x", F.last("v", ignorenulls=True).over(w)).collect()}
     assert got == want
+
+
+def keyed_log(rng, n, start=0, known=()):
+    """A log in which unsubscribes carry tokens, status changes and deletes ids: real, stale and invented ones."""
+    out, made = [], list(known)
+    for i in range(start, start + n):
+        action = rng.choice(["subscribe", "subscribe", "add", "unsubscribe", "set_status", "delete", "delete"])
+        email = f"e{rng.randrange(3)}@x"
+        status = rng.choice(["active", "unsubscribed"]) if action == "set_status" else None
+        token = row_id = None
+        if action in ("unsubscribe", "set_status", "delete") and rng.random() < 0.85:
+            of, seq = rng.choice(made) if made and rng.random() < 0.9 else ("none@x", 10**6 + i)
+            email = None
+            if action == "unsubscribe":
+                token = hashlib.sha256(f"newsletter|{of}|{seq}".encode()).hexdigest()
+            else:
+                row_id = seq
+        out.append((i, BASE + dt.timedelta(seconds=i), action, email, token, row_id, rng.choice([None, f"n{i}"]), status))
+        if action in ("subscribe", "add"):
+            made.append((email, i))
+    return out, made
+
+
+def by_mail(log):
+    """The same log as handlers saw it: each key looked up among the rows of that moment (None: no such row)."""
+    rows, out, missed = {}, [], set()
+    for seq, t, action, email, token, row_id, name, status in log:
+        if email is None:
+            found = [e for e, i in rows.items() if i == row_id or hashlib.sha256(f"newsletter|{e}|{i}".encode()).hexdigest() == token]
+            if not found:
+                missed.add(seq)
+                continue
+            email = found[0]
+        if action in ("subscribe", "add"):
+            rows.setdefault(email, seq)
+        elif action == "delete":
+            rows.pop(email, None)
+        out.append((seq, t, action, email, name, status))
+    return out, missed
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_actions_by_token_and_id_equal_state_machine(spark, seed):
+    rng = random.Random(100 + seed)
+    log, made = keyed_log(rng, 60)
+    plain, missed = by_mail(log)
+    good, _ = subscribers.validate_actions(spark.createDataFrame(log, schemas.ACTIONS))
+    counted, stale = lives.resolve_actions(good, "newsletter", chunk_size=8)
+    assert {r["seq"] for r in stale.collect()} == missed
+    assert {r["seq"]: r["email"] for r in counted.collect()} == {a[0]: a[3] for a in plain}
+    assert as_dict(subscribers.fold_subscribers(counted, chunk_size=8)) == machine(plain)
+    # continued from a snapshot, whose tokens and ids are those issued before
+    first = subscribers.fold_subscribers(counted, chunk_size=8)
+    more, _ = keyed_log(rng, 40, 60, made)
+    plain, missed = by_mail(log + more)
+    good, _ = subscribers.validate_actions(spark.createDataFrame(more, schemas.ACTIONS))
+    counted, stale = lives.resolve_actions(good, "newsletter", first, chunk_size=8)
+    assert {r["seq"] for r in stale.collect()} == {s for s in missed if s >= 60}
+    assert as_dict(subscribers.fold_subscribers(counted, chunk_size=8, snapshot=first)) == machine(plain)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, ts
 from kpiforge import streaming
-from kpiforge.operators import intake, subscribers
+from kpiforge.operators import intake, lives, subscribers
 from kpiforge.plans.catalog import AS_OF, HOME
 from kpiforge.session import checkpoint_dir
 from kpiforge.sources import adapters as A
 from kpiforge.sources import events, sinks
+from kpiforge.sources.commits import CommitConflict, CommitLog
 from kpiforge.sources.tables import seed_regions
 
 
@@ -28,15 +29,29 @@ def test_snapshot_versions_and_csv(spark):
     root = _scratch(spark)
     df1 = spark.createDataFrame([(1, "a")], "id long, v string")
     df2 = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
-    sinks.write_snapshot(df1, os.path.join(root, "snap"), version="0001")
-    assert sinks.read_snapshot(spark, os.path.join(root, "snap")).count() == 1
-    sinks.write_snapshot(df2, os.path.join(root, "snap"), version="0002")
-    assert sinks.read_snapshot(spark, os.path.join(root, "snap")).count() == 2
+    snap = os.path.join(root, "snap")
+    assert sinks.snapshot_version(spark, snap) == -1
+    assert sinks.write_snapshot(df1, snap) == 0 and sinks.read_snapshot(spark, snap).count() == 1
+    assert sinks.write_snapshot(df2, snap, parent=0) == 1 and sinks.read_snapshot(spark, snap).count() == 2
+    assert sinks.read_snapshot(spark, snap, version=0).count() == 1
     sinks.export_csv(df2, os.path.join(root, "csv"))
     back = spark.read.option("header", True).csv(os.path.join(root, "csv"))
     assert back.columns == ["id", "v"] and back.count() == 2
 
 
+def test_two_writers_from_one_parent_cannot_both_publish(spark):
+    snap = os.path.join(_scratch(spark), "snap")
+    sinks.write_snapshot(spark.range(1), snap)
+    parent = sinks.snapshot_version(spark, snap)
+    sinks.write_snapshot(spark.range(2), snap, parent=parent)
+    with pytest.raises(CommitConflict):
+        sinks.write_snapshot(spark.range(3), snap, parent=parent)
+    assert sinks.read_snapshot(spark, snap).count() == 2
+    # data that was prepared and never published is not seen
+    spark.range(9).write.parquet(CommitLog(spark, snap).fresh_part())
+    assert sinks.read_snapshot(spark, snap).count() == 2
+
+
 def test_append_events_partitions_by_day(spark):
     root = _scratch(spark)
     df = spark.createDataFrame([(1, ts("2024-01-01 10:00:00")), (2, ts("2024-01-02 10:00:00"))],
@@ -61,20 +76,6 @@ def test_json_bodies_and_claims(spark):
     assert got["aud"] == "x" and got["email"] == "A@B" and got["iss"] is None
 
 
-def test_resolve_actions_by_token_and_id(spark):
-    snap = spark.createDataFrame([(10, "a@x", "tok-a")], "id long, email string, confirm_token string")
-    acts = spark.createDataFrame(
-        [(1, None, "unsubscribe", None, "tok-a", None), (2, None, "delete", None, None, 10),
-         (3, None, "unsubscribe", None, "nope", None)],
-        "seq long, ts timestamp_ntz, action string, email string, token string, id long")
-    got = {r["seq"]: r["email"] for r in subscribers.resolve_actions(acts, snap).collect()}
-    assert got == {1: "a@x", 2: "a@x", 3: None}
-    _, bad = subscribers.validate_actions(subscribers.resolve_actions(acts, snap)
-                                          .withColumn("name", F.lit(None).cast("string"))
-                                          .withColumn("status", F.lit(None).cast("string")))
-    assert [r["reason"] for r in bad.collect()] == ["no email"]
-
-
 def test_visit_stream_equals_batch(spark):
     d = SF_SMALL
     sess, regions = A.sessions(spark, d), seed_regions(spark)
@@ -88,30 +89,73 @@ def test_visit_stream_equals_batch(spark):
     assert q.count() == bad.count()
 
 
-def test_subscriber_stream_two_batches_equals_batch_fold(spark):
-    """K4 micro-batch function applied to two halves equals one fold of everything."""
-    d = SF_SMALL
-    acts = A.actions(spark, d)
+def _batches(actions, bounds):
+    return [actions.filter((F.col("seq") >= a) & (F.col("seq") < b)) for a, b in zip(bounds, bounds[1:])]
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_subscriber_stream_equals_batch_fold(spark, keyed):
+    """K4 over several micro-batches, each version a change log, equals one fold of everything; a compacted one, too."""
+    acts = (A.keyed_actions if keyed else A.actions)(spark, SF_SMALL).cache()
+    counted, _ = lives.resolve_actions(subscribers.validate_actions(acts)[0], "newsletter")
+    full = subscribers.fold_subscribers(counted, None, "newsletter").cache()
+    for compact in (3, 16):
+        root = _scratch(spark)
+        write = streaming.subscriber_batch_writer(root, None, "newsletter", "run", compact)
+        for epoch, batch in enumerate(_batches(acts, [0, 300, 500, 510, 1 << 40])):
+            write(batch, epoch)
+            write(batch, epoch)  # a retried epoch changes nothing
+        log = CommitLog(spark, root)
+        assert log.last_version() == 3 and len(log.last()["parts"]) == (1 if compact == 3 else 4)
+        streamed = streaming.read_subscribers(spark, root)
+        assert streamed.count() == full.count() > 0
+        assert streamed.select(full.columns).exceptAll(full).count() == 0
+
+
+def test_subscriber_stream_writes_only_what_changed(spark):
     root = _scratch(spark)
-    fn = streaming.subscriber_batch_writer(root, None, "newsletter")
-    fn(acts.filter(F.col("seq") < 500), 0)
-    fn(acts.filter(F.col("seq") >= 500), 1)
-    streamed = spark.read.parquet(os.path.join(root, "snapshots", "v=1"))
-    good, _ = subscribers.validate_actions(acts)
-    full = subscribers.fold_subscribers(good, None, "newsletter")
-    assert streamed.count() == full.count()
-    assert streamed.exceptAll(full.select(streamed.columns)).count() == 0
-
-
-def test_subscriber_stream_refuses_a_missing_version(spark, tmp_path):
-    """K4 must not fold onto nothing when the previous version, or its checkpoint, is gone."""
-    acts = A.actions(spark, SF_SMALL).limit(10)
-    write = streaming.subscriber_batch_writer(str(tmp_path), None, "newsletter")
+    names = "seq long, ts timestamp_ntz, action string, email string, token string, id long, name string, status string"
+    day = dt.datetime(2024, 1, 1)
+    write = streaming.subscriber_batch_writer(root, None, "newsletter", "run")
+    write(spark.createDataFrame([(i, day, "add", f"u{i}@x", None, None, None, None) for i in range(500)], names), 0)
+    write(spark.createDataFrame([(500, day, "delete", None, None, 7, None, None), (501, day, "add", "new@x", None, None, None, None),
+                                 (502, day, "delete", None, None, 7, None, None)], names), 1)
+    parts = CommitLog(spark, root).last()["parts"]
+    assert spark.read.parquet(parts[1]).count() == 2 and streaming.read_subscribers(spark, root).count() == 500
+    stale = spark.read.parquet(os.path.join(root, "quarantine", "batch=1")).collect()
+    assert [(r.seq, r.reason) for r in stale] == [(502, "no such row")]
+
+
+def test_subscriber_stream_refuses_a_foreign_or_truncated_folder(spark):
+    """K4 must not fold onto nothing, nor onto another run's versions."""
+    acts = A.actions(spark, SF_SMALL).limit(10).cache()
+    root = _scratch(spark)
+    write = streaming.subscriber_batch_writer(root, None, "newsletter", "run")
+    with pytest.raises(RuntimeError, match="missing"):
+        write(acts, 2)
+    write(acts, 0)
+    other = streaming.subscriber_batch_writer(root, None, "newsletter", "other run")
+    for epoch in (0, 1):
+        with pytest.raises(RuntimeError, match="another run"):
+            other(acts, epoch)
     with pytest.raises(RuntimeError, match="missing"):
         write(acts, 2)
-    spark.range(1).write.parquet(str(tmp_path / "snapshots" / "v=1"))
-    with pytest.raises(RuntimeError, match="another checkpoint"):
-        write(acts, 0)
+    write(acts, 1)
+    write(acts, 2)
+    commits = os.path.join(root, "_commits")
+    middle = os.path.join(commits, f"{1:020d}.json")
+    os.rename(middle, os.path.join(root, "lost"))
+    with pytest.raises(RuntimeError, match="truncated"):
+        write(acts, 3)
+    os.rename(os.path.join(root, "lost"), middle)
+    os.rename(os.path.join(commits, f"{0:020d}.json"), os.path.join(root, "lost"))
+    with pytest.raises(RuntimeError, match="truncated"):
+        write(acts, 3)
+
+
+def test_run_identity_belongs_to_the_checkpoint(spark):
+    a, b = _scratch(spark), _scratch(spark)
+    assert streaming.run_identity(spark, a) == streaming.run_identity(spark, a) != streaming.run_identity(spark, b)
 
 
 def test_daily_counts_keep_late_rows(spark, tmp_path):
