@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import bounded_batches, pick
 from kpiforge.llm.wordhash import mixed
-from kpiforge.session import materialize
+from kpiforge.session import materialize, scratch
 
 WINDOW = 200
 LENGTHS = (64, 150, 184, 200)
@@ -261,8 +261,10 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def dedup(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS, with_spans: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; ``with_spans`` adds the removed runs (from, to)."""
-    marks = repeats(docs, window, lengths).groupBy(*_DOC).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    joined = _rows(docs).join(materialize(marks, "suffix-marks"), _DOC, "left").select("doc_id", "text", "ranges")
+    with scratch(docs.sparkSession) as keep:
+        found = repeats(docs, window, lengths).groupBy(*_DOC).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+        marks = keep(found, "suffix-marks")
+    joined = _rows(docs).join(marks, _DOC, "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
