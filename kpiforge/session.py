@@ -93,6 +93,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of every query of this session go when the query ends."""
+    spark.conf.set(_CLEANUP_KEY, "true")
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A scope that owns the tables which ``materialize`` writes in it, and deletes them at its end.
