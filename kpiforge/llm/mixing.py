@@ -98,21 +98,28 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row per epoch, the copy at a cut shortened to its first words.
 
     Documents are found by id, source and text.  Rows equal in all three are
-    interchangeable and take the same whole number of words each (a remainder of
-    fewer words than such rows is left out).  Rows of which nothing is taken, and
-    so all without words, stay out.  A shortened text is its words joined by one
+    interchangeable and share what is taken of them evenly, the first ones (in the
+    order of a hash of all columns) a word more where it does not divide.  Rows of
+    which nothing is taken, and so all without words, stay out.  A shortened text is its words joined by one
     space; a column ``n_chars`` follows it.
     """
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     doc, text, source = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text", "source"))
     same = ["doc_id", "source", "text_key", "size"]
-    takes = mixed.filter("taken > 0").groupBy(*same).agg(F.floor(F.sum("taken") / F.count("*")).alias("each"))
-    takes = materialize(takes.toDF("_doc", "_source", "_text", "_size", "_each"), "mix-takes")
+    # Rows of which nothing is taken are counted, too: they are among those that share.
+    takes = mixed.groupBy(*same).agg(F.sum("taken").alias("all"), F.count("*").alias("n")).filter("all > 0")
+    takes = takes.select(*same, F.expr("all div n").alias("each"), (F.col("all") % F.col("n")).alias("more"))
+    takes = materialize(takes.toDF("_doc", "_source", "_text", "_size", "_each", "_more"), "mix-takes")
     match = doc.eqNullSafe(F.col("_doc")) & source.eqNullSafe(F.col("_source")) & (F.xxhash64(text) == F.col("_text"))
+    joined = inner.join(takes, match)
+    uneven = joined.filter("_more > 0").withColumns({"_group": F.xxhash64("_doc", "_source", "_text"), "_hash": F.xxhash64(*inner.columns), "_one": F.lit(1)})
+    uneven = running_totals(uneven, ["_group"], ["_hash"], "_one", "_before", "mix-uneven")
+    uneven = uneven.withColumn("_each", F.col("_each") + F.when(F.col("_before") < F.col("_more"), 1).otherwise(0))
+    joined = joined.filter("_more = 0").unionByName(uneven.select(joined.columns))
     rest = F.col("_each") % F.col("_size")
     copies = F.floor(F.col("_each") / F.col("_size")) + F.when(rest > 0, 1).otherwise(0)
-    rows = inner.join(takes, match).filter("_each > 0").withColumn("_rest", rest)
+    rows = joined.filter("_each > 0").withColumn("_rest", rest)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
     last = F.col("_copy") > F.floor(F.col("_each") / F.col("_size"))
     begin = F.slice(words(text), F.lit(1), F.col("_rest").cast("int"))
