@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import pick
-from kpiforge.session import materialize
+from kpiforge.session import materialize, scratch
 
 #: What stands between words (after lower-casing A-Z): ASCII characters but letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -156,10 +156,11 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    judged = judge(docs, benchmark).filter("contaminated").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")
-    )
-    bad = materialize(judged.distinct(), "bench-bad")
+    with scratch(docs.sparkSession) as keep:
+        judged = judge(docs, benchmark).filter("contaminated").select(
+            F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")
+        )
+        bad = keep(judged.distinct(), "bench-bad")
     names = docs.columns
     inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     doc, text = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text"))
