@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
 returns rows with the columns of ``documents``; the last returns the shard table.
 ``run`` writes every stage as Parquet under the shared folder and reads it again.
+Tables that a stage writes for itself go before it returns, and Spark is told to drop
+the shuffle files of a query when the query ends, so later stages do not pay for
+the disk of earlier ones.
 """
 
 from __future__ import annotations
@@ -12,32 +15,40 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm import decontaminate, mixing, ngram_join, quality, sharding
 from kpiforge.llm.common import table
-from kpiforge.session import materialize
+from kpiforge.session import drop_shuffles, materialize, scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the compression classifier rejects."""
+    drop_shuffles(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    drop_shuffles(spark)
     return ngram_join.keep_representatives(docs, k=5, percent=80)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents contaminated by the benchmark."""
+    drop_shuffles(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat, keep or drop documents so that the sources meet their target weights."""
-    return mixing.apply_mix(docs, materialize(mixing.mix(docs), "pipeline-mix"))
+    drop_shuffles(spark)
+    with scratch(spark) as keep:
+        mix = keep(mixing.mix(docs), "pipeline-mix")
+    return mixing.apply_mix(docs, mix)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put every row into one of 16 shards of near equal size."""
-    placed = sharding.assign(docs, shards=16)
+    drop_shuffles(spark)
+    with scratch(spark) as keep:
+        placed = keep(sharding.assign(docs, shards=16), "pipeline-shards")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 
 
