@@ -49,15 +49,20 @@ def count_by(
     where: Column | None = None,
     unspecified: str = UNSPECIFIED,
     ordered: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Rows per cleaned label: (label string, value bigint), largest first."""
+    """Rows per cleaned label: (label string, value bigint), largest first.
+
+    ``weight``: ``df`` holds counts already (``lattice.base_counts``), in this column.
+    """
     if where is not None:
         df = df.filter(where)
     label = clean_label(dim, unspecified if keep_null else None)
-    rows = df.select(label.alias("label"))
+    rows = df.select(label.alias("label"), *([weight] if weight else []))
     if not keep_null:
         rows = rows.filter(F.col("label").isNotNull())
-    return order_series(rows.groupBy("label").agg(F.count(F.lit(1)).alias("value")), n, ordered)
+    value = F.sum(weight) if weight else F.count(F.lit(1))
+    return order_series(rows.groupBy("label").agg(value.alias("value")), n, ordered)
 
 
 def count_distinct_by(df: DataFrame, dim, of, n: int | None = None, approx: bool = False) -> DataFrame:
@@ -136,8 +141,12 @@ def top_users(users: DataFrame, sessions: DataFrame, n: int = 8, by_name: bool =
     absorbs a hot user), so the join sees one row per user.  ``by_name=True``
     merges namesakes as the source system did.
     """
-    per_user = sessions.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
-        F.count("session_id").alias("value"))
+    return top_of_counts(users, sessions.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
+        F.count("session_id").alias("value")), n, by_name)
+
+
+def top_of_counts(users: DataFrame, per_user: DataFrame, n: int = 8, by_name: bool = False) -> DataFrame:
+    """E20 from the number of sessions per user (user_id, value)."""
     named = users.select(F.col("id").alias("user_id"),
                          F.coalesce("full_name", "username").alias("label"))
     joined = per_user.join(named, "user_id", "inner")
@@ -148,20 +157,25 @@ def top_users(users: DataFrame, sessions: DataFrame, n: int = 8, by_name: bool =
     return out.limit(n).select("user_id", "label", "value")
 
 
-def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_BUCKETS,
-               ordered: bool = True) -> DataFrame:
-    """Five age buckets ordered by bucket rank; NULL birth dates dropped."""
-    age = age_years("birth_date", as_of)
+def age_bucket(age: Column, labels: list[tuple] = AGE_BUCKETS) -> tuple[Column, Column]:
+    """(rank, label) of an age in years."""
     rank = label = None
     for r, lab, lo, hi in labels:
         cond = F.lit(True)
         if lo is not None:
-            cond = cond & (F.col("_age") >= lo)
+            cond = cond & (age >= lo)
         if hi is not None:
-            cond = cond & (F.col("_age") <= hi)
+            cond = cond & (age <= hi)
         rank = F.when(cond, F.lit(r)) if rank is None else rank.when(cond, F.lit(r))
         label = F.when(cond, F.lit(lab)) if label is None else label.when(cond, F.lit(lab))
-    rows = users.filter(F.col("birth_date").isNotNull()).select(age.alias("_age"))
+    return rank, label
+
+
+def age_groups(users: DataFrame, as_of: dt.datetime, labels: list[tuple] = AGE_BUCKETS,
+               ordered: bool = True) -> DataFrame:
+    """Five age buckets ordered by bucket rank; NULL birth dates dropped."""
+    rank, label = age_bucket(F.col("_age"), labels)
+    rows = users.filter(F.col("birth_date").isNotNull()).select(age_years("birth_date", as_of).alias("_age"))
     out = rows.select(rank.alias("rank"), label.alias("label")).groupBy("rank", "label").agg(
         F.count(F.lit(1)).alias("value"))
     out = out.select("rank", "label", "value")

@@ -5,11 +5,9 @@ series), ``label``, ``value``.  KPI rows are the series ``kpis`` in their
 display order.
 
 Scans: the source ran 16 (traffic) and 18 (users) statements, one scan each.
-Here the low-cardinality "keep NULL" series of one table (devices, browsers,
-systems, hours, weekdays; user types, genders, statuses) come from a single
-``groupingSets`` aggregate over one scan; each KPI block is one aggregate;
-high-cardinality top-N series stay separate so each is a
-``TakeOrderedAndProject`` (per-partition heaps) instead of one sorted group.
+Here series and KPIs are added up from a few base counts (``operators.lattice``):
+traffic scans the visits four times and the searches once, users scans the
+sessions once and the users twice, and only the places need the geography join.
 Every scan reads only the columns it needs (Parquet column pruning).
 """
 
@@ -18,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean_label
-from ..operators import kpis, series, timeseries
-from ..schemas import UNSPECIFIED
+from ..functions import Calendar, age_years
+from ..operators import kpis, lattice, series
+from ..schemas import FEMALE_SPELLINGS, MALE_SPELLINGS
 
 def _rank_by_value(name: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(name).alias("series"), (-F.col("value")).cast("bigint").alias("_k1"),
@@ -47,78 +45,126 @@ def _finish(parts: list[DataFrame]) -> DataFrame:
     return out.select("series", F.row_number().over(w).alias("rank"), "label", "value")
 
 
-def profile_bundle(df: DataFrame, dims: dict[str, str], ts: str | None, prefix: str = "") -> list[DataFrame]:
-    """Keep-NULL label counts for several columns plus hour/weekday of ``ts`` from one scan.
+def _keep_null(counts: DataFrame, dims: dict[str, str]) -> list[DataFrame]:
+    return [_rank_by_value(name, series.count_by(counts, c, keep_null=True, ordered=False, weight="n")) for name, c in dims.items()]
 
-    ``dims`` maps series name -> column.  One ``groupingSets`` aggregate; the
-    set a row belongs to is read from ``grouping()`` flags in the same
-    projection, so the aggregate is referenced once (one scan, one Expand)
-    and yields rows of every series.
-    """
-    cols = {name: clean_label(c, UNSPECIFIED).alias(name) for name, c in dims.items()}
-    keyed = []
-    if ts is not None:
-        for n, fn in ((f"{prefix}by_hour", F.hour), (f"{prefix}by_weekday", F.weekday)):
-            cols[n] = fn(ts).alias(n)
-            keyed.append(n)
-    names = list(cols)
-    g = (df.select(*cols.values()).groupingSets([[n] for n in names], *names)
-         .agg(F.count(F.lit(1)).alias("value"), *[F.grouping(n).alias(f"_g_{n}") for n in names]))
-    series = label = k1 = None
-    for n in names:
-        in_set = F.col(f"_g_{n}") == 0
-        lab = F.col(n).cast("string")
-        key = F.col(n).cast("bigint") if n in keyed else -F.col("value")
-        series = F.when(in_set, F.lit(n)) if series is None else series.when(in_set, F.lit(n))
-        label = F.when(in_set, lab) if label is None else label.when(in_set, lab)
-        k1 = F.when(in_set, key) if k1 is None else k1.when(in_set, key)
-    out = g.select(series.alias("series"), k1.cast("bigint").alias("_k1"), label.alias("label"),
-                   F.col("value").cast("bigint").alias("value"))
-    # hour/weekday of a NULL timestamp is NULL: not a label of those series
-    return [out.filter(F.col("label").isNotNull())]
+
+def _by_time(counts: DataFrame, cal: Calendar, days: str, hours: str | None, weekdays: str | None) -> list[DataFrame]:
+    """Series of the base counts by (day, hour): the last 30 days, the hours and the weekdays."""
+    per_day = counts.filter(cal.since_days(F.col("day").cast("timestamp_ntz"), 30)).groupBy("day").agg(F.sum("n").alias("value"))
+    out = [_rank_by_key(days, per_day, F.unix_date("day"), F.date_format("day", "yyyy-MM-dd"))]
+    for name, key in ((hours, F.col("hour")), (weekdays, F.weekday("day"))):
+        if name is not None:
+            rows = counts.filter(F.col("day").isNotNull()).groupBy(key.alias("k")).agg(F.sum("n").alias("value"))
+            out.append(_rank_by_key(name, rows, F.col("k"), F.col("k")))
+    return out
+
+
+def _stacked(*rows: DataFrame) -> DataFrame:
+    """The KPIs of several one-row tables in their order: one (_k1, label, value) row each."""
+    parts, at = [], 0
+    for row in rows:
+        parts.append(kpi_rows(row, offset=at))
+        at += len(row.columns)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _times(cal: Calendar) -> dict[str, Column]:
+    """Conditions on the day of a base count; all boundaries are midnights."""
+    ts = F.col("day").cast("timestamp_ntz")
+    return {"today": cal.on_day(ts), "yesterday": cal.on_day(ts, 1), "week": cal.since_days(ts, 7), "month": cal.since_month(ts)}
 
 
 def traffic_dashboard(visits: DataFrame, search: DataFrame, as_of, home: str, approx: bool = False) -> DataFrame:
-    """16 KPIs and the 14 traffic/search series."""
-    k = kpis.visit_kpis(visits, as_of, home, approx)
-    sk = kpis.search_kpis(search, as_of, approx)
-    day_key = F.datediff(F.to_date(F.col("label")), F.lit("1970-01-01").cast("date"))
-    parts = [
-        kpi_rows(k), kpi_rows(sk, offset=len(k.columns)),
-        _rank_by_key("visits_timeline", timeseries.daily_counts(visits, "visited_at", as_of, ordered=False), day_key, F.col("label")),
-        _rank_by_value("top_pages", series.top_pages(visits)),
-        _rank_by_value("top_sections", series.top_sections(visits)),
-        _rank_by_value("home_regions", series.home_regions(visits, home, ordered=False)),
-        _rank_by_value("home_cities", series.home_cities(visits, home)),
-        _rank_by_value("by_country", series.visit_countries(visits)),
-        *profile_bundle(visits, {"by_device": "device_type", "by_browser": "browser", "by_os": "os"}, "visited_at"),
-        _rank_by_value("top_terms", series.top_terms(search)),
-        _rank_by_value("zero_terms", series.zero_terms(search)),
-        _rank_by_key("search_timeline", timeseries.daily_counts(search, "searched_at", as_of, ordered=False), day_key, F.col("label")),
-    ]
-    return _finish(parts)
-
-
-def users_dashboard(users: DataFrame, sessions: DataFrame, as_of, approx: bool = False) -> DataFrame:
-    """24 KPIs and the 16 user/login series."""
-    uk = kpis.user_kpis(users, as_of, approx=approx)
-    lk = kpis.session_kpis(sessions, as_of, approx)
-    day_key = F.datediff(F.to_date(F.col("label")), F.lit("1970-01-01").cast("date"))
-    drop_null = [n for n, (_, keep, _) in series.USER_SERIES.items() if not keep]
-    reg_hours = timeseries.hourly_profile(users, "registered_at", ordered=False)
-    ages = series.age_groups(users, as_of, ordered=False)
-    parts = [
-        kpi_rows(uk), kpi_rows(lk, offset=len(uk.columns)),
-        *profile_bundle(users, {"by_type": "user_type", "by_gender": "gender", "by_status": "account_status"}, None),
-        *[_rank_by_value(n, series.user_series(users, n, ordered=False)) for n in drop_null],
-        _rank_by_key("age_groups", ages, F.col("rank"), F.col("label")),
-        _rank_by_key("reg_timeline", timeseries.daily_counts(users, "registered_at", as_of, ordered=False), day_key, F.col("label")),
-        _rank_by_key("login_timeline", timeseries.daily_counts(sessions, "created_at", as_of, ordered=False), day_key, F.col("label")),
-        _rank_by_key("reg_by_hour", reg_hours, F.col("hour"), F.col("hour")),
-        *profile_bundle(sessions, {}, "created_at", prefix="login_"),
-        _rank_by_value("top_users", series.top_users(users, sessions).select("label", "value")),
-    ]
-    return _finish(parts)
+    """16 KPIs and the 14 traffic/search series.
+
+    Two scans give the base counts of the visits (only places need the geography), one those of the searches;
+    the two distinct counts of high cardinality have a narrow scan each.
+    """
+    cal = Calendar.of(as_of)
+    day = {"day": F.to_date("visited_at"), "hour": F.hour("visited_at")}
+    base = lattice.base_counts(visits.withColumns(day), {
+        "page": ["page_path", "page_pattern"], "agent": ["device_type", "browser", "os"], "time": ["day", "hour"],
+        "registered": ["is_registered"]}, {}, "traffic-visits")
+    place = lattice.base_counts(visits, {"place": ["country_code", "region_name", "city"]}, {}, "traffic-places")["place"]
+    asked = search.select("term_norm", (F.col("results_cnt") == 0).alias("zero"), F.to_date("searched_at").alias("day"))
+    asked = lattice.base_counts(asked, {"term": ["term_norm", "zero"], "day": ["day"]}, {}, "traffic-searches")
+
+    at_home = F.col("country_code") == home
+    times, distinct = _times(cal), F.approx_count_distinct if approx else F.count_distinct
+    visitors = kpis.kpi_row(visits, [("unique_visitors", F.col("visitor_id"), None), ("unique_today", F.col("visitor_id"), cal.on_day(F.col("visited_at")))], approx)
+    is_in = F.col("is_registered")
+    rows = _stacked(
+        lattice.total(base["time"], total_visits=None, **times), visitors,
+        visits.agg(distinct("session_key").alias("sessions")),
+        lattice.total(base["registered"], registered=is_in == 1, guests=is_in == 0),
+        kpis.kpi_row(place, [("countries", F.col("country_code"), None), ("home_regions", F.col("region_name"), at_home)]),
+        lattice.total(asked["day"], searches=None),
+        asked["term"].agg(F.count_distinct("term_norm").alias("unique_terms")),
+        lattice.total(asked["term"], zero_results=F.col("zero")),
+        lattice.total(asked["day"], searches_today=times["today"]))
+
+    def top(name: str, counts: DataFrame, dim: str, n: int | None = None, where: Column | None = None) -> DataFrame:
+        return _rank_by_value(name, series.count_by(counts, dim, n, where=where, ordered=False, weight="n"))
+
+    return _finish([
+        rows,
+        *_by_time(base["time"], cal, "visits_timeline", "by_hour", "by_weekday"),
+        top("top_pages", base["page"], "page_path", 12), top("top_sections", base["page"], "page_pattern", 10),
+        top("home_regions", place, "region_name", where=at_home), top("home_cities", place, "city", 10, at_home),
+        top("by_country", place, "country_code", 10),
+        *_keep_null(base["agent"], {"by_device": "device_type", "by_browser": "browser", "by_os": "os"}),
+        top("top_terms", asked["term"], "term_norm", 15), top("zero_terms", asked["term"], "term_norm", 10, F.col("zero")),
+        *_by_time(asked["day"], cal, "search_timeline", None, None),
+    ])
+
+
+def users_dashboard(users: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
+    """24 KPIs and the 16 user/login series: one scan of the users, one of the sessions, and the names of the top users."""
+    cal = Calendar.of(as_of)
+    flags = {"local": F.col("password_hash").isNotNull(), "pictured": F.col("avatar").isNotNull(), "reachable": F.col("phone").isNotNull()}
+    ages = F.when(F.col("birth_date").isNotNull(), age_years("birth_date", as_of))
+    shaped = users.withColumns(flags | {"age": ages, "day": F.to_date("registered_at"), "hour": F.hour("registered_at")})
+    sets = {name: [c] for name, (c, _, _) in series.USER_SERIES.items()}
+    base = lattice.base_counts(shaped, sets | {"age": ["age"], "time": ["day", "hour"], "flags": list(flags)}, {}, "users-users")
+
+    ts = F.col("created_at")
+    measures = {
+        "open": F.count_if((F.col("is_active") == 1) & cal.after_now(F.col("expires_at"))), "recent": F.count_if(cal.since_hours(ts, 24)),
+        "d7": F.count_if(cal.since_days(ts, 7)), "d30": F.count_if(cal.since_days(ts, 30)), "numbered": F.count("session_id")}
+    logins = lattice.base_counts(sessions.withColumns({"day": F.to_date("created_at"), "hour": F.hour("created_at")}),
+                                 {"time": ["day", "hour"], "user": ["user_id"], "ip": ["ip_address"]}, measures, "users-logins")
+
+    times, gender = _times(cal), F.col("gender")
+    known = {name: base[name].agg(F.count_distinct(c).alias(f"{kpi}_count")) for name, c, kpi in (
+        ("by_country", "country", "countries"), ("by_city", "city", "cities"), ("by_university", "university", "universities"))}
+    rows = _stacked(
+        lattice.total(base["time"], total_users=None, **times),
+        lattice.total(base["by_status"], active_accounts=F.col("account_status") == "active"),
+        lattice.total(base["flags"], google_users=~F.col("local"), local_users=F.col("local"), with_avatar=F.col("pictured"), with_phone=F.col("reachable")),
+        lattice.total(base["by_gender"], males=gender.isin(*MALE_SPELLINGS), females=gender.isin(*FEMALE_SPELLINGS)),
+        *known.values(),
+        logins["time"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions"), F.coalesce(F.sum("open"), F.lit(0)).alias("active_sessions")),
+        lattice.total(logins["time"], logins_today=times["today"], logins_week=times["week"], logins_month=times["month"]),
+        logins["time"].agg(F.coalesce(F.sum("recent"), F.lit(0)).alias("last_24h_logins")),
+        logins["user"].filter("user_id is not null").agg(F.count_if(F.col("d7") > 0).alias("unique_logins_7d"), F.count_if(F.col("d30") > 0).alias("unique_logins_30d")),
+        logins["ip"].agg(F.count("ip_address").alias("distinct_ips")))
+
+    rank, label = series.age_bucket(F.col("age"))
+    by_age = base["age"].filter("age is not null").select(rank.alias("rank"), label.alias("label"), "n").groupBy("rank", "label").agg(F.sum("n").alias("value"))
+    per_user = logins["user"].filter("user_id is not null").select("user_id", F.col("numbered").alias("value"))
+    return _finish([
+        rows,
+        *[_rank_by_value(name, series.count_by(base[name], c, n, keep_null=keep, ordered=False, weight="n"))
+          for name, (c, keep, n) in series.USER_SERIES.items()],
+        _rank_by_key("age_groups", by_age, F.col("rank"), F.col("label")),
+        *_by_time(base["time"], cal, "reg_timeline", "reg_by_hour", None),
+        *_by_time(logins["time"], cal, "login_timeline", "login_by_hour", "login_by_weekday"),
+        _rank_by_value("top_users", series.top_of_counts(users, per_user).select("label", "value")),
+    ])
 
 
 def newsletter_dashboard(subs: DataFrame, campaigns: DataFrame, as_of) -> DataFrame:

@@ -17,9 +17,19 @@ from pyspark.sql import functions as F
 from .commits import CommitLog
 
 
+def by_day(df: DataFrame, partition: str) -> DataFrame:
+    """Rows dealt for a write partitioned by day: few files a day, however many tasks made the rows.
+
+    Spark deals the rows by day and then evens the tasks out by size (``REBALANCE``, adaptive
+    execution): a hot day is split over several tasks of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, small days share one.
+    """
+    return df.hint("rebalance", partition)
+
+
 def append_events(df: DataFrame, path: str, ts: str, partition: str = "day") -> None:
     """Append, partitioned by calendar day of ``ts`` (so day filters prune folders)."""
-    df.withColumn(partition, F.to_date(F.col(ts))).write.mode("append").partitionBy(partition).parquet(path)
+    by_day(df.withColumn(partition, F.to_date(F.col(ts))), partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def write_snapshot(df: DataFrame, path: str, parent: int | None = None) -> int:

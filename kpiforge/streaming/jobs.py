@@ -2,10 +2,10 @@
 
 * Sources are file streams (``readStream`` with an explicit schema); in
   production the same code reads a directory that ingest keeps appending to.
-* Every job writes through ``foreachBatch`` into a per-epoch folder
-  (``.../batch=<epoch>``) with mode overwrite.  A retried epoch rewrites its
-  own folder, so together with the checkpoint the output is exactly-once even
-  though the writes themselves are plain Parquet.
+* Every job writes through ``foreachBatch`` into fresh folders and publishes them
+  in a commit log with the run and the epoch (``epochs``).  A retried epoch that
+  was published changes nothing, so together with the checkpoint the output is
+  exactly-once even though the writes themselves are plain Parquet.
 * Checkpoints and outputs live under the shared checkpoint folder
   (``spark.checkpoint.dir``), never on a machine-local path.
 * Event time: the driver tables carry ``TIMESTAMP_NTZ``; watermarks need
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..operators import intake, lives, subscribers
 from ..session import checkpoint_dir, materialize
 from ..sources.commits import CommitLog
+from .epochs import next_version, read_epochs, write_epoch
 
 
 def _base(spark: SparkSession, name: str) -> str:
@@ -50,16 +51,11 @@ def run_available(writer, checkpoint: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def _write_epoch(df: DataFrame, path: str, epoch: int, partition: str | None = None) -> None:
-    w = df.write.mode("overwrite")
-    if partition:
-        w = w.partitionBy(partition)
-    w.parquet(os.path.join(path, f"batch={epoch}"))
-
-
 def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions: DataFrame, regions: DataFrame,
                    home: str, country_width: int, out: str | None) -> str:
     base = out or _base(spark, f"{kind}-intake")
+    checkpoint = os.path.join(base, "_checkpoint")
+    run = run_identity(spark, checkpoint)
     fn = intake.visit_intake if kind == "visit" else intake.search_intake
     ts_col = "visited_at" if kind == "visit" else "searched_at"
 
@@ -67,12 +63,12 @@ def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions:
         batch.persist()
         try:
             good, bad = fn(batch, sessions, regions, home, country_width)
-            _write_epoch(good.withColumn("day", F.to_date(ts_col)), os.path.join(base, "table"), epoch, "day")
-            _write_epoch(bad, os.path.join(base, "quarantine"), epoch)
+            write_epoch(good.withColumn("day", F.to_date(ts_col)), os.path.join(base, "table"), run, epoch, "day")
+            write_epoch(bad, os.path.join(base, "quarantine"), run, epoch)
         finally:
             batch.unpersist()
 
-    run_available(events.writeStream.foreachBatch(per_batch), os.path.join(base, "_checkpoint"))
+    run_available(events.writeStream.foreachBatch(per_batch), checkpoint)
     return base
 
 
@@ -86,28 +82,33 @@ def search_intake_stream(spark, events, sessions, regions, home, country_width=2
     return _intake_stream("search", spark, events, sessions, regions, home, country_width, out)
 
 
-def read_table(spark: SparkSession, base: str, part: str = "table") -> DataFrame:
-    """All epochs of a job's output (partition columns batch/day dropped)."""
-    df = spark.read.parquet(os.path.join(base, part))
-    return df.drop("batch", "day")
+def read_table(spark: SparkSession, base: str, part: str = "table", with_day: bool = False) -> DataFrame:
+    """All epochs of a job's output; ``with_day`` keeps the partition column, so that bounds on it skip folders."""
+    df = read_epochs(spark, os.path.join(base, part))
+    return df if with_day else df.drop("day")
 
 
 def live_daily_counts(spark: SparkSession, events: DataFrame, ts: str = "ts", out: str | None = None) -> str:
     """K3: rows per calendar day, kept current.
 
-    Each epoch writes the counts of its own rows per day; ``read_daily_counts``
-    adds them up.  There is no watermark and no state, so rows that come late
-    count like all others, and a retried epoch replaces its own folder.
+    Each epoch writes the counts of its own rows per day; merged parts add them up, and so
+    does ``read_daily_counts``.  There is no watermark and no state, so rows that come
+    late count like all others, and a retried epoch changes nothing.
     """
     base = out or _base(spark, "daily-counts")
+    checkpoint = os.path.join(base, "_checkpoint")
+    run = run_identity(spark, checkpoint)
+
+    def added(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("label").agg(F.sum("value").alias("value"))
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         # unix_timestamp reads NTZ as UTC, so days are wall-clock days whatever the session time zone
         day = F.date_from_unix_date(F.floor(F.unix_timestamp(F.col(ts)) / 86400).cast("int"))
         rows = batch.filter(F.col(ts).isNotNull()).select(F.date_format(day, "yyyy-MM-dd").alias("label"))
-        _write_epoch(rows.groupBy("label").agg(F.count("*").alias("value")), os.path.join(base, "table"), epoch)
+        write_epoch(rows.groupBy("label").agg(F.count("*").alias("value")), os.path.join(base, "table"), run, epoch, merge=added)
 
-    run_available(events.writeStream.foreachBatch(per_batch), os.path.join(base, "_checkpoint"))
+    run_available(events.writeStream.foreachBatch(per_batch), checkpoint)
     return base
 
 
@@ -162,15 +163,10 @@ def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, run:
     def per_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         log = CommitLog(spark, base)
-        last = log.last()
-        if last is not None and last["run"] != run:
-            raise RuntimeError(f"{base} holds versions of another run; use a new folder")
-        done = -1 if last is None else last["epoch"]
-        if epoch == done:
+        found = next_version(log, run, epoch)
+        if found is None:
             return
-        if epoch != done + 1:
-            raise RuntimeError(f"the version of epoch {epoch - 1} is missing under {base}: the newest is that of epoch {done}")
-        version = 0 if last is None else last["version"] + 1
+        version, last = found
         parts = [] if last is None else last["parts"]
         batch = batch.persist()
         try:

@@ -17,6 +17,7 @@ from kpiforge.sources import adapters as A
 from kpiforge.sources import events, sinks
 from kpiforge.sources.commits import CommitConflict, CommitLog
 from kpiforge.sources.tables import seed_regions
+from kpiforge.streaming import epochs
 
 
 def _scratch(spark):
@@ -62,6 +63,46 @@ def test_append_events_partitions_by_day(spark):
     assert back.count() == 4 and back.filter(F.col("day") == dt.date(2024, 1, 2)).count() == 2
 
 
+def test_append_writes_few_files_a_day(spark):
+    """However many tasks made the rows; a hot day is split by size, not into a file per task."""
+    root = _scratch(spark)
+    hot = F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 5)
+    df = spark.range(0, 40000, 1, 40).select("id", F.timestamp_add("DAY", hot.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("visited_at"))
+    path = os.path.join(root, "visits")
+    sinks.append_events(df, path, "visited_at")
+    files = {d: len([f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]) for d in os.listdir(path) if d.startswith("day=")}
+    assert len(files) == 4 and max(files.values()) <= 2
+    assert spark.read.parquet(path).count() == 40000
+    split = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        sinks.append_events(df, path + "-split", "visited_at")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {d: len([f for f in os.listdir(os.path.join(path + "-split", d)) if f.endswith(".parquet")]) for d in os.listdir(path + "-split") if d.startswith("day=")}
+    assert 2 <= max(files.values()) < 40
+
+
+def test_epochs_are_merged_in_tiers_and_keep_the_day(spark):
+    path = os.path.join(_scratch(spark), "table")
+    for epoch in range(11):
+        rows = spark.createDataFrame([(epoch, dt.date(2024, 1, 1 + epoch % 3))] if epoch != 5 else [], "id long, day date")
+        epochs.write_epoch(rows, path, "run", epoch, "day", fan=3)
+        epochs.write_epoch(rows, path, "run", epoch, "day", fan=3)  # a retry changes nothing
+    assert CommitLog(spark, path).last()["tiers"] == [2, 0, 0]
+    back = epochs.read_epochs(spark, path)
+    assert sorted(r.id for r in back.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+    one = back.filter(F.col("day") == dt.date(2024, 1, 2))
+    assert sorted(r.id for r in one.collect()) == [1, 4, 7, 10] and "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(RuntimeError, match="another run"):
+        epochs.write_epoch(back, path, "other", 11, "day")
+    with pytest.raises(RuntimeError, match="missing"):
+        epochs.write_epoch(back, path, "run", 13, "day")
+
+
 def test_json_bodies_and_claims(spark):
     root = _scratch(spark)
     path = os.path.join(root, "bodies.json")
