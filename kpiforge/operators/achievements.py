@@ -9,6 +9,8 @@ dimension and are broadcast.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,6 @@ from .joins import one_row_join
 from .kpis import latest_year
 
 
-def _parse_year(requested) -> int | None:
-    try:
-        return int(str(requested).strip())
-    except (TypeError, ValueError):
-        return None
-
-
 def resolve_year(achievements: DataFrame, requested: str | int | None) -> int | DataFrame:
     """The report year (S33): the requested year if it parses, else D7.
 
@@ -32,10 +27,10 @@ def resolve_year(achievements: DataFrame, requested: str | int | None) -> int |
     data) and returned as an int; only the fallback is data-derived, a
     one-row DataFrame with column ``year``.
     """
-    try:
-        return int(str(requested).strip())
-    except (TypeError, ValueError):
-        return latest_year(achievements, DEFAULT_YEAR)
+    text = str(requested).strip()
+    if re.fullmatch("[+-]?[0-9]+", text):  # int() would also take 2_022 and other digits than 0-9
+        return int(text)
+    return latest_year(achievements, DEFAULT_YEAR)
 
 
 def year_frame(achievements: DataFrame, year: int | DataFrame) -> DataFrame:

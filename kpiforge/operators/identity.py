@@ -149,8 +149,9 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     e-mail: one new user per e-mail, created from its earliest sign-in, type
     user_normal, status active, username = part before '@', or that plus
     '-' and the new id when the name is taken by an existing user or by an
-    earlier new e-mail of the same batch (S30), so many equal prefixes give
-    distinct names.
+    earlier new e-mail of the same batch (S30); where somebody has that made-up
+    name, too, the id is padded with zeros beyond the longest name there is, so
+    all names are distinct.
     New ids are max(existing id) + first sign-in seq + 1: unique, repeatable
     and computed without a global row numbering.
 
@@ -182,8 +183,15 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     plain_ok = (F.col("_winner") == F.col("email")) & F.col("_taken").isNull()
     max_id = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
     new = one_row_join(new, max_id).withColumn("new_id", F.col("_max") + F.col("first_seq") + 1)
-    username = F.when(plain_ok, F.col("_prefix")).otherwise(
-        F.concat_ws("-", "_prefix", F.col("new_id").cast("string")))
+    # Made-up names end in their own id, so they only meet existing names and the new plain ones.
+    new = new.withColumn("_plain", plain_ok).withColumn("_made", F.concat_ws("-", "_prefix", F.col("new_id").cast("string")))
+    plain_names = new.filter("_plain").select("_pk").unionByName(users.filter(F.col("username").isNotNull()).select(F.lower("username").alias("_pk")))
+    made = new.filter("not _plain").select(F.lower("_made").alias("_mk"))
+    met = plain_names.join(made, F.col("_pk") == F.col("_mk"), "left_semi").distinct().select(F.col("_pk").alias("_mk"), F.lit(True).alias("_met"))
+    longest = plain_names.agg(F.coalesce(F.max(F.length("_pk")), F.lit(0)).alias("_longest"))
+    new = one_row_join(new.withColumn("_mk", F.lower("_made")).join(met, "_mk", "left"), longest)
+    padded = F.concat_ws("-", F.col("_prefix"), F.lpad(F.col("new_id").cast("string"), F.col("_longest") + 20, F.lit("0")))
+    username = F.when(F.col("_plain"), F.col("_prefix")).when(F.col("_met"), padded).otherwise(F.col("_made"))
 
     inserted = new.select(
         F.col("new_id").alias("id"), F.col("email"), F.col("first_name").alias("full_name"),

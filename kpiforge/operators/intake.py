@@ -19,8 +19,8 @@ from .joins import attach_region, attach_user
 
 # Columns cut to width on intake vs columns rejected when too long.
 VISIT_TRUNCATE = {"path": 500, "pattern": 200, "title": 300, "referrer": 500, "city": 100}
-VISIT_REJECT = {"visitor_id": 64, "region": 10, "device": 20, "browser": 50, "os": 50, "session_key": 64}
-SEARCH_REJECT = {"visitor_id": 64, "region": 10}
+VISIT_REJECT = {"token": 255, "visitor_id": 64, "region": 10, "device": 20, "browser": 50, "os": 50, "session_key": 64}
+SEARCH_REJECT = {"token": 255, "visitor_id": 64, "region": 10}
 
 
 def _first_reason(checks: list[tuple[Column, str]]) -> Column:
@@ -95,13 +95,3 @@ def search_intake(events: DataFrame, sessions: DataFrame, regions: DataFrame, ho
         F.col("received_at").alias("searched_at"),
     )
     return search, quarantine
-
-
-def min_term_length(search: DataFrame, n: int = 2) -> DataFrame:
-    """Keep searches of at least ``n`` characters."""
-    return search.filter(F.length("term_norm") >= n)
-
-
-def drop_bots(df: DataFrame, agent_col: str, pattern: str) -> DataFrame:
-    """Drop rows whose agent text matches ``pattern`` (rules are the caller's)."""
-    return df.filter(~F.coalesce(F.col(agent_col).rlike(pattern), F.lit(False)))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .scans import keyed_running
 
 
@@ -108,14 +109,16 @@ def has_email(sessions: DataFrame, users: DataFrame) -> DataFrame:
 def oldest_user_by_email(users: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """lower(email) -> oldest (minimum) user id; one row per key.
 
-    With ``wanted`` (a column ``_mail`` of keys to look up), users are first
-    reduced by a semi join to the wanted keys, so a lookup for one batch does
-    not shuffle the whole users table.
+    With ``wanted`` (a column ``_mail`` of keys to look up) only those keys are kept.
+    Users are counted up per key first, in every task, so an e-mail that many
+    users share is one row per task; if the wanted keys are few enough to be broadcast, the
+    optimizer moves their semi join below the aggregate, and the users table is not shuffled.
     """
     u = users.filter(F.col("email").isNotNull()).select(F.lower("email").alias("_mail"), "id")
-    if wanted is not None:
-        u = u.join(wanted.select("_mail").filter(F.col("_mail").isNotNull()).distinct(), "_mail", "left_semi")
-    return u.groupBy("_mail").agg(F.min("id").alias("linked_user_id"))
+    oldest = u.groupBy("_mail").agg(F.min("id").alias("linked_user_id"))
+    if wanted is None:
+        return oldest
+    return oldest.join(wanted.select("_mail").filter(F.col("_mail").isNotNull()).distinct(), "_mail", "left_semi")
 
 
 def link_user_by_email(rows: DataFrame, users: DataFrame, email: str = "email",
@@ -147,9 +150,11 @@ def availability(candidates: DataFrame, users: DataFrame) -> DataFrame:
     """Is each (kind, value) candidate still free?  Keys are normalised like the users'."""
     norm = F.when(F.col("kind") == "phone", F.trim("value")).otherwise(F.lower(F.trim("value")))
     keyed = candidates.withColumn("key", norm)
-    # only user keys equal to some candidate matter: semi join before grouping
-    taken = (_user_keys(users).join(keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-             .groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_holders")))
+    # only keys of some candidate matter; grouped first, a key that many users hold is one row per task
+    taken = (_user_keys(users).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_holders"))
+             .join(keyed.select("kind", "key").distinct(), ["kind", "key"], "left_semi"))
+    # written, so that the skew join below can split a value that many candidates ask for
+    taken = materialize(taken, "taken-keys")
     return (keyed.join(taken, ["kind", "key"], "left")
             .select(*candidates.columns, F.col("_holders").isNull().alias("available")))
 

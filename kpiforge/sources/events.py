@@ -2,8 +2,8 @@
 
 Bodies arrive as JSON lines.  Readers take an explicit schema (no
 inference); a batch reader and a streaming reader share it.  Fields missing
-in a body are NULL; unparsable lines keep NULL fields and are caught by the
-intake checks.
+in a body are NULL; a line that cannot be read, or names another format
+version, goes to quarantine with its text.
 """
 
 from __future__ import annotations
@@ -14,31 +14,41 @@ from pyspark.sql import types as T
 
 from .. import schemas
 
-# request fields only (the server adds event_id and received_at)
-VISIT_BODY = T.StructType([f for f in schemas.VISIT_EVENT.fields if f.name not in ("event_id", "received_at")])
-SEARCH_BODY = T.StructType([f for f in schemas.SEARCH_EVENT.fields if f.name not in ("event_id", "received_at")])
+#: The version of the body format that a line names; lines of other versions are quarantined.
+SCHEMA_VERSION = 1
+_CORRUPT = "_corrupt"
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def read_json_bodies(spark: SparkSession, path: str, schema: T.StructType, stream: bool = False) -> DataFrame:
-    """JSON-lines files of request bodies, batch or streaming, with ``schema``."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(schema).option("mode", "PERMISSIVE").json(path)
+    """JSON-lines files of request bodies, batch or streaming, with ``schema`` and no inference.
+
+    A line that is no JSON object, or whose fields do not fit, keeps its text in ``_corrupt``.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("schema_version", T.IntegerType()), T.StructField(_CORRUPT, T.StringType())])
+    reader = (spark.readStream if stream else spark.read).schema(wide).option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", _CORRUPT).option("timestampNTZFormat", TIMES).json(path)
 
 
 def read_visit_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A4."""
-    return read_json_bodies(spark, path, VISIT_BODY, stream)
+    return read_json_bodies(spark, path, schemas.VISIT_EVENT, stream)
 
 
 def read_search_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A5."""
-    return read_json_bodies(spark, path, SEARCH_BODY, stream)
-
-
-def parse_bodies(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
-    """Parse a JSON text column (e.g. a message payload) into top-level columns."""
-    keep = [c for c in df.columns if c != json_col]
-    return df.select(*keep, F.from_json(F.col(json_col), schema).alias("_b")).select(*keep, "_b.*")
+    return read_json_bodies(spark, path, schemas.SEARCH_EVENT, stream)
+
+
+def split_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events as intake takes them, quarantined lines with the reason and their text)."""
+    reason = (F.when(F.col(_CORRUPT).isNotNull(), F.lit("unreadable body"))
+              .when(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)), F.lit("unsupported schema version"))
+              .when(F.col("event_id").isNull() | F.col("received_at").isNull(), F.lit("no event id or time")))
+    tagged = bodies.withColumn("reason", reason)
+    good = tagged.filter("reason is null").drop("reason", "schema_version", _CORRUPT)
+    bad = tagged.filter("reason is not null").select("event_id", "received_at", "reason", F.col(_CORRUPT).alias("body"))
+    return good, bad
 
 
 def parse_flat(df: DataFrame, json_col: str, fields: list[str]) -> DataFrame:

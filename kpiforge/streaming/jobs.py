@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intake, lives, subscribers
 from ..session import checkpoint_dir, materialize
+from ..sources import events as bodies
 from ..sources.commits import CommitLog
 from .epochs import next_version, read_epochs, write_epoch
 
@@ -62,7 +63,9 @@ def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions:
     def per_batch(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            good, bad = fn(batch, sessions, regions, home, country_width)
+            rows, unread = (batch, None) if "_corrupt" not in batch.columns else bodies.split_bodies(batch)
+            good, bad = fn(rows, sessions, regions, home, country_width)
+            bad = bad if unread is None else bad.unionByName(unread, allowMissingColumns=True)
             write_epoch(good.withColumn("day", F.to_date(ts_col)), os.path.join(base, "table"), run, epoch, "day")
             write_epoch(bad, os.path.join(base, "quarantine"), run, epoch)
         finally:
@@ -73,12 +76,12 @@ def _intake_stream(kind: str, spark: SparkSession, events: DataFrame, sessions:
 
 
 def visit_intake_stream(spark, events, sessions, regions, home, country_width=2, out=None) -> str:
-    """K1: raw visit events -> visits table + quarantine, per micro-batch."""
+    """K1: raw visit events, or JSON bodies as ``sources.events`` reads them -> visits table + quarantine, per micro-batch."""
     return _intake_stream("visit", spark, events, sessions, regions, home, country_width, out)
 
 
 def search_intake_stream(spark, events, sessions, regions, home, country_width=2, out=None) -> str:
-    """K2: raw search events -> search log + quarantine, per micro-batch."""
+    """K2: raw search events or JSON bodies -> search log + quarantine, per micro-batch."""
     return _intake_stream("search", spark, events, sessions, regions, home, country_width, out)
 
 

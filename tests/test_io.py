@@ -107,11 +107,13 @@ def test_json_bodies_and_claims(spark):
     root = _scratch(spark)
     path = os.path.join(root, "bodies.json")
     with open(path, "w") as f:
-        f.write(json.dumps({"token": "t1", "country": "sa", "path": "/x"}) + "\n")
-        f.write("not json\n")
-    df = events.read_visit_events(spark, path)
-    rows = df.collect()
-    assert len(rows) == 2 and rows[0]["token"] == "t1" and rows[1]["token"] is None
+        good = {"event_id": 1, "received_at": "2024-01-01T10:00:00.123456", "token": "t1", "country": "sa", "path": "/x", "schema_version": 1}
+        for line in (good, "not json", good | {"schema_version": 2}, good | {"event_id": None}, good | {"event_id": "many"}, {"path": "/y"}):
+            f.write((line if isinstance(line, str) else json.dumps(line)) + "\n")
+    ok, bad = events.split_bodies(events.read_visit_events(spark, path))
+    assert [(r.event_id, r.received_at, r.token) for r in ok.collect()] == [(1, dt.datetime(2024, 1, 1, 10, 0, 0, 123456), "t1")]
+    assert sorted(r.reason for r in bad.collect()) == ["no event id or time", "unreadable body", "unreadable body", "unsupported schema version", "unsupported schema version"]
+    assert [r.body for r in bad.filter("body = 'not json'").collect()] == ["not json"]
     c = spark.createDataFrame([(1, '{"aud": "x", "email": "A@B"}')], "seq long, claim_json string")
     got = events.read_claims(c).first()
     assert got["aud"] == "x" and got["email"] == "A@B" and got["iss"] is None

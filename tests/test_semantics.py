@@ -137,6 +137,16 @@ def test_sessions_count_only_while_they_exist(spark):
     assert got[5] == 1 and got[4] is None and got[8] is None and got[10] == 2 and got[12] is None and got[20] is None
 
 
+# H7: made-up names are distinct from all others, also from those that look like them
+def test_made_up_usernames_are_distinct(spark):
+    u = users(spark, [{"id": 100, "username": "info"}, {"id": 101, "username": "Info-102"}])
+    signins = spark.createDataFrame([(0, ts("2024-01-01 00:00:00"), "info@a.org", None, None), (1, ts("2024-01-01 00:00:00"), "info@b.org", None, None),
+                                     (2, ts("2024-01-01 00:00:00"), "info-103@c.org", None, None), (3, ts("2024-01-01 00:00:00"), "new@c.org", None, None)],
+                                    "seq long, ts timestamp_ntz, email string, name string, picture string")
+    names = [r.username for r in ID.sign_in_upsert(u, signins)[0].collect()]
+    assert len({n.lower() for n in names}) == len(names) == 6 and "new" in names and "info-103" in names
+
+
 # Oversize country quarantined, long path truncated
 def test_intake_quarantine_and_truncation(spark):
     names = schemas.VISIT_EVENT.fieldNames()
