@@ -9,7 +9,6 @@ from .columns import (  # noqa: F401
     lit_ts,
     null_safe_concat,
     pairs_to_arrays,
-    token_of,
     truncate,
 )
 from .timewin import Calendar  # noqa: F401

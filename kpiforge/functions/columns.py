@@ -71,15 +71,9 @@ def age_years(birth: Column | str, as_of: dt.date | dt.datetime) -> Column:
 
 
 def display_name(full_name: Column | str, username: Column | str, fallback: str | None = None) -> Column:
-    parts = [_col(full_name), _col(username)]
-    if fallback is not None:
-        parts.append(F.lit(fallback))
-    return F.coalesce(*parts)
-
-
-def token_of(salt: str, *parts: Column | str) -> Column:
-    """Repeatable opaque token: sha256 of a caller-supplied salt and a natural key."""
-    return F.sha2(F.concat_ws("|", F.lit(salt), *[_col(p).cast("string") for p in parts]), 256)
+    """The first of full name, username and ``fallback`` that is there; '' counts as missing."""
+    parts = [F.nullif(_col(c), F.lit("")) for c in (full_name, username)]
+    return F.coalesce(*parts, *([F.lit(fallback)] if fallback is not None else []))
 
 
 def pairs_to_arrays(arr: Column | str) -> tuple[Column, Column]:

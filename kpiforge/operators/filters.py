@@ -25,9 +25,9 @@ def since_days(df: DataFrame, ts: str, as_of, n: int) -> DataFrame:
     return df.filter(Calendar.of(as_of).since_days(F.col(ts), n))
 
 
-def active_session(df: DataFrame, as_of) -> DataFrame:
-    """Active and not yet expired at ``as_of``."""
-    return df.filter((F.col("is_active") == 1) & Calendar.of(as_of).after_now(F.col("expires_at")))
+def active_session(as_of) -> Column:
+    """Active and not yet expired at ``as_of`` (a condition: it is only ever counted)."""
+    return (F.col("is_active") == 1) & Calendar.of(as_of).after_now(F.col("expires_at"))
 
 
 def published(df: DataFrame, year: int | None = None) -> DataFrame:

@@ -95,11 +95,6 @@ def attach_region(events: DataFrame, regions: DataFrame, home: str, country: str
     return events.join(r, cond, "left").drop("_rc")
 
 
-def attach_category(items: DataFrame, categories: DataFrame) -> DataFrame:
-    """Inner join with the (bounded) category table."""
-    return items.join(F.broadcast(categories.withColumnRenamed("code", "category")), "category", "inner")
-
-
 def has_email(sessions: DataFrame, users: DataFrame) -> DataFrame:
     """Sessions whose user exists and has an e-mail (EXISTS -> left semi join)."""
     with_mail = users.filter(F.col("email").isNotNull()).select(F.col("id").alias("user_id"))

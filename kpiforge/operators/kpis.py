@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import Calendar
+from .filters import active_session
 from ..schemas import DEFAULT_YEAR, FEMALE_SPELLINGS, MALE_SPELLINGS
 
 
@@ -131,7 +132,7 @@ def session_kpis(sessions: DataFrame, as_of, approx: bool = False, split: bool =
     cal, ts = Calendar.of(as_of), F.col("created_at")
     return kpi_row(sessions, [
         ("total_sessions", F.count(F.lit(1))),
-        ("active_sessions", F.count_if((F.col("is_active") == 1) & cal.after_now(F.col("expires_at")))),
+        ("active_sessions", F.count_if(active_session(as_of))),
         ("logins_today", F.count_if(cal.on_day(ts))),
         ("logins_week", F.count_if(cal.since_days(ts, 7))),
         ("logins_month", F.count_if(cal.since_month(ts))),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import age_years, clean_label
 from ..schemas import AGE_BUCKETS, UNSPECIFIED
+from .filters import country_scope, dim_filter, zero_results
 from .joins import one_row_join
 
 
@@ -60,7 +61,7 @@ def count_by(
     label = clean_label(dim, unspecified if keep_null else None)
     rows = df.select(label.alias("label"), *([weight] if weight else []))
     if not keep_null:
-        rows = rows.filter(F.col("label").isNotNull())
+        rows = dim_filter(rows, "label")
     value = F.sum(weight) if weight else F.count(F.lit(1))
     return order_series(rows.groupBy("label").agg(value.alias("value")), n, ordered)
 
@@ -83,11 +84,11 @@ def top_sections(visits: DataFrame, n: int = 10) -> DataFrame:
 
 
 def home_regions(visits: DataFrame, home: str, ordered: bool = True) -> DataFrame:
-    return count_by(visits, "region_name", where=F.col("country_code") == home, ordered=ordered)
+    return count_by(country_scope(visits, home), "region_name", ordered=ordered)
 
 
 def home_cities(visits: DataFrame, home: str, n: int = 10) -> DataFrame:
-    return count_by(visits, "city", n, where=F.col("country_code") == home)
+    return count_by(country_scope(visits, home), "city", n)
 
 
 def visit_countries(visits: DataFrame, n: int = 10) -> DataFrame:
@@ -111,7 +112,7 @@ def top_terms(search: DataFrame, n: int = 15) -> DataFrame:
 
 
 def zero_terms(search: DataFrame, n: int = 10) -> DataFrame:
-    return count_by(search, "term_norm", n, where=F.col("results_cnt") == 0)
+    return count_by(zero_results(search), "term_norm", n)
 
 
 # --- users --------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import Calendar, lit_date
+from .filters import since_days
 
 
 def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: str | None = None,
@@ -25,7 +26,7 @@ def daily_counts(df: DataFrame, ts: str, as_of, days: int = 30, day_partition: s
     cal = Calendar.of(as_of)
     if day_partition is not None:
         df = df.filter(F.col(day_partition) >= lit_date(cal.days_back(days - 1).date()))
-    rows = df.filter(cal.since_days(F.col(ts), days)).select(F.to_date(ts).alias("_day"))
+    rows = since_days(df, ts, as_of, days).select(F.to_date(ts).alias("_day"))
     out = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("value"))
     if ordered:
         out = out.orderBy("_day")

@@ -461,6 +461,23 @@ register("registration_checks", with_views(
     "coalesce(length(username) < 3, true) THEN 'username_short' END], lambda x: x IS NOT NULL) AS failed_rules FROM ("
     "SELECT id, email, username, CASE WHEN password_hash IS NOT NULL THEN CAST(id % 12 AS INTEGER) END AS pl, "
     "id % 9 <> 0 AS cm FROM users) f) q", "users"))(_registrations)
+def _cards(s, d):
+    from ..functions import display_name
+
+    u = A.users(s, d)
+    return u.select("id", display_name("full_name", "username").alias("name"),
+                    F.substring(display_name("full_name", "username", "U"), 1, 1).alias("initial"))
+
+
+register("user_cards", with_views(
+    "SELECT id, coalesce(nullif(full_name, ''), nullif(username, '')) AS name, "
+    "substr(coalesce(nullif(full_name, ''), nullif(username, ''), 'U'), 1, 1) AS initial FROM users", "users"))(_cards)
+register("phone_availability", with_views(
+    "SELECT 'phone' AS kind, identifier AS value, t.k IS NULL AS available FROM (SELECT DISTINCT identifier FROM logins "
+    "WHERE identifier IS NOT NULL) l LEFT JOIN (SELECT DISTINCT trim(phone) AS k FROM users WHERE phone IS NOT NULL) t "
+    "ON trim(l.identifier) = t.k", "logins", "users"))(
+    lambda s, d: J.availability(A.logins(s, d).filter("identifier is not null").select(
+        F.lit("phone").alias("kind"), F.col("identifier").alias("value")).distinct(), A.users(s, d)))
 register("long_terms", with_views(
     "SELECT label, count(*) AS value FROM (SELECT nullif(trim(term_norm), '') AS label FROM search_log "
     "WHERE length(term_norm) >= 7) q WHERE label IS NOT NULL GROUP BY 1 ORDER BY value DESC, label ASC NULLS LAST "

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import Calendar, age_years
 from ..operators import kpis, lattice, series
+from ..operators.filters import active_session
 from ..schemas import FEMALE_SPELLINGS, MALE_SPELLINGS
 
 def _rank_by_value(name: str, df: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def users_dashboard(users: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
 
     ts = F.col("created_at")
     measures = {
-        "open": F.count_if((F.col("is_active") == 1) & cal.after_now(F.col("expires_at"))), "recent": F.count_if(cal.since_hours(ts, 24)),
+        "open": F.count_if(active_session(as_of)), "recent": F.count_if(cal.since_hours(ts, 24)),
         "d7": F.count_if(cal.since_days(ts, 7)), "d30": F.count_if(cal.since_days(ts, 30)), "numbered": F.count("session_id")}
     logins = lattice.base_counts(sessions.withColumns({"day": F.to_date("created_at"), "hour": F.hour("created_at")}),
                                  {"time": ["day", "hour"], "user": ["user_id"], "ip": ["ip_address"]}, measures, "users-logins")

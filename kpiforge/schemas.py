@@ -65,16 +65,6 @@ ACTIONS = _struct(
 )
 RESPONSES = _struct(("campaign_id", L), ("email", S), ("http_code", I), ("body", S), ("error", S))
 
-# Column widths (characters) of the event tables.
-VISIT_WIDTHS = {
-    "visitor_id": 64, "page_path": 500, "page_pattern": 200, "page_title": 300, "referrer": 500,
-    "country_code": 2, "region_code": 10, "region_name": 100, "city": 100, "device_type": 20,
-    "browser": 50, "os": 50, "session_key": 64,
-}
-SEARCH_WIDTHS = {
-    "visitor_id": 64, "term": 400, "term_norm": 400, "page_path": 500, "country_code": 2, "region_name": 100,
-}
-
 # ---------------------------------------------------------------------------
 # Fixed values.  These must equal the source system's for equal results.
 # ---------------------------------------------------------------------------
@@ -95,7 +85,6 @@ HOME_REGIONS = [
     ("12", "Al Jawf"),
     ("14", "Asir"),
 ]
-HOME_COUNTRY = "SA"
 
 # Achievement categories: code, English name, icon, colour, display order.
 ACHIEVEMENT_CATEGORIES = [
