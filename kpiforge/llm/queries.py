@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.llm import conversation_repair, decontaminate, hard_negatives, language, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, topk_search, warc
+from kpiforge.llm import repair_sql
 from kpiforge.llm.common import table
 
 
@@ -93,7 +94,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
+#: Integer vectors as DuckDB lists: those that take part, and the inner products of two rows a and b.
+_VECTORS = """list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"""
+_SCORE = "coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0)::BIGINT"
+
 SQL: dict[str, str] = {
+    "op13_conversation_repair": repair_sql.SQL,
+    # Base32 of a SHA-1: each five hex digits are four letters.
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT h, min(page_id) AS head FROM p GROUP BY h)
+SELECT p.page_id, strlen(p.h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, (j // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (j % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = f.head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> f.head THEN f.head END AS refers_to
+FROM p JOIN f USING (h)
+""",
+    "op7_exact_topk": f"""
+WITH r AS (SELECT DISTINCT vec_id, {_VECTORS})
+SELECT a.vec_id AS query_id, (row_number() OVER w)::INTEGER AS rank, b.vec_id, {_SCORE} AS score
+FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+WINDOW w AS (PARTITION BY a.vec_id ORDER BY {_SCORE} DESC, b.vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op12_hard_negatives": f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label, {_VECTORS} AND label IS NOT NULL),
+pair AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, {_SCORE} AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT pos.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM pos JOIN pair n ON n.anchor_id = pos.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY pos.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
     # Near lines by halves and levenshtein: of two lines one edit apart a half of the shorter is untouched.
     "op2_line_dedup": """
 WITH l AS (
