@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_YEAR
 from .filters import featured_with_figure, optional_equals, published
 from .joins import one_row_join
+from .parts import PART_BYTES, document_parts, with_commas
 from .kpis import latest_year
 
 
@@ -130,3 +131,53 @@ def achievements_document(achievements: DataFrame, categories: DataFrame, reques
         F.coalesce(F.col("categories"), F.array()).alias("categories"),
         F.coalesce(F.col("items"), F.array()).alias("items"))
     return doc.select(F.col("year"), F.to_json(body).alias("document"))
+
+
+def achievements_parts(achievements: DataFrame, categories: DataFrame, requested_year=None, category: str | None = None,
+                       part_bytes: int = PART_BYTES) -> DataFrame:
+    """A9 as (part, offset, text): the parts in order are ``achievements_document``; no task collects a year's items."""
+    year = resolve_year(achievements, requested_year)
+    years = (achievements.filter(F.col("is_published") == 1)
+             .agg(F.sort_array(F.collect_set("year_no"), asc=False).alias("years")))
+    cats = categories.select(
+        F.col("code").alias("category"), F.col("name").alias("category_name"), "icon", "color",
+        F.coalesce(F.col("display_order"), F.lit(_LAST)).alias("_co"))
+    pub = _published_in(achievements, year).withColumn(
+        "_io", F.coalesce(F.col("display_order"), F.lit(_LAST))).join(cats, "category", "inner")
+    listed = pub if category in (None, "all") else pub.filter(F.col("category") == category)
+    counted = pub.groupBy("category", "category_name", "icon", "color", "_co").agg(F.count(F.lit(1)).alias("count"))
+
+    def pieces(section: int, rows: DataFrame, text: Column, place: dict[str, Column] | None = None) -> DataFrame:
+        at = {"_co": F.lit(0), "category": F.lit(""), "_io": F.lit(0), "id": F.lit(0).cast("bigint")} | (place or {})
+        return rows.select(F.lit(section).alias("section"), F.lit(place is not None).alias("listed"),
+                           *[c.alias(k) for k, c in at.items()], text.alias("text"))
+
+    def word(section: int, text: str) -> DataFrame:
+        return pieces(section, achievements.sparkSession.range(1), F.lit(text))
+
+    def element(*fields: Column) -> Column:
+        return F.to_json(F.struct(*fields))
+
+    by_item = {c: F.col(c) for c in ("_co", "category", "_io", "id")}
+    by_category = {c: F.col(c) for c in ("_co", "category")}
+    featured = pub.filter((F.col("is_featured") == 1) & F.col("figure_value").isNotNull())
+    head = one_row_join(year_frame(achievements, year), years)
+    start = F.to_json(F.struct("year", F.coalesce(F.col("years"), F.array()).alias("years")))
+    parts = [
+        pieces(0, head, F.regexp_replace(start, r"\}$", "")),
+        word(1, ',"stats":['),
+        pieces(1, featured, element(F.col("figure_value").alias("value"), F.col("figure_label").alias("label"), F.col("category"), F.col("color")), by_item),
+        word(2, '],"categories":['),
+        pieces(2, counted, element(F.col("category").alias("code"), F.col("category_name").alias("name"), F.col("icon"), F.col("color"), F.col("count")), by_category),
+        word(3, '],"items":['),
+        pieces(3, listed, element(
+            F.col("id"), F.col("category"), F.col("category_name").alias("categoryName"), F.col("icon"), F.col("color"), F.col("title"),
+            F.col("summary"), F.col("figure_value").alias("figureValue"), F.col("figure_label").alias("figureLabel"),
+            F.col("source_url").alias("sourceUrl"), (F.col("is_featured") == 1).alias("featured")), by_item),
+        word(4, "]}"),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    order = ["_co", "category", "_io", "id"]
+    return document_parts(with_commas(every, "section", "listed", order), ["section", "listed", *order], part_bytes)

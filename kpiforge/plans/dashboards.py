@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import Calendar, age_years
 from ..operators import kpis, lattice, series
+from ..operators.joins import one_row_join
+from ..operators.parts import PART_BYTES, document_parts, with_commas
 from ..operators.filters import active_session
 from ..schemas import FEMALE_SPELLINGS, MALE_SPELLINGS
 
@@ -195,6 +197,31 @@ def to_document(long: DataFrame) -> DataFrame:
     return body.select(F.concat(F.lit("{"), F.col("_b"), F.lit("}")).alias("document"))
 
 
+def to_document_parts(long: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A8 as (part, offset, text): the parts in order are ``to_document``; no series is collected whole."""
+    order = ["_o", "series", "_kind", "rank"]
+    named = F.regexp_replace(F.to_json(F.map_from_arrays(F.array("label"), F.array("value"))), r"^\{|\}$", "")
+    value = F.when(F.col("_o"), F.to_json(F.struct("label", "value"))).otherwise(named)
+    long = long.withColumn("_o", F.col("series") != "kpis")
+    rows = long.select("_o", "series", F.lit(1).alias("_kind"), "rank", F.lit(True).alias("_listed"), value.alias("text"))
+    key = F.regexp_extract(F.to_json(F.array(F.col("series"))), r"^\[(.*)\]$", 1)
+    each = long.select("_o", "series").distinct()
+    begin = F.concat(key, F.when(F.col("_o"), F.lit(":[")).otherwise(F.lit(":{")))
+    end = F.when(F.col("_o"), F.lit("]")).otherwise(F.lit("}"))
+    heads = [each.select("_o", "series", F.lit(kind).alias("_kind"), F.lit(0).alias("rank"), F.lit(False).alias("_listed"), text.alias("text"))
+             for kind, text in ((0, begin), (2, end))]
+    first = each.agg(F.min(F.struct("_o", "series")).alias("_f"))
+    heads[0] = one_row_join(heads[0], first).withColumn(
+        "text", F.concat(F.when(F.struct("_o", "series") > F.col("_f"), F.lit(",")).otherwise(F.lit("")), F.col("text"))).drop("_f")
+    edge = [long.sparkSession.range(1).select(F.lit(o).alias("_o"), F.lit(name).alias("series"), F.lit(kind).alias("_kind"), F.lit(0).alias("rank"),
+                                              F.lit(False).alias("_listed"), F.lit(text).alias("text"))
+            for o, name, kind, text in ((False, "", 0, "{"), (True, "\uffff", 3, "}"))]
+    every = rows
+    for part in [*heads, *edge]:
+        every = every.unionByName(part)
+    return document_parts(with_commas(every, "series", "_listed", ["rank"]), order, part_bytes)
+
+
 def series_arrays(long: DataFrame) -> DataFrame:
     """Each series as two parallel arrays (labels, values) in rank order, the chart input."""
     from ..functions import pairs_to_arrays

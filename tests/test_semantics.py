@@ -275,3 +275,25 @@ def test_distinct_modes_agree(spark):
            for sp, ap in ((True, False), (False, False), (False, True))]
     assert got[0] == got[1] == got[2]
     assert (got[0]["unique_visitors"], got[0]["unique_today"], got[0]["sessions"]) == (3, 1, 2)
+
+
+# The parts of a document, in order, are the document, whatever their size
+def test_document_parts_are_the_document(spark):
+    from conftest import SF_SMALL
+    from kpiforge.plans.catalog import AS_OF, HOME
+    from kpiforge.sources import adapters as A
+
+    def whole(parts):
+        rows = sorted(parts.collect(), key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(len(x.text.encode()) for x in rows[:i]) for i in range(len(rows))]
+        return "".join(r.text for r in rows), len(rows)
+
+    ach, cats = A.achievements(spark, SF_SMALL), A.categories(spark, SF_SMALL)
+    for year, category in (("2024", None), ("2023", "SMALL"), ("1900", None)):
+        want = ACH.achievements_document(ach, cats, year, category).first()["document"]
+        for size, least in ((300, 1), (1 << 20, 1)):
+            text, n = whole(ACH.achievements_parts(ach, cats, year, category, size))
+            assert text == want and (n == 1) == (len(want.encode()) <= size or size > 1000)
+    long = DB.traffic_dashboard(A.visits(spark, SF_SMALL), A.search_log(spark, SF_SMALL), AS_OF, HOME).cache()
+    text, n = whole(DB.to_document_parts(long, 500))
+    assert text == DB.to_document(long).first()[0] and n > 5
