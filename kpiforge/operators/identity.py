@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import GOOGLE_ISSUERS, REFRESH_DAYS, SESSION_DAYS
-from ..session import checkpoint_dir, materialize
+from ..session import materialize
 from .joins import never_null_id, never_null_key, oldest_user_by_email, one_row_join
 
 
@@ -52,13 +52,12 @@ def resolve_chains(mapping: DataFrame) -> DataFrame:
     when a round resolves nothing more; rows still pointing at a source then
     lie on (or lead into) a cycle and are returned with status 'rejected'.
     Duplicate sources (two destinations for one id) are rejected too.  Each
-    round checkpoints to the shared checkpoint folder to cut the lineage.
+    round is written to the shared checkpoint folder, once, and read from there.
     """
-    checkpoint_dir(mapping.sparkSession)
     m = mapping.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     dup = m.groupBy("src").agg(F.count_distinct("dst").alias("_n")).filter(F.col("_n") > 1).select("src")
     m = m.join(dup, "src", "left_anti").filter(F.col("src") != F.col("dst")).distinct()
-    cur = m.select("src", "dst").checkpoint()
+    cur = materialize(m.select("src", "dst"), "merge-chains")
     srcs = cur.select(F.col("src").alias("_s"))
 
     def unresolved(df: DataFrame) -> int:
@@ -67,8 +66,7 @@ def resolve_chains(mapping: DataFrame) -> DataFrame:
     left = unresolved(cur)
     while left:
         nxt = cur.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
-        cur = (cur.join(nxt, cur.dst == nxt._s, "left")
-               .select("src", F.coalesce("_d", "dst").alias("dst")).checkpoint())
+        cur = materialize(cur.join(nxt, cur.dst == nxt._s, "left").select("src", F.coalesce("_d", "dst").alias("dst")), "merge-chains")
         now = unresolved(cur)
         if now >= left:
             break
