@@ -213,7 +213,7 @@ def sign_in_upsert(users: DataFrame, signins: DataFrame) -> tuple[DataFrame, Dat
     return updated.unionByName(inserted), resolved
 
 
-def open_sessions(resolved_signins: DataFrame, salt: str = "session") -> DataFrame:
+def open_sessions(resolved_signins: DataFrame, salt: str) -> DataFrame:
     """H8: one session per sign-in: expires +30 days, refresh +60 days, active.
 
     The session key is a hash of (salt, user, time, seq): repeatable, and no

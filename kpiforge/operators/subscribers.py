@@ -69,7 +69,7 @@ def snapshot_as_actions(snapshot: DataFrame) -> DataFrame:
         F.col("user_id").alias("_suser"), F.col("unsubscribed_at").alias("_sunsub"))
 
 
-def fold_subscribers(actions: DataFrame, users: DataFrame | None = None, salt: str = "newsletter",
+def fold_subscribers(actions: DataFrame, users: DataFrame | None, salt: str,
                      chunk_size: int = DEFAULT_CHUNK, snapshot: DataFrame | None = None) -> DataFrame:
     """Subscriber table after applying validated actions in ``seq`` order.
 

@@ -247,7 +247,7 @@ register("open_sessions", with_views(
     "strftime(c.ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || CAST(c.seq AS VARCHAR)) AS session_key, ids.user_id, "
     "c.ts + INTERVAL 30 DAY AS expires_at, c.ts + INTERVAL 60 DAY AS refresh_expires_at, 1 AS is_active, "
     "c.ts AS created_at, c.ts AS last_used_at FROM c JOIN ids USING (email)", "claims", "users", ctes=_SIGNIN_CTES))(
-    lambda s, d: ID.open_sessions(_signin(s, d)[1]))
+    lambda s, d: ID.open_sessions(_signin(s, d)[1], "session"))
 register("availability", with_views(
     "SELECT kind, value, t.k IS NULL AS available FROM (SELECT DISTINCT 'email' AS kind, email AS value FROM claims "
     "WHERE email IS NOT NULL UNION SELECT DISTINCT 'username', split_part(lower(trim(email)), '@', 1) FROM claims "

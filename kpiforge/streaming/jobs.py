@@ -205,7 +205,7 @@ def subscriber_batch_writer(base: str, users: DataFrame | None, salt: str, run:
     return per_batch
 
 
-def live_subscribers(spark: SparkSession, actions: DataFrame, users: DataFrame | None, salt: str = "newsletter",
+def live_subscribers(spark: SparkSession, actions: DataFrame, users: DataFrame | None, salt: str,
                      out: str | None = None, compact_parts: int = COMPACT_PARTS) -> tuple[str, DataFrame]:
     """K4: keep the subscriber table current from a stream of actions (by e-mail, token or id).
 

@@ -60,7 +60,7 @@ def to_df(spark, log):
 
 def spark_fold(spark, log, chunk, snapshot=None):
     good, _ = subscribers.validate_actions(to_df(spark, log))
-    return subscribers.fold_subscribers(good, chunk_size=chunk, snapshot=snapshot)
+    return subscribers.fold_subscribers(good, None, "newsletter", chunk_size=chunk, snapshot=snapshot)
 
 
 def as_dict(df):
@@ -185,12 +185,12 @@ def test_actions_by_token_and_id_equal_state_machine(spark, seed):
     counted, stale = lives.resolve_actions(good, "newsletter", chunk_size=8)
     assert {r["seq"] for r in stale.collect()} == missed
     assert {r["seq"]: r["email"] for r in counted.collect()} == {a[0]: a[3] for a in plain}
-    assert as_dict(subscribers.fold_subscribers(counted, chunk_size=8)) == machine(plain)
+    assert as_dict(subscribers.fold_subscribers(counted, None, "newsletter", chunk_size=8)) == machine(plain)
     # continued from a snapshot, whose tokens and ids are those issued before
-    first = subscribers.fold_subscribers(counted, chunk_size=8)
+    first = subscribers.fold_subscribers(counted, None, "newsletter", chunk_size=8)
     more, _ = keyed_log(rng, 40, 60, made)
     plain, missed = by_mail(log + more)
     good, _ = subscribers.validate_actions(spark.createDataFrame(more, schemas.ACTIONS))
     counted, stale = lives.resolve_actions(good, "newsletter", first, chunk_size=8)
     assert {r["seq"] for r in stale.collect()} == {s for s in missed if s >= 60}
-    assert as_dict(subscribers.fold_subscribers(counted, chunk_size=8, snapshot=first)) == machine(plain)
+    assert as_dict(subscribers.fold_subscribers(counted, None, "newsletter", chunk_size=8, snapshot=first)) == machine(plain)

@@ -167,12 +167,12 @@ def test_fold_sequence(spark):
     rows = [(i, base + dt.timedelta(minutes=i), a, " A@X.org ", None, None, n, None) for i, (a, n) in enumerate(seq)]
     acts = spark.createDataFrame(rows, schemas.ACTIONS)
     good, bad = subscribers.validate_actions(acts)
-    out = subscribers.fold_subscribers(good, chunk_size=2).collect()
+    out = subscribers.fold_subscribers(good, None, "newsletter", chunk_size=2).collect()
     assert bad.count() == 0 and len(out) == 1
     r = out[0]
     assert (r["email"], r["status"], r["full_name"], r["source"], r["id"]) == ("a@x.org", "active", "N7", "admin", 6)
     # before the delete: the reactivating subscribe kept N1
-    first = subscribers.fold_subscribers(good.filter("seq < 4")).first()
+    first = subscribers.fold_subscribers(good.filter("seq < 4"), None, "newsletter").first()
     assert (first["full_name"], first["status"], first["source"]) == ("N1", "active", "website")
     assert first["subscribed_at"] == base + dt.timedelta(minutes=3) and first["unsubscribed_at"] is None
 
