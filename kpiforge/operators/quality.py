@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def unique_violations(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
     """M1: key values held by more than one row; NULL keys are not constrained."""
@@ -12,9 +14,14 @@ def unique_violations(df: DataFrame, key: Column, name: str = "key") -> DataFram
             .groupBy(name).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """M2: child rows whose non-NULL key has no parent (left anti join)."""
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, derived: bool = False) -> DataFrame:
+    """M2: child rows whose non-NULL key has no parent (left anti join).
+
+    ``derived``: the parent is itself the result of joins or aggregates; its keys are then written first, so that the
+    skew join can split a key that many children hold.
+    """
     p = parent.select(F.col(parent_key).alias("_pk")).filter(F.col("_pk").isNotNull())
+    p = materialize(p, "parent-keys") if derived else p
     c = child.filter(F.col(child_key).isNotNull())
     return c.join(p, c[child_key] == p["_pk"], "left_anti")
 

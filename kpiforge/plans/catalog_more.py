@@ -136,7 +136,7 @@ register("orphan_sessions_after_dedupe", with_views(
     f"SELECT s.session_id, s.user_id FROM sessions s WHERE s.user_id IS NOT NULL AND s.user_id NOT IN ("
     f"SELECT u.id FROM users u LEFT JOIN {_CANON} c ON lower(u.email) = c.mail "
     "WHERE u.email IS NULL OR u.id = c.cid)", "sessions", "users"))(
-    lambda s, d: quality.orphans(A.sessions(s, d), ID.dedupe_accounts(A.users(s, d)), "user_id", "id")
+    lambda s, d: quality.orphans(A.sessions(s, d), ID.dedupe_accounts(A.users(s, d)), "user_id", "id", derived=True)
     .select("session_id", "user_id"))
 register("user_not_null_violations", with_views(
     "SELECT id, 'email' AS \"column\" FROM users WHERE email IS NULL UNION ALL "
