@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import sessionize
+from ..session import scratch_path
 from ..sources import adapters as A
 from ..sources.adapters import with_views
+from ..streaming import run_available
+from ..streaming.sessionize import collapse_typing_stream, suppress_repeats_stream
 from . import dashboards as DB
 from .catalog import AS_OF, HOME, C, SEARCH_KPIS_BODY, SESSION_KPIS_BODY, USER_KPIS_BODY, VISIT_KPIS_BODY, register
 from .catalog_more import _FOLD_CTES, _subs
@@ -149,6 +154,31 @@ register("newsletter_dashboard", NEWSLETTER_SQL)(
     lambda s, d: DB.newsletter_dashboard(_subs(s, d), A.campaigns(s, d), AS_OF))
 
 # ------------------------------------------------------------- K5 / K6 --
+def _as_stream(s, rows, ts):
+    """``rows`` as a stream of four files, not quite in time order, and a last row that moves the watermark past them."""
+    path = scratch_path(s, "sessionize-in")
+    late = F.pmod(F.xxhash64("id"), F.lit(600)).cast("int")
+    quarter = F.pmod(F.floor(F.unix_timestamp(F.timestamp_add("SECOND", late, F.col(ts))) / 604800), F.lit(4))
+    dealt = rows.withColumn("_file", F.coalesce(quarter, F.lit(0))).repartition(4, "_file").drop("_file")
+    dealt.write.parquet(path)
+    last = rows.agg(F.timestamp_add("DAY", F.lit(60), F.max(ts)).alias(ts)).withColumns({"id": F.lit(-1).cast("long"), "visitor_id": F.lit("-")})
+    last.select(*[F.col(c).cast(t).alias(c) if c in last.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).parquet(path)
+
+
+def _streamed(s, rows, ts, job):
+    out = scratch_path(s, "sessionize-out")
+    run_available(job(_as_stream(s, rows, ts)).writeStream.format("parquet").option("path", out), scratch_path(s, "sessionize-checkpoint"))
+    return s.read.schema(rows.schema).parquet(out).filter("id <> -1")
+
+
+_SUPPRESS_SQL = with_views(
+    "SELECT id, visitor_id, page_pattern, visited_at FROM (SELECT *, lag(page_pattern) OVER w AS pp, "
+    "lag(visited_at) OVER w AS pt FROM visits WINDOW w AS (PARTITION BY visitor_id ORDER BY visited_at, id)) q "
+    "WHERE visitor_id IS NULL OR NOT coalesce(pp = page_pattern AND visited_at <= pt + INTERVAL 21600 SECOND, false)", "visits")
+register("suppress_repeats_stream", _SUPPRESS_SQL)(lambda s, d: _streamed(
+    s, A.visits(s, d).select("id", "visitor_id", "page_pattern", "visited_at"), "visited_at",
+    lambda r: suppress_repeats_stream(r, 6 * 3600, "page_pattern", delay="1 day")))
 register("suppress_repeats", with_views(
     "SELECT id, visitor_id, page_pattern, visited_at FROM (SELECT *, lag(page_pattern) OVER w AS pp, "
     "lag(visited_at) OVER w AS pt FROM visits WINDOW w AS (PARTITION BY visitor_id ORDER BY visited_at, id)) q "
@@ -166,3 +196,9 @@ register("traffic_chart_arrays", with_views(
     "SELECT series, list(label ORDER BY rank) AS labels, list(value ORDER BY rank) AS \"values\" FROM long "
     "GROUP BY series", "visits", "search_log", ctes=f"long AS ({TRAFFIC_BODY})"))(
     lambda s, d: DB.series_arrays(DB.traffic_dashboard(A.visits(s, d), A.search_log(s, d), AS_OF, HOME)))
+register("collapse_typing_stream", with_views(
+    "SELECT id, visitor_id, term_norm, searched_at FROM (SELECT *, lead(searched_at) OVER (PARTITION BY visitor_id "
+    "ORDER BY searched_at, id) AS nt FROM search_log) q WHERE visitor_id IS NULL OR nt IS NULL "
+    "OR nt > searched_at + INTERVAL 7200 SECOND", "search_log"))(lambda s, d: _streamed(
+        s, A.search_log(s, d).select("id", "visitor_id", "term_norm", "searched_at"), "searched_at",
+        lambda r: collapse_typing_stream(r, 7200, delay="1 day")))
