@@ -1,9 +1,9 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 4); DataFrame functions only.
 
 A window is ``window`` consecutive words of a benchmark item (a shorter item is
-one window).  The corpus is read once: its ``SHINGLE``-word shingles meet those of
-the benchmark in broadcast joins, and every meeting is written with the words
-around it.  The number of meetings is the shingle's frequency in all documents.  A
+one window).  The corpus is read once for every ``BLOCK_WINDOWS`` windows: its
+``SHINGLE``-word shingles meet those of the benchmark in broadcast joins, and every
+meeting is written with the words around it.  The number of meetings is the shingle's frequency in all documents.  A
 window can only occur where its rarest shingle occurs: for full containment the
 necessary prefix of its shingles, ordered from rare to common, has length one.  So
 each window is looked up by that one shingle; the place less the shingle's offset
