@@ -110,13 +110,15 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     # Rows of which nothing is taken are counted, too: they are among those that share.
     takes = mixed.groupBy(*same).agg(F.sum("taken").alias("all"), F.count("*").alias("n")).filter("all > 0")
     takes = takes.select(*same, F.expr("all div n").alias("each"), (F.col("all") % F.col("n")).alias("more"))
-    takes = materialize(takes.toDF("_doc", "_source", "_text", "_size", "_each", "_more"), "mix-takes")
+    takes = takes.toDF("_doc", "_source", "_text", "_size", "_each", "_more")
+    # Two tables: few takes do not divide, so the join with those is a broadcast and the texts are shuffled once.
+    even, odd = (materialize(takes.filter(c), "mix-takes") for c in ("_more = 0", "_more > 0"))
     match = doc.eqNullSafe(F.col("_doc")) & source.eqNullSafe(F.col("_source")) & (F.xxhash64(text) == F.col("_text"))
-    joined = inner.join(takes, match)
-    uneven = joined.filter("_more > 0").withColumns({"_group": F.xxhash64("_doc", "_source", "_text"), "_hash": F.xxhash64(*inner.columns), "_one": F.lit(1)})
+    joined = inner.join(even, match)
+    uneven = inner.join(odd, match).withColumns({"_group": F.xxhash64("_doc", "_source", "_text"), "_hash": F.xxhash64(*inner.columns), "_one": F.lit(1)})
     uneven = running_totals(uneven, ["_group"], ["_hash"], "_one", "_before", "mix-uneven")
     uneven = uneven.withColumn("_each", F.col("_each") + F.when(F.col("_before") < F.col("_more"), 1).otherwise(0))
-    joined = joined.filter("_more = 0").unionByName(uneven.select(joined.columns))
+    joined = joined.unionByName(uneven.select(joined.columns))
     rest = F.col("_each") % F.col("_size")
     copies = F.floor(F.col("_each") / F.col("_size")) + F.when(rest > 0, 1).otherwise(0)
     rows = joined.filter("_each > 0").withColumn("_rest", rest)
