@@ -152,6 +152,9 @@ def _filter(shared: DataFrame) -> list:
 def first_segments(rows: DataFrame, window: int, k: int) -> DataFrame:
     """(sid, name, f1, f2, run, ord_id, ver, s, e): the segments of all texts whose least rank is not unique."""
     texts = rows.filter(F.octet_length("text") >= window)
+    # A document listed several times is ranked once.
+    twice = materialize(texts.groupBy(*_DOC).count().filter("count > 1").select(*_DOC), "suffix-twice")
+    once = texts.join(twice, _DOC, "left_anti").unionByName(texts.join(twice, _DOC, "left_semi").dropDuplicates(_DOC))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +184,8 @@ def first_segments(rows: DataFrame, window: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in columns], columns)
 
     schema = ", ".join(f"{c} long" for c in [*_SEGMENT, *_DOC, "s", "e"])
-    found = texts.select(*_DOC, "text").mapInArrow(whole, schema).join(shared, "name", "left_semi").distinct()
+    # No aggregate stands above the join with the names, so Spark can split a frequent one.
+    found = once.select(*_DOC, "text").mapInArrow(whole, schema).join(shared, "name", "left_semi")
     return materialize(found.withColumn("sid", F.monotonically_increasing_id()), "suffix-segments")
 
 
