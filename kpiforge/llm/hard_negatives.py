@@ -40,7 +40,7 @@ from kpiforge.session import materialize
 
 SCALE = 256
 #: Bytes of a block of candidates, and of one of anchors.
-BLOCK_BYTES, ANCHOR_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, ANCHOR_BYTES = 1 << 20, 1 << 20
 #: Scores unpacked at a time.
 PAIRS = 1 << 21
 #: Fields of a word of unlimited width.
